@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import general
+from . import evaluation, general, prep, shapes
 
-FLAGSHIP = "p2_found"
-_MODULES = [general]
+FLAGSHIP = "a1_score"
+_MODULES = [general, evaluation, shapes, prep]
 
 
 def queries() -> dict:
