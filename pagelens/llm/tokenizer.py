@@ -185,20 +185,24 @@ class Automaton:
         return b"".join(self.spelling[i] for i in ids).decode("utf-8", "replace")
 
 
-_held: dict[int, Automaton] = {}
+_held: dict[str, Automaton] = {}
 
 
 def _automaton(shared) -> Automaton:
-    """The automaton of this worker, built once per broadcast."""
-    if shared.id not in _held:
+    """The automaton of this worker, built once per vocabulary."""
+    name, tables = shared
+    if name not in _held:
         _held.clear()
-        _held[shared.id] = Automaton(shared.value)
-    return _held[shared.id]
+        _held[name] = Automaton(tables.value)
+    return _held[name]
 
 
 def _share(spark: SparkSession, path: str | None):
-    """Broadcast of the compact tables: under 2 MB, bounded by the vocabulary."""
-    return spark.sparkContext.broadcast(read_vocabulary(path or default_vocabulary()))
+    """Name and broadcast of the compact tables: under 2 MB, bounded by the vocabulary."""
+    path = path or default_vocabulary()
+    stat = os.stat(path)
+    name = f"{path} {stat.st_size} {stat.st_mtime_ns}"
+    return name, spark.sparkContext.broadcast(read_vocabulary(path))
 
 
 def encode(
