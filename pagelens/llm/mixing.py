@@ -61,14 +61,14 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     ``sizes`` is ``(key, n_tokens)``.  Sources are summed ahead of the shuffle.  Null
     weights, shares and repeats count as 0.
     """
-    per = sizes.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).withColumn("one", F.lit(1))
+    per = materialize(sizes.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))  # a row a source
+    total = per.agg(F.sum("tokens")).first()[0] or 0  # one number
     wanted = targets.select(
-        "mix_id", "source", canonical(F.col("source")).alias("key"), F.lit(1).alias("one"),
+        "mix_id", "source", canonical(F.col("source")).alias("key"),
         *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("weight", "max_repeats", "budget_share")),
     )
-    rows = wanted.join(per, "key", "left").join(total, "one").withColumns(
-        {"tokens": F.coalesce("tokens", F.lit(0)), "docs": F.coalesce("docs", F.lit(0)), "target": F.col("weight") * F.col("budget_share") * F.col("total")}
+    rows = wanted.join(per, "key", "left").withColumns(
+        {"tokens": F.coalesce("tokens", F.lit(0)), "docs": F.coalesce("docs", F.lit(0)), "total": F.lit(total), "target": F.col("weight") * F.col("budget_share") * F.lit(total)}
     )
     rate = F.least(F.col("max_repeats").cast("double"), F.when(F.col("tokens") > 0, F.col("target") / F.col("tokens")).otherwise(0.0))
     edges = F.udf(thresholds, "array<double>")  # once a target, not once a document
