@@ -73,12 +73,22 @@ def _not(chars: str) -> str:
     return "[^" + _class(chars)[1:]
 
 
+def _all_but(chars: str) -> str:
+    """Class of all other characters, as ranges: the widest, which hold most letters, are tried first."""
+    points = [0, *(x for c in sorted(set(chars)) for x in (ord(c), ord(c) + 1)), 0x110000]
+    spans = [(a, b - 1) for a, b in zip(points[::2], points[1::2]) if a < b]
+    low = sorted((x for x in spans if x[1] < 0x10000), key=lambda x: x[0] - x[1])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in [*low, *(x for x in spans if x not in low)]) + "]"
+
+
 _OPENERS = "".join(o for o, _ in PAIRS)
 _CLOSERS = "".join(dict.fromkeys("".join(c for _, c in PAIRS)))
 #: A whole quotation or bracket without another of its kind inside, or what lies between.
 _SPANS = "|".join(
     _class(o) + _not("".join(dict.fromkeys(o + c))) + "*+" + _class(c) for o, c in PAIRS
-) + "|" + _not(_OPENERS) + "++|(?s:.)"
+) + "|" + _all_but(_OPENERS) + "++|(?s:.)"
+_NO_OPENER = "^" + _all_but(_OPENERS) + "*+$"
+_NO_OWN = "^" + _all_but(OWN) + "*+$"
 _TAIL = "[" + ENDS + OWN + CLOSE + r"\s\u00a0\u202f]*$"
 
 
@@ -103,25 +113,37 @@ def _span(s: Column) -> Column:
 
 def _spans(p: Column) -> Column:
     pieces = F.transform(F.regexp_extract_all(p, F.lit(_SPANS), F.lit(0)), _span)
-    return F.when(p.rlike(_class(_OPENERS)), F.array_join(pieces, "")).otherwise(p)
+    return F.when(p.rlike(_NO_OPENER), p).otherwise(F.array_join(pieces, ""))
+
+
+def _dot(before: str, after: str = "") -> str:
+    """A period after ``before``; the search begins at the periods, which are few."""
+    return rf"\.(?<={before}\.){after}"
 
 
 def _mask(p: Column) -> Column:
     """Mask what ends no sentence; every replacement has the length of what it replaces."""
-    p = F.when(p.rlike("://|www\\."), _sub(p, r"(?<=(?:://|www)\S{0,500})[.!?](?=\S)", MASK)).otherwise(p)
-    p = _sub(p, r"(?<=\p{Nd})\.(?=\p{Nd})", MASK)
-    p = _sub(p, f"(?<={GREEK})[;;]", "?")
-    p = _sub(p, rf"(?<={OTHER_MARKS})\.(?!\.)", MASK)
-    p = _sub(p, rf"(?m)^(?<!№{WS}{{1,3}})({HWS}*\p{{Nd}}{{1,3}})\.(?={WS}+\S)", "$1" + MASK)
-    p = _sub(p, rf"(?<![\p{{N}}.,])(\p{{Nd}}{{1,2}})\.(?={WS}+(?:{ORDINAL})(?!\p{{L}}))", "$1" + MASK)
-    p = _sub(p, rf"(?iu){LETTER_BEFORE}({TITLES})\.(?!\.)", "$1" + MASK)
-    p = _sub(p, rf"{LETTER_BEFORE}([a-z])\.(?={WS}*{TWO_PART}\.)", "$1" + MASK)
-    p = _sub(p, rf"(?iu){LETTER_BEFORE}(?<!\p{{Nd}}{WS}{{1,2}})({UNITS})\.(?={WS}*\p{{L}})", "$1" + MASK)
-    p = _sub(p, rf"{LETTER_BEFORE}({NUMBERED})\.(?={WS}*\p{{Nd}})", "$1" + MASK)
-    for unit, smaller in COUNTED.items():
-        p = _sub(p, rf"{LETTER_BEFORE}({unit})\.(?={WS}*\p{{Nd}}+{WS}*(?:(?:{smaller})(?!\p{{L}})|\p{{Ll}}{{0,2}}$))", "$1" + MASK)
-    p = _sub(p, rf"{LETTER_BEFORE}(\p{{Lu}})\.(?={WS}*\p{{Lu}}(?:[\p{{Ll}}.'’ʼ\u00ad\u200b]|{MASK}|$))", "$1" + MASK)
-    return p
+    marks = [
+        _dot(r"\p{Nd}", r"(?=\p{Nd})"),
+        _dot(OTHER_MARKS, r"(?!\.)"),
+        _dot(rf"(?m:^)(?<!№{WS}{{1,3}}){HWS}{{0,20}}\p{{Nd}}{{1,3}}", rf"(?={WS}+\S)"),
+        _dot(r"(?<![\p{N}.,])\p{Nd}{1,2}", rf"(?={WS}+(?:{ORDINAL})(?!\p{{L}}))"),
+        _dot(rf"{LETTER_BEFORE}(?iu:{TITLES})", r"(?!\.)"),
+        _dot(rf"{LETTER_BEFORE}[a-z]", rf"(?={WS}*{TWO_PART}\.)"),
+        _dot(rf"{LETTER_BEFORE}(?<!\p{{Nd}}{WS}{{1,2}})(?iu:{UNITS})", rf"(?={WS}*\p{{L}})"),
+        _dot(rf"{LETTER_BEFORE}(?:{NUMBERED})", rf"(?={WS}*\p{{Nd}})"),
+        *(
+            _dot(rf"{LETTER_BEFORE}(?:{unit})", rf"(?={WS}*\p{{Nd}}+{WS}*(?:(?:{smaller})(?!\p{{L}})|\p{{Ll}}{{0,2}}$))")
+            for unit, smaller in COUNTED.items()
+        ),
+        _dot(rf"{LETTER_BEFORE}\p{{Lu}}", rf"(?={WS}*\p{{Lu}}(?:[\p{{Ll}}.'’ʼ\u00ad\u200b{MASK}]|$))"),
+    ]
+    return _one_by_one(
+        p,
+        lambda c: F.when(c.contains("://") | c.contains("www."), _sub(c, r"(?<=(?:://|www)\S{0,500})[.!?](?=\S)", MASK)).otherwise(c),
+        lambda c: F.when(c.rlike("[;\u037e]"), _sub(c, rf"[;\u037e](?<={GREEK}[;\u037e])", "?")).otherwise(c),
+        lambda c: F.when(c.contains("."), reduce(lambda x, m: _sub(x, m, MASK), marks, c)).otherwise(c),
+    )
 
 
 def _cuts(p: Column) -> Column:
@@ -129,15 +151,20 @@ def _cuts(p: Column) -> Column:
     noise = rf"(?:(?:</?[^<>\s]{{1,20}}>|{OPEN}PAD{CLOSE}|�+){WS}*)?"
     begin = rf"{noise}(?:[—–−-]{WS}*)?[{OPEN}\"“„«(\[¿¡…{WS[1:-1]}]*"
     goes_on = rf"(?!{begin}(?:{LOWER}|$))(?![,;:=+*/^_%&|>)\]}}»”{CLOSE}{ENDS}{OWN}])"
-    end = rf"[{ENDS}]+[️\p{{M}}]*(?:{WS}*{CLOSE}|[»”)\]])*"
+    end = rf"[{ENDS}]+[\ufe0f\p{{M}}]*(?:{WS}*{CLOSE}|[»”)\]])*"
     p = _sub(p, rf"({end})(?={WS}+\S)(?={WS}+{goes_on})", "$1" + CUT)
-    upper = rf"(?:\p{{Lu}}[\p{{Ll}}\s\u00a0'’]|[xp]H?{WS}(?:=|розч))"
-    p = _sub(p, rf"((?:(?<=[\p{{Ll}}\p{{M}}\p{{Nd}}}}$\]){CLOSE}])\.|[!?…]|\.\.)(?:{CLOSE})*)(?=(?:[—–]{WS}*)?{OPEN}*{upper})", "$1" + CUT)
-    p = _sub(p, rf"((?<=\p{{L}}{{5}})\.|[!?…]|\.\.)(?=\p{{Nd}}+[.)]?{WS}+\p{{L}})", "$1" + CUT)
-    p = _sub(p, rf"((?<={CJK})(?:…|\.{{3}})+)(?={CJK})", "$1" + CUT)
-    p = _sub(p, rf"([{OWN}]+)(?!{WS}*[{OWN}{ENDS}{CLOSE}»”)\]」』])(?={WS}*\S)", "$1" + CUT)
-    p = _sub(p, rf"([{OWN}]+(?:{WS}*{CLOSE})+)(?!{WS}*(?:[とっ、，,;:—–{OWN}{ENDS}{CLOSE}]|\p{{Ll}}))(?={WS}*\S)", "$1" + CUT)
-    return _sub(p, rf"(?<={THAI}){HWS}+(?![\p{{Nd}}{WS[1:-1]}])(?=\S)", "$0" + CUT)
+    upper = rf"(?:\p{{Lu}}[\p{{Ll}}\s\u00a0'’]|[a-zа-яіїєґ]{WS}?=|\p{{Ll}}\p{{Lu}})"
+    p = _sub(p, rf"((?:\.(?<=[\p{{Ll}}\p{{M}}\p{{Nd}}}}$\]){CLOSE}]\.)|[!?…]|\.\.)(?:{CLOSE})*)(?=(?:[—–]{WS}*)?{OPEN}*{upper})", "$1" + CUT)
+    p = _sub(p, rf"(\.(?<=\p{{L}}{{5}}\.)|[!?…]|\.\.)(?=\p{{Nd}}+[.)]?{WS}+\p{{L}})", "$1" + CUT)
+    cjk = lambda c: F.when(c.rlike(CJK), _sub(c, rf"((?<={CJK})(?:…|\.{{3}})+)(?={CJK})", "$1" + CUT)).otherwise(c)
+
+    def own(c: Column) -> Column:
+        x = _sub(c, rf"([{OWN}]+)(?!{WS}*[{OWN}{ENDS}{CLOSE}»”)\]」』])(?={WS}*\S)", "$1" + CUT)
+        x = _sub(x, rf"([{OWN}]+(?:{WS}*{CLOSE})+)(?!{WS}*(?:[とっ、，,;:—–{OWN}{ENDS}{CLOSE}]|\p{{Ll}}))(?={WS}*\S)", "$1" + CUT)
+        return F.when(c.rlike(_NO_OWN), c).otherwise(x)
+
+    thai = lambda c: F.when(c.rlike(THAI), _sub(c, rf"(?<={THAI}){HWS}+(?![\p{{Nd}}{WS[1:-1]}])(?=\S)", "$0" + CUT)).otherwise(c)
+    return _one_by_one(p, cjk, own, thai)
 
 
 def _open_end(p: Column) -> Column:
@@ -145,7 +172,7 @@ def _open_end(p: Column) -> Column:
     opener = rf"(?:[«„「『《【（(\[]|(?<![^\s\u00a0(—-])[\"“](?=\S))"
     at = F.char_length(F.regexp_extract(p, rf"(?s)^(.*?){opener}", 1))
     return F.when(
-        p.rlike(opener), F.concat(F.substring(p, F.lit(1), at), _inside(F.substring(p, at + 1, F.char_length(p))))
+        ~p.rlike(_NO_OPENER) & p.rlike(opener), F.concat(F.substring(p, F.lit(1), at), _inside(F.substring(p, at + 1, F.char_length(p))))
     ).otherwise(p)
 
 
