@@ -99,7 +99,7 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 def _inside(s: Column) -> Column:
     """Mask everything in a quotation or bracket that would end a unit."""
     s = F.translate(s, ENDS + OWN + OPEN + CLOSE, MASK * len(ENDS + OWN + OPEN + CLOSE))
-    return _sub(s, f"(?<={THAI}){HWS}", MASK)
+    return _sub(s, f"(?<={THAI}){HWS}(?={HWS}*(?!{WS})(?s:.))", MASK)
 
 
 def _span(s: Column) -> Column:
