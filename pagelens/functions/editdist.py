@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .text import WS
 
@@ -37,8 +38,7 @@ def words(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).when(F.size(known) <= DISTINCT_WORDS, fast).otherwise(_many_words(x, y))
 
 
-@F.udf("int")
-def _many_words(x: list[str] | None, y: list[str] | None) -> int | None:
+def _many_words(x, y):
     """The rare pair with too many words: one row of the table at a time."""
     if x is None or y is None:
         return None
@@ -55,5 +55,8 @@ def _many_words(x: list[str] | None, y: list[str] | None) -> int | None:
     return int(row[-1])
 
 
+_many_words = F.udf(_many_words, IntegerType())
+
+
 def wer(pred: Column, gt: Column) -> Column:
     return words(pred, gt) / F.greatest(F.size(words_of(gt)), F.lit(1))

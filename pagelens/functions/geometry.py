@@ -144,7 +144,9 @@ def six_decimals(x: Column) -> Column:
 
 def yolo_line(class_id: Column, y: Column) -> Column:
     """``class cx cy w h`` with six decimals; null where class or box is."""
-    return F.when(y.isNotNull(), F.concat(class_id.cast("string"), *(F.concat(F.lit(" "), six_decimals(y[c])) for c in ("cx", "cy", "w", "h"))))
+    numbers = lambda b: F.transform(F.array(b["cx"], b["cy"], b["w"], b["h"]), six_decimals)
+    line = lambda b: F.when(b.isNotNull(), F.concat(class_id.cast("string"), F.lit(" "), F.array_join(numbers(b), " ")))
+    return F.element_at(F.transform(F.array(y), line), 1)  # a variable: the box is not written out again and again
 
 
 def grid(b: Column, w: Num, h: Num, cells: int = 1000) -> Column:

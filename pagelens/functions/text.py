@@ -279,7 +279,7 @@ def slug(text: Column) -> Column:
 
 
 def four_digits(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", x), F.lit(""))
+    return F.when(x.isNotNull(), F.format_string("%.4f", x)).otherwise("")
 
 
 def clean_output(text: Column, most: int = 500) -> Column:

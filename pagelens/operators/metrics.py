@@ -52,6 +52,7 @@ def records(pages: DataFrame, keys: list[str], dialect: str = "v1") -> DataFrame
         F.when(F.col("pred").isNull(), "missed").when(F.col("gt").isNull(), "false positive").otherwise("matched").alias("status"),
         F.col("gt.idx").alias("gt_idx"), F.col("pred.idx").alias("pred_idx"), "iou",
         F.col("gt.type").alias("gt_type"), F.col("pred.type").alias("pred_type"),
+        F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(*(F.col(f"{c}.{v}").alias(v) for v in ("x1", "y1", "x2", "y2")))) for c in ("gt", "pred"))).alias("crop"),
         F.col("gt.text").alias("gt_text"), F.col("pred.text").alias("pred_text"), "gt_norm", "pred_norm", "scored",
         editdist.chars(a, b).alias("distance"), F.char_length(b).alias("gt_length"),
         editdist.cer(a, b).alias("cer"), (a == b).alias("exact"),

@@ -8,11 +8,12 @@ from ..functions import text
 from ..operators import sampling as S
 from ..session import table
 
-LABEL = F.lower(text.strip(F.col("label")))
+def _label():
+    return F.lower(text.strip(F.col("label")))
 
 
 def crops(spark, d):
-    return table(spark, d, "crop_records").select("crop_id", "image", F.coalesce(LABEL, F.lit("")).alias("label"), "text", "source_split", "collection_id")
+    return table(spark, d, "crop_records").select("crop_id", "image", F.coalesce(_label(), F.lit("")).alias("label"), "text", "source_split", "collection_id")
 
 
 def pages(spark, d):

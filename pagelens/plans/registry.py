@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, general, prep, shapes
+from . import evaluation, general, prep, reports, shapes, show
 
 FLAGSHIP = "a1_score"
-_MODULES = [general, evaluation, shapes, prep]
+_MODULES = [general, evaluation, shapes, prep, reports, show]
 
 
 def queries() -> dict:
