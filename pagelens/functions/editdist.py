@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .text import WS
+from .text import WS, bound
 
 DISTINCT_WORDS = 6400  # private-use characters of the basic plane
 
@@ -30,12 +30,18 @@ def words(a: Column, b: Column) -> Column:
 
     Pairs of more than 6,400 distinct words go to an Arrow function.
     """
-    x, y = words_of(a), words_of(b)
-    known = F.array_distinct(F.concat(x, y))
-    letter = lambda w: F.decode(F.unhex(F.hex(F.lit(57343) + F.array_position(known, w))), "UTF-16BE")
-    spell = lambda ws: F.array_join(F.transform(ws, letter), "")
-    fast = F.levenshtein(spell(x), spell(y))
-    return F.when(a == b, 0).when(F.size(known) <= DISTINCT_WORDS, fast).otherwise(_many_words(x, y))
+    known = F.array_distinct(F.concat(words_of(a), words_of(b)))
+
+    def fast(r: Column) -> Column:
+        letter = lambda w: F.decode(F.unhex(F.hex(F.lit(57343) + F.array_position(r["k"], w))), "UTF-16BE")
+        spell = lambda ws: F.array_join(F.transform(ws, letter), "")
+        return F.when(F.size(r["k"]) <= DISTINCT_WORDS, F.levenshtein(spell(r["x"]), spell(r["y"])))
+
+    def slow(x: Column, y: Column) -> Column:
+        return F.when(F.size(F.array_distinct(F.concat(x, y))) > DISTINCT_WORDS, _many_words(x, y))
+
+    quick = bound(F.struct(words_of(a).alias("x"), words_of(b).alias("y"), known.alias("k")), fast)
+    return F.when(a == b, 0).otherwise(F.coalesce(quick, slow(words_of(a), words_of(b))))
 
 
 def _many_words(x, y):

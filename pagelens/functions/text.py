@@ -63,6 +63,9 @@ COMBINING = "[\u0300-\u036f\u20d0-\u20ff]"
 #: A text without any of these is left as it is by the rules of formulas and tables.
 _TOUCHED = rf"[\\&*∗⋅{{}};|{SUPER}{SUB}\u0300-\u036f\u20d0-\u20ff]"
 
+#: Texts of these characters alone, without double spaces, only need lookalikes turned and the ends bared.
+_PLAIN = r"^[\u0400-\u04ffa-zA-Z0-9 .,:;!?'\"#%+=/$№]*+$"
+
 #: White space as Python sees it.
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _HOLD = "\ue000"  # stands for a literal backslash until all commands are done
@@ -79,7 +82,7 @@ def strip(c: Column) -> Column:
     return sub(c, f"^{WS}+|{WS}+$")
 
 
-def _then(c: Column, *steps: Step) -> Column:
+def bound(c: Column, *steps: Step) -> Column:
     """Steps one after another; the array keeps the planner from copying what precedes them."""
     return reduce(lambda x, f: F.element_at(F.transform(F.array(x), f), 1), steps, c)
 
@@ -185,10 +188,19 @@ def normalize(text: Column, region_type: Column, dialect: str = "v1") -> Column:
     ]
     if dialect == "v2":
         common.append(lambda c: sub(sub(c, r" +\(", "("), " +([_^])", "$1"))
-    t = _then(F.coalesce(text, F.lit("")), *marks)
-    t = F.when(region_type.isin(*STRUCTURED_TYPES) & t.rlike(_TOUCHED), _then(t, *_structured(dialect))).otherwise(t)
-    t = _then(t, *common)
-    return strip(F.when(region_type == "table", _then(t, _table)).otherwise(t))
+    structured = region_type.isin(*STRUCTURED_TYPES)
+
+    def full(t: Column) -> Column:
+        return bound(
+            t,
+            *marks,
+            lambda t: F.when(structured & t.rlike(_TOUCHED), bound(t, *_structured(dialect))).otherwise(t),
+            *common,
+            lambda t: strip(F.when(region_type == "table", bound(t, _table)).otherwise(t)),
+        )
+
+    plain = lambda t: F.translate(F.trim(t), LATIN, CYRILLIC)
+    return bound(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(_PLAIN) & ~t.contains("  "), plain(t)).otherwise(full(t)))
 
 
 # ------------------------------------------------------------------ small rules
@@ -255,12 +267,15 @@ _CP1252_AT = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x
 
 def repair(text: Column) -> Column:
     """Undo reading UTF-8 as the Windows code page, if that gains Cyrillic letters."""
-    suspect = text.rlike("[ÃÐÑÂ]")
-    plain = F.translate(text, _CP1252, _CP1252_AT)
-    bytes_ = F.encode(F.when(plain.rlike(r"^[\x00-\xFF]*$"), plain), "ISO-8859-1")
-    again = F.try_validate_utf8(bytes_.cast("string"))
-    better = again.isNotNull() & (cyrillic_count(again) > cyrillic_count(text))
-    return F.when(suspect & better, again).otherwise(text)
+
+    def again(t: Column) -> Column:
+        plain = F.translate(t, _CP1252, _CP1252_AT)
+        return F.try_validate_utf8(F.encode(F.when(plain.rlike(r"^[\x00-\xFF]*$"), plain), "ISO-8859-1").cast("string"))
+
+    def better(t: Column) -> Column:
+        return bound(again(t), lambda x: F.when(x.isNotNull() & (cyrillic_count(x) > cyrillic_count(t)), x).otherwise(t))
+
+    return bound(text, lambda t: F.when(t.rlike("[ÃÐÑÂ]"), better(t)).otherwise(t))
 
 
 def clean(text: Column) -> Column:
@@ -269,8 +284,8 @@ def clean(text: Column) -> Column:
 
 
 def truncate(text: Column, limit: int = 150) -> Column:
-    t = clean(text)
-    return F.when(F.char_length(t) <= limit, t).otherwise(F.concat(sub(F.left(t, F.lit(max(0, limit - 3))), f"{WS}+$"), F.lit("...")))
+    cut = lambda t: F.concat(sub(F.left(t, F.lit(max(0, limit - 3))), f"{WS}+$"), F.lit("..."))
+    return bound(clean(text), lambda t: F.when(F.char_length(t) <= limit, t).otherwise(cut(t)))
 
 
 def slug(text: Column) -> Column:
@@ -299,7 +314,7 @@ def clean_output(text: Column, most: int = 500) -> Column:
         return F.when(c.rlike(r"^[\[{]"), F.when(c.startswith("{"), inner).otherwise("")).otherwise(c)
 
     label = lambda c: strip(sub(c, rf"(?i)^(?:text|transcription|answer){WS}*:{WS}*"))
-    return F.left(_then(strip(F.coalesce(text, F.lit(""))), unfence, label, unquote, unwrap), F.lit(most))
+    return F.left(bound(strip(F.coalesce(text, F.lit(""))), unfence, label, unquote, unwrap), F.lit(most))
 
 
 def invalid_reason(text: Column, region_type: Column, gt_text: Column) -> Column:

@@ -26,11 +26,7 @@ def _scorable_pred(r: Column) -> Column:
 
 
 def matched(pages: DataFrame, threshold: float = match.THRESHOLD) -> DataFrame:
-    """Pages with ``m``, their greedy matches.
-
-    The matches are put behind an opaque step, so that expressions over them do not
-    repeat the matching itself.
-    """
+    """Pages with ``m``, their greedy matches."""
     return pages.withColumn("m", match.matches(F.col("gt"), F.col("pred"), threshold))
 
 
@@ -69,7 +65,8 @@ def per_page(pages: DataFrame, keys: list[str], dialect: str = "v1") -> DataFram
 
     def error(x: Column) -> Column:
         g, p = get(gt, x["g"]), get(pred, x["p"])
-        return editdist.cer(text.normalize(p["text"], g["type"], dialect), text.normalize(g["text"], g["type"], dialect))
+        both = F.struct(text.normalize(p["text"], g["type"], dialect).alias("p"), text.normalize(g["text"], g["type"], dialect).alias("g"))
+        return text.bound(both, lambda t: editdist.cer(t["p"], t["g"]))
 
     own = lambda r: text.normalize(r["text"], r["type"], dialect)
     if dialect == "v1":
@@ -149,10 +146,12 @@ def by_type(rows: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
         )
     ).alias("e")
     counts = _breakdown(rows.select(*by, t).select(*by, "e.*"), [*by, "type"])
-    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1)
-    every = groups.select(*by, F.explode(F.array(*map(F.lit, REGION_TYPES))).alias("type"))
+    figures = ["gt_count", "pred_count", "matched", "det_f1", "class_acc", "cer"]
+    entries = F.map_from_entries(F.collect_list(F.struct("type", F.struct(*figures))))  # a type an entry
+    grouped = counts.groupBy(*by).agg(entries.alias("m")).select(*by, "m", F.explode(F.array(*map(F.lit, REGION_TYPES))).alias("type"))
+    got = grouped.select(*by, "type", F.try_element_at("m", F.col("type")).alias("f")).select(*by, "type", *(F.col(f"f.{c}").alias(c) for c in figures))
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("gt_count", "pred_count", "matched")} | {"det_f1": F.coalesce("det_f1", F.lit(0.0))}
-    return every.join(counts, [*by, "type"], "left").withColumns(zero)
+    return got.withColumns(zero)
 
 
 def by_column(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..schema import STRUCTURED_TYPES, VISUAL_TYPES
+from ..session import materialize
 
 SOURCE_ORDER = ("school", "dictation", "university", "archive")
 
@@ -71,7 +72,7 @@ def full_pages(stats: DataFrame, desired: int = 6) -> DataFrame:
 
     ``stats`` are page statistics with ``score``, ``error`` and ``predictions``.
     """
-    stats = stats.where("predictions > 0")
+    stats = materialize(stats.where("predictions > 0").select("page", "source", "score", "error", "det_f1", "class_acc"))  # read four times
     rank = {s: i for i, s in enumerate(SOURCE_ORDER)}
     place = reduce(lambda c, s: c.when(F.col("source") == s, rank[s]), SOURCE_ORDER, F.when(F.lit(False), -1))
     best = stats.where(F.col("source").isin(*SOURCE_ORDER)).groupBy("source").agg(F.max_by("page", F.struct("score", -F.col("page"))).alias("page"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, general, prep, reports, shapes, show
+from . import evaluation, general, prep, reports, runs, shapes, show
 
 FLAGSHIP = "a1_score"
-_MODULES = [general, evaluation, shapes, prep, reports, show]
+_MODULES = [general, evaluation, shapes, prep, reports, show, runs]
 
 
 def queries() -> dict:

@@ -39,7 +39,7 @@ def submissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     found by the header; a file without them fails.
     """
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=False)
-    named = {c.lstrip("﻿").strip('"'): c for c in rows.columns}
+    named = {c.lstrip("\ufeff").strip('"'): c for c in rows.columns}
     if not {"image", "regions"} <= set(named):
         raise ValueError(f"columns image and regions are wanted, there are {sorted(named)}")
     value = F.col(f"`{named['regions']}`")
@@ -48,7 +48,7 @@ def submissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, name`` of the files below a folder; contents are not read."""
+    """``path, name`` of the files below a folder; contents are not read, empty files not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return files.select("path", text.basename(F.col("path")).alias("name"))
 
@@ -69,7 +69,7 @@ def run_id(path: Column) -> Column:
     return F.when(stem == "submission", folder).otherwise(F.regexp_replace(stem, "_submission$", ""))
 
 
-def run_label(run: Column, labels: DataFrame | None = None) -> Column:
+def run_label(run: Column) -> Column:
     """Label of a run: without leading number, separators as spaces."""
     return F.translate(F.regexp_replace(run, r"^\d+[_-]", ""), "_-", "  ")
 
