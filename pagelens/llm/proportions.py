@@ -24,7 +24,7 @@ SPLITS = ("train", "silver", "val", "test", "private")
 
 def canonical(c: Column) -> Column:
     """A value apart from letter case and surrounding white space; null is the empty value."""
-    return F.coalesce(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), F.lit(""))
 
 
 def max_flow(n: int, edges: list[tuple[int, int, int]], s: int, t: int) -> list[int]:
@@ -90,7 +90,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
     row = F.struct(
         F.col("record_id"),
         canonical(F.col("source")).alias("source"),
-        F.transform(F.col("regions"), lambda r: canonical(r["type"])).alias("types"),
+        F.transform(F.col("regions.type"), canonical).alias("types"),
     )
     return pages.groupBy("split", "file_name").agg(F.min(row).alias("r")).select("split", "file_name", "r.*")
 
