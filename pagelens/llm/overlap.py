@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..session import materialize
 
 TRAIN, EVAL = ("train", "silver"), ("val", "test", "private")
@@ -32,7 +33,7 @@ def image_key(file_name: Column) -> Column:
     """The image a file name denotes; null where nothing is left of it."""
     base = F.regexp_extract(F.lower(file_name), r"([^/\\]*)[/\\\s]*$", 1)
     stem = F.regexp_replace(F.trim(base), r"(?:\.(?:jpe?g|png|tiff?|bmp|webp))+$", "")
-    return F.nullif(F.trim(F.regexp_replace(stem, rf"(?:{_COPY})+$", "")), F.lit(""))
+    return bound(F.trim(F.regexp_replace(stem, rf"(?:{_COPY})+$", "")), lambda k: F.when(k != "", k))
 
 
 def _normal(text: str) -> list[str]:
@@ -63,13 +64,13 @@ def signed(pages: DataFrame, min_chars: int = 60) -> DataFrame:
     """
     import hashlib
 
-    texts = F.filter(F.transform("regions", lambda r: r["text"]), lambda t: t.isNotNull())
+    texts = F.col("regions.text")  # joining leaves nulls out
     bare = F.transform(texts, lambda t: F.regexp_replace(t, r"(?s)~~.*?~~(?:\{(.*?)\})?", "$1"))
     split = F.lower(F.trim("split"))
     rows = pages.select(
         "record_id",
         split.alias("split"),
-        F.lower(F.regexp_replace("source", r"^[\s ]+|[\s ]+$", "")).alias("source"),
+        F.lower(F.regexp_replace("source", r"^[\s\u00a0]+|[\s\u00a0]+$", "")).alias("source"),
         split.isin(*TRAIN).alias("trains"),
         image_key(F.col("file_name")).alias("image"),
         F.when(F.char_length(F.array_join(texts, "")) >= min_chars, F.array_join(bare, " ")).alias("text"),
