@@ -226,7 +226,7 @@ def normal_type(c: Column) -> Column:
 
 def first_of(*cols: Column) -> Column:
     """First value that is neither null nor empty."""
-    return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
+    return F.coalesce(*(F.when(c != "", c) for c in cols))
 
 
 def route(region_type: Column) -> Column:

@@ -10,7 +10,9 @@ type is a filter on it.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,6 +69,74 @@ def traverse(regions, lists=LISTS) -> Iterator[tuple]:
     return map(tuple, rows)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def loads(text: str):
+    """Parsed JSON of any depth: the library's reader, and a stack where that nests too deeply."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _loads_deep(text)
+
+
+def _loads_deep(text: str):
+    at = _SPACE.match(text).end()
+    root: list = []
+    stack: list = [root]  # open containers; a key waiting for its value stands on its object
+    while True:
+        top = stack[-1]
+        c = text[at : at + 1]
+        if c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif c in ("[", "{") and c:
+            value, at = ([] if c == "[" else {}), at + 1
+        elif m := _SCALAR.match(text, at):
+            value, at = json.loads(m[0]), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        if isinstance(top, str):
+            stack.pop()
+            stack[-1][top] = value
+        else:
+            top.append(value)
+        at = _SPACE.match(text, at).end()
+        if c in ("[", "{"):
+            stack.append(value)
+            if text[at : at + 1] == ("]" if c == "[" else "}"):
+                stack.pop()
+                at = _SPACE.match(text, at + 1).end()
+            elif c == "[":
+                continue
+        while True:  # close what ends here, then go to the next value
+            if len(stack) == 1:
+                if at != len(text):
+                    raise ValueError(f"more text at {at}")
+                return root[0]
+            top, c = stack[-1], text[at : at + 1]
+            first = isinstance(top, dict) and not top
+            if not first and c == ("}" if isinstance(top, dict) else "]"):
+                stack.pop()
+                at = _SPACE.match(text, at + 1).end()
+                continue
+            if not first:
+                if c != ",":
+                    raise ValueError(f"no comma at {at}")
+                at = _SPACE.match(text, at + 1).end()
+            if isinstance(top, dict):
+                if text[at : at + 1] != '"':
+                    raise ValueError(f"no key at {at}")
+                key, at = scanstring(text, at + 1, True)
+                at = _SPACE.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise ValueError(f"no colon at {at}")
+                at = _SPACE.match(text, at + 1).end()
+                top.setdefault(key, None)
+                stack.append(key)
+            break
+
+
 def _number(x) -> float | None:
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
 
@@ -107,22 +177,28 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        def full(cols: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
         for batch in batches:
             cols: list[list] = [[] for _ in schema]
-            for rid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            chars = 0
+            for rid, s in zip(batch.column(0), batch.column(1)):
+                s = s.as_py()
                 try:
-                    parsed = json.loads(s) if s else None
-                except (ValueError, RecursionError):
+                    parsed = loads(s) if s else None
+                except ValueError:
                     parsed = None
                 for x, kind, path, pre, post, level, parent, i in traverse(parsed):
-                    row = (name, rid, kind, path, pre, post, level, parent, i)
+                    row = (name, rid.as_py(), kind, path, pre, post, level, parent, i)
                     for c, v in zip(cols, (*row, *_values(x, kind)) if values else row):
                         c.append(v)
-                if len(cols[0]) > 20_000:  # a batch of deep records may hold many nodes
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-                    cols = [[] for _ in schema]
+                    chars += len(path)
+                    if len(cols[0]) > 20_000 or chars > 16_000_000:  # many or deep nodes of one batch
+                        yield full(cols)
+                        cols, chars = [[] for _ in schema], 0
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                yield full(cols)
 
     return df.select(F.col(key).cast("bigint").alias("record_id"), text.alias("regions")).mapInArrow(run, ddl)
 

@@ -19,7 +19,7 @@ def crops(spark, d):
 def pages(spark, d):
     """One row a page with normalized source and the types of its regions."""
     p = table(spark, d, "page_metadata")
-    types = F.transform("regions", lambda r: F.lower(text.strip(r["type"])))
+    types = F.transform(F.col("regions.type"), lambda t: F.lower(text.strip(t)))
     return p.select("record_id", "split", "file_name", F.coalesce(F.lower(text.strip(F.col("source"))), F.lit("unknown")).alias("source"), "collection_id",
                     F.filter(F.coalesce(types, F.array().cast("array<string>")), lambda t: t.isin(*S.HEAD, *S.MID, *S.TAIL)).alias("types"))
 

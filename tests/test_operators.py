@@ -131,6 +131,29 @@ def test_traverse(value):
         assert len(around) == r[5] and max(around, key=lambda o: o[3])[3] == r[6]
 
 
+@settings(max_examples=300, deadline=None)
+@given(json_value, st.sampled_from([None, 1]))
+def test_deep_reader(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert nested._loads_deep(text) == value
+    for cut in (text[:-1], text + "]", text.replace(":", "", 1), text.replace(",", "", 1)):
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            with pytest.raises(ValueError):
+                nested._loads_deep(cut)
+        else:
+            assert nested._loads_deep(cut) == want
+
+
+def test_deep_records(spark):
+    depth = 5_000
+    text = '[{"children": ' * depth + "[]" + "}]" * depth
+    df = spark.createDataFrame([(1, text[1:-1])], "row_id bigint, regions string")
+    nodes = nested.label(df, "t", "row_id", values=False)
+    assert nodes.selectExpr("max(level)", "count(*)").first()[:] == (depth, depth + 1)
+
+
 def test_nested_tables(spark):
     regions = [{"bbox": [1, 2, 3, 4], "type": "printed", "text": "а", "alternatives": {"text": "б", "score": 0.5, "marks": [None, {"kind": "strike", "pos": 1}]}, "children": [{"text": "в"}]}]
     rows = [(1, json.dumps(regions), "x"), (1, json.dumps(regions), "x"), (2, None, "y"), (3, "", None), (4, "{bad", None), (5, "[]", None), (None, "[{}]", None)]
