@@ -42,7 +42,8 @@ def _normal(text: str) -> list[str]:
     import regex
 
     text = unicodedata.normalize("NFKD", text.lower())
-    text = regex.sub(r"[\p{Mn}\p{Cf}'’ʼ`´]+", "", text).translate(str.maketrans(LOOKALIKE))
+    text = regex.sub(r"[\p{Mn}\p{Cf}'’ʼ`´]+", "", text)
+    text = regex.sub("[abcehikmoptxy]", lambda m: LOOKALIKE[m[0]], text)
     return regex.findall(r"[\p{L}\p{N}]+", text)
 
 
@@ -88,14 +89,32 @@ def signed(pages: DataFrame, min_chars: int = 60) -> DataFrame:
     return rows.mapInArrow(run, "record_id bigint, split string, source string, trains boolean, image string, class binary, words string")
 
 
-def _signature(words: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+BLOCK = 8192  # words hashed at once: bounds the memory, whatever the length of a text
+
+
+def _signatures(texts: list[str], known: dict[str, int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row of minima per text; whole texts, in blocks of words that may cut a text or hold many."""
     import xxhash
 
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.split(" ")), np.uint64)
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1024):  # whole texts, in blocks that bound the memory
-        part = h[at : at + 1024, None] * a + b
-        low = np.minimum(low, (part ^ (part >> np.uint64(29))).min(0))
+    if len(known) > 500_000:  # memory of a worker; only a cache
+        known.clear()
+    flat: list[int] = []
+    starts = np.empty(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        starts[k] = len(flat)
+        for w in t.split(" "):
+            if (h := known.get(w)) is None:
+                h = known[w] = xxhash.xxh3_64_intdigest(w) >> 32
+            flat.append(h)
+    h = np.array(flat, np.uint32)
+    low = np.full((len(texts), len(a)), 2**32 - 1, np.uint32)
+    for at in range(0, len(h), BLOCK):
+        end = min(at + BLOCK, len(h))
+        first, last = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, end, "left")
+        cut = np.maximum(starts[first:last], at) - at
+        x = h[at:end, None] * a
+        x += b
+        low[first:last] = np.minimum(low[first:last], np.minimum.reduceat(x, cut, axis=0))
     return low
 
 
@@ -104,15 +123,15 @@ def buckets(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.random.default_rng(SEED)
-        a, b, mix = (g.integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (bands * rows, bands * rows, (bands, rows)))
+        a, b = (g.integers(0, 2**31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+        mix = g.integers(0, 2**63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+        known: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                keys = np.empty((part.num_rows, bands), np.uint64)
-                for k, w in enumerate(part.column(1)):
-                    sig = _signature(w.as_py(), a, b).reshape(bands, rows)
-                    x = (sig * mix).sum(1, dtype=np.uint64)
-                    keys[k] = (x ^ (x >> np.uint64(31))) * mix[:, 0]
+                low = _signatures(part.column(1).to_pylist(), known, a, b).reshape(part.num_rows, bands, rows)
+                keys = (low * mix).sum(2, dtype=np.uint64)
+                keys = (keys ^ (keys >> np.uint64(31))) * mix[:, 0]
                 take = pa.array(np.repeat(np.arange(part.num_rows), bands))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), *(part.column(i).take(take) for i in (0, 2, 3))],

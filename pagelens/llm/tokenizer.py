@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,16 +186,17 @@ class Automaton:
         return b"".join(self.spelling[i] for i in ids).decode("utf-8", "replace")
 
 
-_held: dict[str, Automaton] = {}
-
-
 def _automaton(shared) -> Automaton:
-    """The automaton of this worker, built once per vocabulary."""
+    """The automaton of this worker process, built once per vocabulary.
+
+    This module travels with each task, so what outlives a task is kept in ``sys``.
+    """
     name, tables = shared
-    if name not in _held:
-        _held.clear()
-        _held[name] = Automaton(tables.value)
-    return _held[name]
+    held = sys.__dict__.setdefault("_pagelens_automata", {})
+    if name not in held:
+        held.clear()
+        held[name] = Automaton(tables.value)
+    return held[name]
 
 
 def _share(spark: SparkSession, path: str | None):
