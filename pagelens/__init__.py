@@ -1,0 +1,11 @@
+"""A PySpark-native engine for page-and-region document data.
+
+Functions that run in Python workers travel with the plan, so executors need not
+have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
