@@ -102,3 +102,9 @@ def suppress(boxes: Column, threshold: float, overlap=G.iou_floored, per_class:
         return F.exists(acc, lambda k: same(k) & (overlap(k, b) > threshold))
 
     return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda acc, b: F.when(hit(acc, b), acc).otherwise(F.array_append(acc, b)))
+
+
+def same_text(boxes: Column, threshold: float = 0.5) -> Column:
+    """Boxes without those that repeat the text of a better one they overlap (an extension)."""
+    labelled = F.transform(boxes, lambda b: b.withField("label", F.coalesce(b["text"], F.lit(""))))
+    return suppress(labelled, threshold, overlap=G.iou, per_class=True)

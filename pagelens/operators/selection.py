@@ -109,7 +109,13 @@ def buckets(quality: Column) -> list[tuple[str, Column, Column]]:
     ]
 
 
-def crop_examples(records: DataFrame, quality: Column, desired: int = 12) -> DataFrame:
+def few_buckets(quality: Column) -> list[tuple[str, Column, Column]]:
+    """The six buckets of a small figure."""
+    names = ("handwritten success", "printed success", "formula near-correct", "table example", "annotation near-correct", "type confusion")
+    return [b for b in buckets(quality) if b[0] in names]
+
+
+def crop_examples(records: DataFrame, quality: Column, desired: int = 12, wanted: list[tuple[str, Column, Column]] | None = None) -> DataFrame:
     """``(place, bucket, page, gt_idx, pred_idx)``: one record a bucket, none twice, then the best left.
 
     Each bucket's candidates are cut to as many as there are choices before it plus one:
@@ -117,7 +123,7 @@ def crop_examples(records: DataFrame, quality: Column, desired: int = 12) -> Dat
     driver.
     """
     key = ["page", "gt_idx", "pred_idx"]
-    wanted = buckets(quality)
+    wanted = list(wanted or buckets(quality))
     order = (
         F.when(F.col("shown") == "type confusion", 2.0).otherwise(0.0) * 1e6 + F.when(F.col("shown") == "failure", 1.0).otherwise(0.0) * 1e6 + quality
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, general, prep, reports, runs, shapes, show
+from . import evaluation, general, more, prep, reports, runs, shapes, show
 
 FLAGSHIP = "a1_score"
-_MODULES = [general, evaluation, shapes, prep, reports, show, runs]
+_MODULES = [general, evaluation, shapes, prep, reports, show, runs, more]
 
 
 def queries() -> dict:

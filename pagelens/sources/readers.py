@@ -86,3 +86,36 @@ def resolve(rows: DataFrame, files: DataFrame, key: str, candidates: list[Column
     known = files.select("path").distinct().withColumn("there", F.lit(True))
     order = F.struct((~F.coalesce("there", F.lit(False))).alias("absent"), "rank")
     return tried.where("path IS NOT NULL").join(known, "path", "left").groupBy(key).agg(F.min_by("path", order).alias("path"))
+
+
+def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Prepared samples of JSON lines."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
+def records_of_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``csv_file, line_no, raw`` of raw CSV files, records assembled quote-aware.
+
+    A file is one task's work: where a record ends depends on all that stands before it.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from ..operators.rejects import assemble
+
+    files = spark.read.text(path, wholetext=True).select(text.basename(F.col("_metadata.file_path")).alias("csv_file"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0), b.column(1)):
+                lines = content.as_py().removesuffix("\n").split("\n") if content.as_py() else []
+                raw = list(assemble(lines))
+                for at in range(0, len(raw), 10_000):
+                    part = raw[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name.as_py()] * len(part), pa.string()), pa.array(range(at + 1, at + 1 + len(part)), pa.int32()), pa.array(part, pa.string())],
+                        names=["csv_file", "line_no", "raw"],
+                    )
+
+    return files.mapInArrow(run, "csv_file string, line_no int, raw string")
