@@ -151,16 +151,16 @@ def _cuts(p: Column) -> Column:
     noise = rf"(?:(?:</?[^<>\s]{{1,20}}>|{OPEN}PAD{CLOSE}|�+){WS}*)?"
     begin = rf"{noise}(?:[—–−-]{WS}*)?[{OPEN}\"“„«(\[¿¡…{WS[1:-1]}]*"
     goes_on = rf"(?!{begin}(?:{LOWER}|$))(?![,;:=+*/^_%&|>)\]}}»”{CLOSE}{ENDS}{OWN}])"
-    end = rf"[{ENDS}]+[\ufe0f\p{{M}}]*(?:{WS}*{CLOSE}|[»”)\]])*"
+    end = rf"[{ENDS}]+[\ufe0f\p{{M}}]*(?:{WS}*{CLOSE}|[»”)\]]){{0,40}}"  # bounded: a stack frame for each
     p = _sub(p, rf"({end})(?={WS}+\S)(?={WS}+{goes_on})", "$1" + CUT)
     upper = rf"(?:\p{{Lu}}[\p{{Ll}}\s\u00a0'’]|[a-zа-яіїєґ]{WS}?=|\p{{Ll}}\p{{Lu}})"
-    p = _sub(p, rf"((?:\.(?<=[\p{{Ll}}\p{{M}}\p{{Nd}}}}$\]){CLOSE}]\.)|[!?…]|\.\.)(?:{CLOSE})*)(?=(?:[—–]{WS}*)?{OPEN}*{upper})", "$1" + CUT)
+    p = _sub(p, rf"((?:\.(?<=[\p{{Ll}}\p{{M}}\p{{Nd}}}}$\]){CLOSE}]\.)|[!?…]|\.\.){CLOSE}*)(?=(?:[—–]{WS}*)?{OPEN}*{upper})", "$1" + CUT)
     p = _sub(p, rf"(\.(?<=\p{{L}}{{5}}\.)|[!?…]|\.\.)(?=\p{{Nd}}+[.)]?{WS}+\p{{L}})", "$1" + CUT)
     cjk = lambda c: F.when(c.rlike(CJK), _sub(c, rf"((?<={CJK})(?:…|\.{{3}})+)(?={CJK})", "$1" + CUT)).otherwise(c)
 
     def own(c: Column) -> Column:
         x = _sub(c, rf"([{OWN}]+)(?!{WS}*[{OWN}{ENDS}{CLOSE}»”)\]」』])(?={WS}*\S)", "$1" + CUT)
-        x = _sub(x, rf"([{OWN}]+(?:{WS}*{CLOSE})+)(?!{WS}*(?:[とっ、，,;:—–{OWN}{ENDS}{CLOSE}]|\p{{Ll}}))(?={WS}*\S)", "$1" + CUT)
+        x = _sub(x, rf"([{OWN}]+(?:{WS}*{CLOSE}){{1,40}})(?!{WS}*(?:[とっ、，,;:—–{OWN}{ENDS}{CLOSE}]|\p{{Ll}}))(?={WS}*\S)", "$1" + CUT)
         return F.when(c.rlike(_NO_OWN), c).otherwise(x)
 
     thai = lambda c: F.when(c.rlike(THAI), _sub(c, rf"(?<={THAI}){HWS}+(?![\p{{Nd}}{WS[1:-1]}])(?=\S)", "$0" + CUT)).otherwise(c)
