@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import frames
 from ..operators import sampling as S
 from ..session import table
 
@@ -91,12 +92,10 @@ def r13_annotators(spark, d):
 
 def w9_chunks(spark, d):
     """Pages of each split in eight chunks of near equal size, in the order of their ids."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("split").orderBy("record_id")
-    n = F.count("*").over(Window.partitionBy("split"))
-    chunk = F.floor((F.row_number().over(w) - 1) / F.ceil(n / 8)).cast("int")
-    return table(spark, d, "page_metadata").select("record_id", "split", chunk.alias("chunk"))
+    p = frames.numbered(table(spark, d, "page_metadata").select("record_id", "split"), ["split", "record_id"], "n", 0)
+    per = p.groupBy("split").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    chunk = F.floor((F.col("n") - F.col("first")) / F.ceil(F.col("size") / 8)).cast("int")
+    return p.join(per, "split").select("record_id", "split", chunk.alias("chunk"))
 
 
 QUERIES = {f.__name__: f for f in (
