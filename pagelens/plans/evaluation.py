@@ -142,9 +142,6 @@ pred_second AS (SELECT p.page, string_agg(text, chr(10) ORDER BY floor((y1 + y2)
 second AS (SELECT g.page, levenshtein(coalesce(p.t, ''), g.t) / CAST(length(g.t) AS DOUBLE) AS page_cer FROM gt_second g LEFT JOIN pred_second p USING (page))"""
 _BY = """count(gt_type) AS gt_count, count(pred_type) AS pred_count, count(*) FILTER (status = 'matched') AS matched"""
 _F1 = "round(2e0 * {m} / greatest({g} + {p}, 1), 6) AS det_f1"
-#: Words of the texts here are few: a distance in words over letters that stand for them.
-_WORDS = """, words AS (SELECT DISTINCT unnest(string_split(t, ' ')) AS w FROM (SELECT gt_text AS t FROM scores WHERE scored UNION ALL SELECT pred_text FROM scores WHERE scored)),
-letters AS (SELECT w, row_number() OVER (ORDER BY w) AS n FROM words)"""
 
 SQL = {
     "j3_matches": M + "SELECT page, g AS gt_idx, p AS pred_idx, round(iou, 6) AS iou FROM matches",

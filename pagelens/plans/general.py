@@ -68,16 +68,29 @@ WITH RECURSIVE given AS (
   SELECT 'page_metadata' AS t, record_id AS id, to_json(regions) AS j FROM page_metadata WHERE regions IS NOT NULL
   UNION ALL SELECT 'sample_submission', row_id, CAST(regions AS JSON) FROM sample_submission WHERE regions <> '' AND json_valid(regions)),
 places AS (SELECT *, unnest(range(CASE json_type(j) WHEN 'ARRAY' THEN json_array_length(j)::BIGINT WHEN 'OBJECT' THEN 1 ELSE 0 END)) AS i FROM given),
-nodes(t, id, path, kind, level, o) AS (
-  SELECT t, id, CAST(i AS VARCHAR), 'region', 1, CASE json_type(j) WHEN 'OBJECT' THEN j ELSE json_extract(j, '$[' || i || ']') END FROM places
+nodes(t, id, path, kind, level, position, above, here, o) AS (
+  SELECT t, id, CAST(i AS VARCHAR), 'region', 1, CAST(i AS INT), '', lpad(CAST(i AS VARCHAR), 8, '0'), CASE json_type(j) WHEN 'OBJECT' THEN j ELSE json_extract(j, '$[' || i || ']') END FROM places
   UNION ALL
   SELECT t, id, path || '/' || name || '/' || i, CASE name WHEN 'alternatives' THEN 'alternative' WHEN 'marks' THEN 'mark' ELSE 'child' END,
-    level + 1, CASE json_type(x) WHEN 'OBJECT' THEN x ELSE json_extract(x, '$[' || i || ']') END
+    level + 1, CAST(i AS INT), here, here || CASE name WHEN 'alternatives' THEN 'a' WHEN 'marks' THEN 'b' ELSE 'c' END || lpad(CAST(i AS VARCHAR), 8, '0'), CASE json_type(x) WHEN 'OBJECT' THEN x ELSE json_extract(x, '$[' || i || ']') END
   FROM (SELECT *, unnest(range(CASE json_type(x) WHEN 'ARRAY' THEN json_array_length(x)::BIGINT WHEN 'OBJECT' THEN 1 ELSE 0 END)) AS i
     FROM (SELECT *, json_extract(o, '$.' || name) AS x FROM (SELECT *, unnest(['alternatives', 'marks', 'children']) AS name FROM nodes WHERE json_type(o) = 'OBJECT')))),
 objects AS (SELECT * FROM nodes WHERE json_type(o) = 'OBJECT')
 """
+#: Interval labels without a traversal: the k-th node in pre-order at level L is entered at 2k - L.
+_LABELLED = _NODES + """, k AS (SELECT *, row_number() OVER (PARTITION BY t, id ORDER BY here) * 2 - level AS pre FROM objects),
+d AS (SELECT a.t, a.id, a.here, count(*) - 1 AS n FROM objects a JOIN objects b ON b.t = a.t AND b.id = a.id AND starts_with(b.here, a.here) GROUP BY ALL),
+f AS (SELECT k.*, k.pre + 2 * d.n + 1 AS post, coalesce(p.pre, 0) AS parent_pre FROM k JOIN d ON d.t = k.t AND d.id = k.id AND d.here = k.here
+  LEFT JOIN k p ON p.t = k.t AND p.id = k.id AND p.here = k.above)
+SELECT t AS table_name, id AS record_id, path, CAST(pre AS BIGINT) AS pre, CAST(post AS BIGINT) AS post, CAST(level AS INT) AS level,
+  CAST(parent_pre AS BIGINT) AS parent_pre, position, """
+_TEXTS = lambda *names: ", ".join(f"json_extract_string(o, '$.{n}') AS {n}" for n in names)
+_BOXED = "CAST(json_extract(o, '$.bbox') AS DOUBLE[]) AS bbox, " + _TEXTS("type", "language", "legibility", "text") + ", CAST(json_extract(o, '$.score') AS DOUBLE) AS score FROM f WHERE kind = "
 SQL = {
+    "p2_regions": _LABELLED + _BOXED + "'region'",
+    "p2_children": _LABELLED + _BOXED + "'child'",
+    "p2_alternatives": _LABELLED + _TEXTS("text", "annotation_source") + ", CAST(json_extract(o, '$.score') AS DOUBLE) AS score FROM f WHERE kind = 'alternative'",
+    "p2_marks": _LABELLED + _TEXTS("kind") + ", CAST(json_extract(o, '$.pos') AS BIGINT) AS pos, CAST(json_extract(o, '$.len') AS BIGINT) AS len FROM f WHERE f.kind = 'mark'",
     "p2_found": _NODES + "SELECT t AS table_name, id AS record_id, path FROM objects WHERE level > 1",
     "p2_parents": _NODES + "SELECT t AS table_name, kind AS node_type, CAST(level AS INT) AS level, count(*) AS nodes, "
     "count(DISTINCT id || ' ' || split_part(path, '/', 1)) AS regions FROM objects WHERE level > 1 GROUP BY ALL",

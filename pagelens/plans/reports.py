@@ -107,29 +107,29 @@ def j12_patch(spark, d):
     )
 
 
-def p1_scorable(spark, d):
+def filter_scorable(spark, d):
     r = _regions(spark, d)
     ok = text.scorable(text.normal_type(F.col("type")), F.col("language"), F.col("legibility"))
     return r.groupBy("source").agg(F.count("*").alias("regions"), F.count_if(ok).alias("scorable"))
 
 
-def p2_route(spark, d):
+def filter_route(spark, d):
     t = F.lower(text.strip(F.col("type")))
     return _regions(spark, d).groupBy(text.route(t).alias("route")).agg(F.count("*").alias("n"))
 
 
-def p3_candidates(spark, d):
+def filter_candidates(spark, d):
     """Crops fit for training: text type, sane text."""
     return crops(spark, d).where(_label().isin(*TEXT_TYPES) & text.sane(F.col("text"))).select("crop_id")
 
 
-def p4_smart(spark, d):
+def filter_smart(spark, d):
     """Regions to be read again: blank, very short or very long."""
     t = text.strip(F.coalesce(F.col("text"), F.lit("")))
     return _regions(spark, d).where((t == "") | (F.char_length(t) < 4) | (F.char_length(t) > 160)).select("record_id", "idx")
 
 
-def p8_limits(spark, d):
+def filter_limits(spark, d):
     p = table(spark, d, "page_metadata").where("regions IS NOT NULL")
     chars = F.aggregate(F.col("regions"), F.lit(0), lambda a, r: a + F.coalesce(F.char_length(r["text"]), F.lit(0)))
     return p.where(F.size("regions").between(1, 60) & (chars <= 9000)).select("record_id", F.size("regions").alias("n"), chars.alias("chars"))
@@ -201,13 +201,6 @@ def t11_sane(spark, d):
     return crops(spark, d).select("crop_id", text.sane(F.col("text")).alias("sane"))
 
 
-def t12_repaired(spark, d):
-    """Texts broken on purpose, UTF-8 read as Latin, repaired again: the share restored."""
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    rows = crops(spark, d).where("text IS NOT NULL").select("text", text.repair(broken).alias("again"))
-    return rows.select(F.count("*").over().alias("n")).limit(0).unionByName(rows.agg(F.count("*").alias("n")))
-
-
 def t13_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.clean(F.col("text"))).alias("h"))
 
@@ -265,14 +258,9 @@ def k10_violations(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     s4_reasons, s4_examples, s5_fields, s10_run_ids, s14_basename, s15_errors, s16_lenient, s21_union, j1_solution, j2_coverage, w2_keep_last, j6_labels, j12_patch,
-    p8_limits, a10_labels, a11_lengths, a12_truncation, a14_before_after, a15_totals, a18_summary, t3_crops, t1_normalized, t8_invalid, t9_cleaned, t11_sane, t13_clean, t14_truncated,
+    filter_scorable, filter_route, filter_candidates, filter_smart, filter_limits, a10_labels, a11_lengths, a12_truncation, a14_before_after, a15_totals, a18_summary, t3_crops, t1_normalized, t8_invalid, t9_cleaned, t11_sane, t13_clean, t14_truncated,
     t15_slug, t19_numbers, t20_cyrillic, o1_ranked, u2_difference, k6_markdown, k7_coco, k10_violations,
 )}
-#: Predicates of the reference; their names must not look like those of numbered problems.
-QUERIES |= {"filter_scorable": p1_scorable, "filter_route": p2_route, "filter_candidates": p3_candidates, "filter_smart": p4_smart}
-del QUERIES["p8_limits"]
-QUERIES["filter_limits"] = p8_limits
-
 _S = r"regexp_replace({}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
 _LABEL = f"lower({_S.format('label')})"
 _KNOWN = "('handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph')"

@@ -76,7 +76,7 @@ def g20_budget(spark, d):
 
 def g22_shares(spark, d):
     b = boxes(spark, d)
-    return b.select("record_id", "idx", F.round(G.area_ratio(F.col("b"), F.col("w"), F.col("h")), 6).alias("ratio"), G.percent(F.col("b.x1"), F.col("w")).alias("left"))
+    return b.select("record_id", "idx", G.area_ratio(F.col("b"), F.col("w"), F.col("h")).alias("ratio"), G.percent(F.col("b.x1"), F.col("w")).alias("left"))
 
 
 QUERIES = {
@@ -163,5 +163,5 @@ SELECT record_id, idx, printf('%d %.6f %.6f %.6f %.6f', t, cx, cy, bw, bh) AS li
     "g20_budget": "SELECT record_id, CASE WHEN image_width * image_height <= 1000000 THEN image_width ELSE greatest(1, CAST(round_even(image_width * s, 0) AS INT)) END AS w, "
     "CASE WHEN image_width * image_height <= 1000000 THEN image_height ELSE greatest(1, CAST(round_even(image_height * s, 0) AS INT)) END AS h FROM "
     "(SELECT *, sqrt(1e6 / greatest(1, image_width * image_height)) AS s FROM page_metadata)",
-    "g22_shares": BOXES + " SELECT record_id, idx, round(greatest(1e0, (x2 - x1) * (y2 - y1)) / greatest(1e0, w * h), 6) AS ratio, CASE WHEN w > 0 THEN round(x1 / w * 100, 4) ELSE 0e0 END AS \"left\" FROM b",
+    "g22_shares": BOXES + " SELECT record_id, idx, greatest(1e0, (x2 - x1) * (y2 - y1)) / greatest(1e0, w * h) AS ratio, CASE WHEN w > 0 THEN round(x1 / w * 100, 4) ELSE 0e0 END AS \"left\" FROM b",
 }

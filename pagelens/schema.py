@@ -12,12 +12,10 @@ STRUCTURED_TYPES = ("formula", "table")
 VISUAL_TYPES = ("image", "graph")
 SOURCES = ("dictation", "archive", "university", "school")
 
-REGION = "bbox array<double>, type string, language string, legibility string, text string"
 PAGE = (
     "file_name string, image_width int, image_height int, source string, annotation_source string, "
     "regions array<struct<bbox: array<double>, type: string, language: string, legibility: string, text: string>>"
 )
-SUBMISSION = "image string, regions string"
 
 
 def one_of(c: Column, values: tuple[str, ...]) -> Column:

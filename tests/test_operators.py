@@ -310,3 +310,68 @@ def test_inference(spark):
     assert inference.best_checkpoint(m).first()["step"] == 200
     p = spark.createDataFrame([("x/checkpoint-90",), ("x/checkpoint-1000/",), ("x/other",)], "path string")
     assert inference.latest_checkpoint(p).first()["path"] == "x/checkpoint-1000/"
+
+
+# ------------------------------------------------------------------ breakdowns and examples
+def _fixture(spark, seed=3, pages=30):
+    r = random.Random(seed)
+    kinds = ["handwritten", "printed", "formula", "table", "annotation", "image", "graph"]
+    rows = []
+    for page in range(pages):
+        gt = [(i, 0.0, 40.0 * i, 100.0, 40.0 * i + 30, r.choice(kinds), " ".join(r.choice(["один", "два", "три"]) for _ in range(3)), r.choice(["uk", "uk", "other", None]), "legible") for i in range(r.randrange(0, 7))]
+        pred = [(i, g[1], g[2] + r.choice([0, 3, 30]), g[3], g[4] + 3, r.choice([g[5], g[5], "printed"]), g[6].replace("два", r.choice(["два", "даа"])), None, None) for i, g in enumerate(gt) if r.random() < 0.9]
+        rows.append((page, ["school", "archive"][page % 2], gt, pred))
+    return spark.createDataFrame(rows, f"page bigint, source string, gt array<{BOX}>, pred array<{BOX}>")
+
+
+def _edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_breakdowns(spark):
+    rows = metrics.records(_fixture(spark), ["page", "source"])
+    local = [r for r in rows.collect() if r["scored"] and r["gt_type"] in ("handwritten", "printed", "annotation")]
+    assert len(local) > 10 and any(r["cer"] for r in local)
+    for r in local:
+        assert r["cer"] == _edit(r["pred_norm"], r["gt_norm"]) / max(len(r["gt_norm"]), 1)
+    words = [(_edit(r["pred_norm"].split(), r["gt_norm"].split()), len(r["gt_norm"].split())) for r in local]
+    macro, micro = metrics.macro(rows, []).first(), metrics.micro(rows, []).first()
+    mean = lambda xs: sum(xs) / len(xs)
+    assert macro["n"] == len(local) and abs(macro["cer"] - mean([r["cer"] for r in local])) < 1e-9
+    assert abs(macro["wer"] - mean([d / max(n, 1) for d, n in words])) < 1e-9 and abs(macro["exact"] - mean([r["exact"] for r in local])) < 1e-9
+    assert abs(micro["wer"] - sum(d for d, _ in words) / sum(n for _, n in words)) < 1e-9
+    assert abs(micro["cer"] - sum(r["distance"] for r in local) / sum(r["gt_length"] for r in local)) < 1e-9
+    branch = {(r["type"], r["source"]): r for r in metrics.text_branch(rows).collect()}
+    assert branch[("all", "all")]["n"] == len(local) and sum(r["n"] for k, r in branch.items() if k[0] == "all" and k[1] != "all") == len(local)
+    types = {r["type"]: r for r in metrics.by_type(rows).collect()}
+    every = rows.collect()
+    assert len(types) == 7 and sum(t["pred_count"] for t in types.values()) == sum(r["pred_type"] is not None for r in every)
+    s = metrics.structured(rows).first()
+    assert abs(s["struct_acc"] + s["invalid_rate"] - 1) < 1e-9
+
+
+def test_examples(spark):
+    from pagelens.operators import selection
+
+    rows = metrics.records(_fixture(spark), ["page", "source"])
+    rows = rows.withColumns({"shown": selection.status(F.col("scored")), "scorable": F.coalesce(~F.col("gt_type").isin("image", "graph"), F.lit(False))})
+    quality_ = selection.crop_quality(F.lit(1000), F.lit(400))
+    got = selection.crop_examples(rows, quality_).collect()
+    keys = [(r["page"], r["gt_idx"], r["pred_idx"]) for r in got]
+    assert len(got) == 12 and len(set(keys)) == 12 and [r["place"] for r in got] == list(range(12))
+    # the same by the plain rule: bucket after bucket, the best record not used yet
+    marked = rows.select("page", "gt_idx", "pred_idx", *(F.when(F.coalesce(c, F.lit(False)), p.cast("double")).alias(f"b{i}") for i, (_, c, p) in enumerate(selection.buckets(quality_)))).collect()
+    used, want = set(), []
+    for i, (name, _, _) in enumerate(selection.buckets(quality_)):
+        best = sorted((-r[f"b{i}"], r["page"], -1 if r["gt_idx"] is None else r["gt_idx"], -1 if r["pred_idx"] is None else r["pred_idx"], r) for r in marked if r[f"b{i}"] is not None and (r["page"], r["gt_idx"], r["pred_idx"]) not in used)
+        if best:
+            r = best[0][-1]
+            used.add((r["page"], r["gt_idx"], r["pred_idx"])), want.append((name, r["page"], r["gt_idx"], r["pred_idx"]))
+    assert [(r["bucket"], r["page"], r["gt_idx"], r["pred_idx"]) for r in got][: len(want)] == want
+    assert len(selection.crop_examples(rows, quality_, 4, selection.few_buckets(quality_)).collect()) == 4
