@@ -82,7 +82,6 @@ def _all_but(chars: str) -> str:
 
 
 _OPENERS = "".join(o for o, _ in PAIRS)
-_CLOSERS = "".join(dict.fromkeys("".join(c for _, c in PAIRS)))
 #: A whole quotation or bracket without another of its kind inside, or what lies between.
 _SPANS = "|".join(
     _class(o) + _not("".join(dict.fromkeys(o + c))) + "*+" + _class(c) for o, c in PAIRS
