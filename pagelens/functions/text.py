@@ -58,6 +58,8 @@ DASHES = "[\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d]"
 DOUBLE_QUOTES, SINGLE_QUOTES = '["\u201c\u201d\u201e\u00ab\u00bb\u2033]', "['\u2018\u2019\u02bc\u2032]"
 SPACES = "[ \t\u00a0\u2000-\u200b\u3000]+"
 COMBINING = "[\u0300-\u036f\u20d0-\u20ff]"
+# Pipelines whose names augmentation puts into a copy's file name, after "_" or "_aug_".
+PIPELINES = "light|dense|rare|heavy|mix"
 # ------------------------------------------------------------------------------
 
 #: A text without any of these is left as it is by the rules of formulas and tables.
@@ -218,7 +220,7 @@ def base_image(path: Column, literal: bool = False) -> Column:
     ``literal`` removes the number alone, which leaves the pipeline in the name.
     """
     name = basename(path)
-    return sub(name, r"_aug\d+") if literal else sub(name, r"(?:_(?:aug_)?(?:light|dense|rare|heavy|mix))?_aug\d+")
+    return sub(name, r"_aug\d+") if literal else sub(name, rf"(?:_(?:aug_)?(?:{PIPELINES}))?_aug\d+")
 
 
 def normal_type(c: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound
+from ..functions.text import PIPELINES, bound
 from ..session import materialize
 
 TRAIN, EVAL = ("train", "silver"), ("val", "test", "private")
@@ -24,7 +24,7 @@ BANDS, ROWS, SEED = 64, 6, 20_240_501
 PER_TASK = 2_000_000  # pairs of one bucket that a task may emit; more are salted
 
 # What copying and augmentation append to a file's stem.
-_COPY = r"\s*\(\d+\)|[\s_-]*(?:copy|копія|копия|kopie|copia)(?:[\s_-]*\d+|\s*\(\d+\))?|(?:_(?:aug|light|heavy|medium|mix|strong|soft|color|geo))*_aug_?\d+"
+_COPY = rf"\s*\(\d+\)|[\s_-]*(?:copy|копія|копия|kopie|copia)(?:[\s_-]*\d+|\s*\(\d+\))?|(?:_(?:aug|{PIPELINES}|medium|strong|soft|color|geo))*_aug_?\d+"
 #: Latin letters and the Cyrillic ones they look like (fixed values, lower case).
 LOOKALIKE = dict(zip("abcehikmoptxy", "авсенікмортху"))
 

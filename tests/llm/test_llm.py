@@ -154,6 +154,13 @@ def test_image_key(spark):
     assert keys == ["ab-1_p2"] * len(same) + ["ab-1_p1", "ab-1", None, None]
 
 
+def test_pipelines_of_augmentation(spark):
+    """Copies of every pipeline pair by name alone; other words before the suffix stay."""
+    names = ["u.jpg", "u_aug_light_aug001.jpg", "u_aug_rare_aug001.jpg", "x/u_aug_dense_aug002.PNG", "u_rare_aug1.jpg", "u_dense_aug12.jpeg", "u_diary_aug001.jpg"]
+    df = spark.createDataFrame([(k, "train" if k else "test", x, None, None, None, None) for k, x in enumerate(names)], REGIONS)
+    assert {tuple(x) for x in overlap.found(df).collect()} == {(0, k) for k in range(1, 6)}
+
+
 REGIONS = "record_id bigint, split string, file_name string, source string, regions array<struct<text:string,type:string>>, image string, class string"
 
 
