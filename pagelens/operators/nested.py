@@ -145,8 +145,36 @@ def _integer(x) -> int | None:
     return x if isinstance(x, int) and not isinstance(x, bool) and -(2**63) <= x < 2**63 else None
 
 
+def dumps(x) -> str:
+    """JSON text of a parsed value of any depth; escaped where it holds half a surrogate pair."""
+    try:
+        text = json.dumps(x, ensure_ascii=False)
+    except RecursionError:
+        text = _dumps_deep(x)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _dumps_deep(x) -> str:
+    out: list[str] = []
+    stack: list = [x]  # values to write; a tuple holds text as it is
+    while stack:
+        v = stack.pop()
+        if isinstance(v, tuple):
+            out.append(v[0])
+        elif isinstance(v, (dict, list)):
+            parts: list = [("{" if isinstance(v, dict) else "[",)]
+            for i, y in enumerate(v.items() if isinstance(v, dict) else v):
+                comma = ", " if i else ""
+                parts += [(f"{comma}{json.dumps(y[0], ensure_ascii=False)}: ",), y[1]] if isinstance(v, dict) else [(comma,), y]
+            parts.append(("}" if isinstance(v, dict) else "]",))
+            stack += parts[::-1]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def _string(x) -> str | None:
-    return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    return x if x is None or isinstance(x, str) else dumps(x)
 
 
 def _values(x: dict | None, kind: str) -> list:
@@ -160,17 +188,46 @@ def _values(x: dict | None, kind: str) -> list:
     ]
 
 
-def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regions", values: bool = True) -> DataFrame:
+def _bare(value):
+    """What stands in place of a list of objects without being one: null for each object."""
+    if isinstance(value, list):
+        return [None if isinstance(x, dict) else x for x in value] if any(not isinstance(x, (dict, type(None))) for x in value) else None
+    return None if isinstance(value, dict) else value
+
+
+def _rest(x: dict, kind: str) -> dict:
+    """The fields of an object that neither its attributes nor the nodes below it hold."""
+    out: dict = {}
+    for k, v in x.items():
+        if k in LISTS:
+            if (left := _bare(v)) is not None:
+                out[k] = left
+        elif k not in ATTRIBUTES[kind]:
+            out[k] = v
+        elif v is None:
+            continue
+        elif k == "bbox":
+            if not isinstance(v, list) or any(y is not None and _number(y) is None for y in v):
+                out[k] = v
+        elif k == "score" and _number(v) is None or k in ("pos", "len") and _integer(v) is None:
+            out[k] = v
+    return out
+
+
+def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regions", values: bool = True, rest: bool = False) -> DataFrame:
     """Labelled nodes of every record: ``table_name, record_id, node_type, path, pre, post, level, parent_pre, position``.
 
     ``regions`` may be a nested column or a string of JSON.  ``values`` adds the
-    attributes of all types (null where a type has none).  The record itself is the
+    attributes of all types (null where a type has none).  ``rest`` adds JSON text of
+    what neither they nor the nodes below hold: fields of other names, and values of
+    another JSON type than their column (null where nothing is left; at the record,
+    what ``regions`` is where it is no list of objects).  The record itself is the
     node of type ``page`` with ``parent_pre`` null.  Null, empty and unreadable
     regions give only that node; repeated keys have theirs each; other columns are
     not read.  No shuffle.
     """
     text = F.col(regions) if isinstance(df.schema[regions].dataType, T.StringType) else F.to_json(regions)
-    ddl = f"{_LABELS}, {_VALUES}" if values else _LABELS
+    ddl = ", ".join([_LABELS, *[_VALUES] * values, *["rest string"] * rest])
     schema = T._parse_datatype_string(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +245,16 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
                 try:
                     parsed = loads(s) if s else None
                 except ValueError:
-                    parsed = None
+                    parsed = s
                 for x, kind, path, pre, post, level, parent, i in traverse(parsed):
                     row = (name, rid.as_py(), kind, path, pre, post, level, parent, i)
-                    for c, v in zip(cols, (*row, *_values(x, kind)) if values else row):
+                    if values:
+                        row += (*_values(x, kind),)
+                    if rest:
+                        left = _rest(x, kind) if x is not None else {} if (bare := _bare(parsed)) is None else {regions: bare}
+                        row += (dumps(left) if left else None,)
+                        chars += len(row[-1] or "")
+                    for c, v in zip(cols, row):
                         c.append(v)
                     chars += len(path)
                     if len(cols[0]) > 20_000 or chars > 16_000_000:  # many or deep nodes of one batch
@@ -204,9 +267,9 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
 
 
 def flat(nodes: DataFrame, kind: str) -> DataFrame:
-    """The table of one type: labels, link to the parent and the type's attributes."""
+    """The table of one type: labels, link to the parent, the type's attributes, and the rest where labelled with it."""
     return nodes.where(F.col("node_type") == kind).select(
-        "table_name", "record_id", "path", "pre", "post", "level", "parent_pre", "position", *ATTRIBUTES[kind]
+        "table_name", "record_id", "path", "pre", "post", "level", "parent_pre", "position", *ATTRIBUTES[kind], *(c for c in nodes.columns if c == "rest")
     )
 
 

@@ -9,9 +9,9 @@ from ..operators import nested, rejects
 from ..session import table
 
 
-def _nodes(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
-    pages = nested.label(table(spark, d, "page_metadata"), "page_metadata", "record_id", values=values)
-    sent = nested.label(table(spark, d, "sample_submission"), "sample_submission", "row_id", values=values)
+def _nodes(spark: SparkSession, d: str, values: bool = True, rest: bool = False) -> DataFrame:
+    pages = nested.label(table(spark, d, "page_metadata"), "page_metadata", "record_id", values=values, rest=rest)
+    sent = nested.label(table(spark, d, "sample_submission"), "sample_submission", "row_id", values=values, rest=rest)
     return pages.unionByName(sent)
 
 
@@ -26,6 +26,11 @@ def _flat(kind: str):
     return query
 
 
+def p2_rest(spark: SparkSession, d: str) -> DataFrame:
+    """What the tables of the types have no column for, by the labels of its object."""
+    return _nodes(spark, d, values=False, rest=True).where("rest IS NOT NULL")
+
+
 def p2_parents(spark: SparkSession, d: str) -> DataFrame:
     """Nodes below regions, by type of the node and of its region, linked by containment."""
     nodes = _nodes(spark, d, values=False)
@@ -58,6 +63,7 @@ QUERIES = {
     "p2_alternatives": _flat("alternative"),
     "p2_marks": _flat("mark"),
     "p2_children": _flat("child"),
+    "p2_rest": p2_rest,
     "p2_parents": p2_parents,
     "p4_found": p4_found,
     "p4_loaded": p4_loaded,

@@ -169,6 +169,29 @@ def test_nested_tables(spark):
     assert inside.count() == 3
 
 
+def test_nested_rest(spark):
+    """Every field of an object is in a column, in a node below, or in the rest."""
+    meta = {"by": "о", "n": [1, None, {"x": True}]}
+    region = {"bbox": [1, "2", 3, 4], "type": "printed", "text": 5, "score": "0.9", "meta": meta, "children": [{"text": "в", "meta": None, "score": 1}], "alternatives": ["а", {"text": "б", "type": "x", "marks": {"pos": "1", "len": 2.0}}]}
+    deep = '{"meta": ' + '[{"a": ' * 3_000 + "1" + "}]" * 3_000 + "}"
+    rows = [(1, json.dumps([region, 7])), (2, deep), (3, '[{"text": "а", "bbox": [1, null]}, null]'), (4, "{bad"), (5, '[{"x": "\\ud800"}]'), (6, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, regions string")
+    nodes = nested.label(df, "t", "row_id", rest=True)
+    got = {(r["record_id"], r["node_type"]): r["rest"] for r in nodes.collect()}
+    assert {k: json.loads(v) for k, v in got.items() if v and k[0] != 2} == {
+        (1, "page"): {"regions": [None, 7]}, (1, "region"): {"bbox": [1, "2", 3, 4], "score": "0.9", "meta": meta, "alternatives": ["а", None]},
+        (1, "child"): {"meta": None}, (1, "alternative"): {"type": "x"}, (1, "mark"): {"pos": "1", "len": 2.0}, (4, "page"): {"regions": "{bad"}, (5, "region"): {"x": "\ud800"},
+    }
+    assert got[(2, "region")] == deep and len(got) == 13
+    assert nested.flat(nodes, "child").first()["rest"] == '{"meta": null}' and "rest" not in nested.label(df, "t", "row_id").columns
+
+
+@settings(max_examples=200, deadline=None)
+@given(json_value)
+def test_deep_writer(value):
+    assert nested._dumps_deep(value) == json.dumps(value, ensure_ascii=False)
+
+
 def test_nested_column(spark):
     ddl = "record_id bigint, regions array<struct<bbox:array<double>,text:string,alternatives:array<struct<text:string,marks:array<struct<kind:string,pos:int,len:int>>>>>>"
     df = spark.createDataFrame([(7, [(None, None, [None, ("а", [("k", 1, 2), None])]), None])], ddl)
