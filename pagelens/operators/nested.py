@@ -214,6 +214,17 @@ def _rest(x: dict, kind: str) -> dict:
     return out
 
 
+def _parsed(text: str | None):
+    try:
+        return loads(text) if text else None
+    except ValueError:
+        return text
+
+
+def _json(df: DataFrame, regions: str) -> Column:
+    return F.col(regions) if isinstance(df.schema[regions].dataType, T.StringType) else F.to_json(regions)
+
+
 def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regions", values: bool = True, rest: bool = False) -> DataFrame:
     """Labelled nodes of every record: ``table_name, record_id, node_type, path, pre, post, level, parent_pre, position``.
 
@@ -226,7 +237,6 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
     regions give only that node; repeated keys have theirs each; other columns are
     not read.  No shuffle.
     """
-    text = F.col(regions) if isinstance(df.schema[regions].dataType, T.StringType) else F.to_json(regions)
     ddl = ", ".join([_LABELS, *[_VALUES] * values, *["rest string"] * rest])
     schema = T._parse_datatype_string(ddl)
 
@@ -241,11 +251,7 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
             cols: list[list] = [[] for _ in schema]
             chars = 0
             for rid, s in zip(batch.column(0), batch.column(1)):
-                s = s.as_py()
-                try:
-                    parsed = loads(s) if s else None
-                except ValueError:
-                    parsed = s
+                parsed = _parsed(s.as_py())
                 for x, kind, path, pre, post, level, parent, i in traverse(parsed):
                     row = (name, rid.as_py(), kind, path, pre, post, level, parent, i)
                     if values:
@@ -263,7 +269,27 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
             if cols[0]:
                 yield full(cols)
 
-    return df.select(F.col(key).cast("bigint").alias("record_id"), text.alias("regions")).mapInArrow(run, ddl)
+    return df.select(F.col(key).cast("bigint").alias("record_id"), _json(df, regions).alias("regions")).mapInArrow(run, ddl)
+
+
+def pages(df: DataFrame, name: str, key: str = "record_id", regions: str = "regions") -> DataFrame:
+    """The table of the records themselves: the labels :func:`label` gives them, and all other columns.
+
+    The columns ride along, so that repeated and null keys keep their own.  No shuffle.
+    """
+    others = [c for c in df.columns if c not in (key, regions)]
+    rows = df.select(F.col(key).cast("bigint").alias("record_id"), *others, _json(df, regions).alias("regions"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("post", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            posts = [next(traverse(_parsed(s.as_py())))[4] for s in b.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(posts, pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema).select(
+        F.lit(name).alias("table_name"), "record_id", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("pre"), "post", F.lit(0).alias("level"),
+        F.lit(None).cast("bigint").alias("parent_pre"), F.lit(0).alias("position"), *others,
+    )
 
 
 def flat(nodes: DataFrame, kind: str) -> DataFrame:

@@ -26,6 +26,12 @@ def _flat(kind: str):
     return query
 
 
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of both tables as nodes, with their own columns; null where a table has none."""
+    pages = nested.pages(table(spark, d, "page_metadata"), "page_metadata", "record_id")
+    return pages.unionByName(nested.pages(table(spark, d, "sample_submission"), "sample_submission", "row_id"), allowMissingColumns=True)
+
+
 def p2_rest(spark: SparkSession, d: str) -> DataFrame:
     """What the tables of the types have no column for, by the labels of its object."""
     return _nodes(spark, d, values=False, rest=True).where("rest IS NOT NULL")
@@ -59,6 +65,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_pages": p2_pages,
     "p2_regions": _flat("region"),
     "p2_alternatives": _flat("alternative"),
     "p2_marks": _flat("mark"),
@@ -92,7 +99,10 @@ SELECT t AS table_name, id AS record_id, path, CAST(pre AS BIGINT) AS pre, CAST(
   CAST(parent_pre AS BIGINT) AS parent_pre, position, """
 _TEXTS = lambda *names: ", ".join(f"json_extract_string(o, '$.{n}') AS {n}" for n in names)
 _BOXED = "CAST(json_extract(o, '$.bbox') AS DOUBLE[]) AS bbox, " + _TEXTS("type", "language", "legibility", "text") + ", CAST(json_extract(o, '$.score') AS DOUBLE) AS score FROM f WHERE kind = "
+_PAGE = "SELECT '{0}' AS table_name, {1} AS record_id, '' AS path, CAST(0 AS BIGINT) AS pre, CAST(2 * coalesce(n, 0) + 1 AS BIGINT) AS post, CAST(0 AS INT) AS level, " \
+    "CAST(NULL AS BIGINT) AS parent_pre, CAST(0 AS INT) AS position, {0}.* EXCLUDE ({1}, regions) FROM {0} LEFT JOIN n ON t = '{0}' AND id = {1}"
 SQL = {
+    "p2_pages": _NODES + ", n AS (SELECT t, id, count(*) AS n FROM objects GROUP BY ALL) " + _PAGE.format("page_metadata", "record_id") + " UNION ALL BY NAME " + _PAGE.format("sample_submission", "row_id"),
     "p2_regions": _LABELLED + _BOXED + "'region'",
     "p2_children": _LABELLED + _BOXED + "'child'",
     "p2_alternatives": _LABELLED + _TEXTS("text", "annotation_source") + ", CAST(json_extract(o, '$.score') AS DOUBLE) AS score FROM f WHERE kind = 'alternative'",

@@ -186,6 +186,19 @@ def test_nested_rest(spark):
     assert nested.flat(nodes, "child").first()["rest"] == '{"meta": null}' and "rest" not in nested.label(df, "t", "row_id").columns
 
 
+def test_nested_pages(spark):
+    """A row a record with its own columns, which the parent_pre of its regions points to."""
+    from pagelens.plans import general
+
+    text = '[{"children": [{}, null]}, {}]'
+    rows = [(1, text, "a", 5), (1, text, None, None), (2, None, "b", 6), (None, "{bad", "c", None)]
+    got = nested.pages(spark.createDataFrame(rows, "row_id bigint, regions string, run_id string, n int"), "t", "row_id")
+    assert sorted([tuple(r) for r in got.select("record_id", "pre", "post", "level", "parent_pre", "position", "run_id", "n").collect()], key=str) == sorted(
+        [(1, 0, 7, 0, None, 0, "a", 5), (1, 0, 7, 0, None, 0, None, None), (2, 0, 1, 0, None, 0, "b", 6), (None, 0, 1, 0, None, 0, "c", None)], key=str
+    )
+    assert "p2_pages" in general.QUERIES and "p2_pages" in general.SQL
+
+
 @settings(max_examples=200, deadline=None)
 @given(json_value)
 def test_deep_writer(value):
