@@ -115,6 +115,18 @@ def _spans(p: Column) -> Column:
     return F.when(p.rlike(_NO_OPENER), p).otherwise(F.array_join(pieces, ""))
 
 
+def _nests(p: Column) -> Column:
+    """Spans until no pair is left: a pass closes one at least, so the opening marks bound them."""
+
+    def step(acc: Column, _: Column) -> Column:
+        after = F.element_at(F.transform(F.array(_spans(acc["p"])), lambda q: F.struct(q.alias("p"), (q != acc["p"]).alias("more"))), 1)
+        return F.when(acc["more"], after).otherwise(acc)
+
+    levels = F.sequence(F.lit(1), F.regexp_count(p, F.lit(_class(_OPENERS))))
+    closed = F.aggregate(levels, F.struct(p.alias("p"), F.lit(True).alias("more")), step, lambda acc: acc["p"])
+    return F.when(p.rlike(_NO_OPENER), p).otherwise(closed)
+
+
 def _dot(before: str, after: str = "") -> str:
     """A period after ``before``; the search begins at the periods, which are few."""
     return rf"\.(?<={before}\.){after}"
@@ -188,7 +200,7 @@ def paragraphs(text: Column) -> Column:
 
 def pieces(text: Column) -> Column:
     """Array of masked units with the white space around them; their lengths are true."""
-    cut = lambda p: _one_by_one(p, _mask, _spans, _spans, _open_end, _cuts)
+    cut = lambda p: _one_by_one(p, _mask, _spans, _spans, _nests, _open_end, _cuts)
     return F.split(F.array_join(F.transform(paragraphs(text), cut), CUT), CUT, -1)
 
 

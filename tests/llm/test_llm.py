@@ -128,6 +128,18 @@ def test_units(spark):
     assert sentences.units(df.limit(0)).count() == 0
 
 
+def test_units_of_deep_nests(spark):
+    """Closed pairs of one kind, or of several, hold their own text only, however deep they nest."""
+    whole = [f"А {o * n}б. В{c[0] * n} г." for o, c in sentences.PAIRS if o not in c for n in (2, 3, 4, 7)] + ["A (b (c (d. E) f) g) h.", "А (б «в [г (д. Е) є] ж» з) и.", "А " + "(" * 150 + "б. В" + ")" * 150 + " г."]
+    open_end = "А (((((б. В) г. Ґ) д."
+    df = spark.createDataFrame([(i, f"{x} I j. K l.") for i, x in enumerate(whole)] + [(-1, open_end)], "doc_id bigint, text string")
+    got: dict[int, list] = {}
+    for r in sorted(sentences.sentences(df).collect()):
+        got.setdefault(r["doc_id"], []).append(r["sentence"])
+    assert got.pop(-1) == [open_end]
+    assert got == {i: [x, "I j.", "K l."] for i, x in enumerate(whole)}
+
+
 def test_units_cover(spark):
     """Everything but white space is in exactly one unit, for any text; long ones too."""
     r = random.Random(7)
