@@ -44,9 +44,11 @@ def table(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, rows: int = 10_000) -> str:
-    """A small table as Markdown text."""
+    """A small table as Markdown text; more than ``rows`` rows fail."""
     cols = df.columns
-    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(text.markdown_cell(F.col(c)) for c in cols)), F.lit(" |")).alias("line")).limit(rows).collect()
+    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(text.markdown_cell(F.col(c)) for c in cols)), F.lit(" |")).alias("line")).limit(rows + 1).collect()
+    if len(lines) > rows:
+        raise ValueError(f"a Markdown table of more than {rows} rows")
     if not lines:
         return "_No rows._\n"
     head = ["| " + " | ".join(cols) + " |", "| " + " | ".join("---" for _ in cols) + " |"]

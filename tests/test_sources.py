@@ -56,6 +56,12 @@ def test_discovery(spark, tmp_path):
     assert {(r["k"], r["path"]) for r in readers.resolve(want, have, "k", [F.col("x"), F.col("y")]).collect()} == {(1, "b"), (2, "c")}
 
 
+def test_long_markdown(spark):
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(4), rows=3)
+    assert writers.markdown(spark.range(3), rows=3).count("\n") == 5
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a|b\nc", None)], "i int, t string, n string")
     assert writers.markdown(df) == "| i | t | n |\n| --- | --- | --- |\n| 1 | a\\|b<br>c |  |\n" and writers.markdown(df.limit(0)) == "_No rows._\n"
