@@ -73,9 +73,6 @@ WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _HOLD = "\ue000"  # stands for a literal backslash until all commands are done
 _LEFT, _RIGHT = "\ue001", "\ue002"  # around a match that is rewritten in steps
 
-#: Rows of a matrix turned at once: the JVM's patterns use a stack frame for each.
-MOST = 500
-
 Step = Callable[[Column], Column]
 
 
@@ -121,7 +118,8 @@ def _rows_of(pattern: str, separator: str) -> Step:
 
 
 def _determinant(c: Column) -> Column:
-    c = sub(c, rf"(\|{WS}*[^|\n]+?{WS}*\|(?:{WS}*\|{WS}*[^|\n]+?{WS}*\|){{1,{MOST}}})", f"{_LEFT}$1{_RIGHT}")
+    # possessive: the JVM's patterns would use a stack frame a cell
+    c = sub(c, rf"(\|{WS}*[^|\n]+?{WS}*\|(?:{WS}*\|{WS}*[^|\n]+?{WS}*\|)++)", f"{_LEFT}$1{_RIGHT}")
     c = sub(c, rf"{WS}*\|{WS}*\|{WS}*(?=[^{_LEFT}]*{_RIGHT})", "\n")
     return sub(c, rf"{_LEFT}\|{WS}*|{WS}*\|{_RIGHT}")
 
@@ -165,7 +163,7 @@ def _structured(dialect: str) -> list[Step]:
         lambda c: F.translate(sub(c, f"[{SUPER}]", "^$0"), SUPER, SUPER_TO),
         lambda c: F.translate(sub(c, f"[{SUB}]", "_$0"), SUB, SUB_TO),
         r(r"([_^])\{([^}]+)\}", "$1$2"),
-        _rows_of(rf"\(([^();]+(?:{WS}*;{WS}*[^();]+){{1,{MOST}}})\)", ";"),
+        _rows_of(rf"\(([^();]+(?:{WS}*;{WS}*[^();]+)++)\)", ";"),
     ]
     if two:
         steps.append(_rows_of(r"\(([^()]*\\n[^()]*)\)", r"\\n"))

@@ -63,6 +63,15 @@ def test_normalize(spark, dialect, cases):
     assert {r["i"]: r["got"] for r in got} == {i: c[2] for i, c in enumerate(cases)}
 
 
+@pytest.mark.parametrize("dialect", ["v1", "v2"])
+def test_long_matrices(spark, dialect):
+    """Matrices and determinants of any number of rows, as short ones are."""
+    for n in (2, 501, 502, 5_000):
+        cells = [str(i) for i in range(n)]
+        df = spark.createDataFrame([("(" + "; ".join(cells) + ")",), ("|" + "| |".join(cells) + "|",)], "t string")
+        assert [r["x"] for r in df.select(text.normalize(F.col("t"), F.lit("formula"), dialect).alias("x")).collect()] == ["\n".join(cells)] * 2, n
+
+
 def test_unknown_dialect():
     with pytest.raises(ValueError):
         text.normalize(F.lit("a") if False else None, None, "v3")
