@@ -73,10 +73,29 @@ _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
 
 
+class Digits:
+    """An integer of more digits than Python turns into a number; infinite as a double."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _int(text: str) -> int | Digits:
+    try:
+        return int(text)
+    except ValueError:
+        return Digits(text)
+
+
 def loads(text: str):
     """Parsed JSON of any depth: the library's reader, and a stack where that nests too deeply."""
     try:
-        return json.loads(text)
+        try:
+            return json.loads(text)
+        except json.JSONDecodeError:
+            raise
+        except ValueError:  # an integer of too many digits
+            return json.loads(text, parse_int=_int)
     except RecursionError:
         return _loads_deep(text)
 
@@ -93,7 +112,7 @@ def _loads_deep(text: str):
         elif c in ("[", "{") and c:
             value, at = ([] if c == "[" else {}), at + 1
         elif m := _SCALAR.match(text, at):
-            value, at = json.loads(m[0]), m.end()
+            value, at = json.loads(m[0], parse_int=_int), m.end()
         else:
             raise ValueError(f"no value at {at}")
         if isinstance(top, str):
@@ -138,7 +157,12 @@ def _loads_deep(text: str):
 
 
 def _number(x) -> float | None:
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+    if isinstance(x, Digits):
+        return float(x.text)
+    try:
+        return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+    except OverflowError:  # as the reader takes 1e400
+        return float("inf") if x > 0 else float("-inf")
 
 
 def _integer(x) -> int | None:
@@ -149,7 +173,7 @@ def dumps(x) -> str:
     """JSON text of a parsed value of any depth; escaped where it holds half a surrogate pair."""
     try:
         text = json.dumps(x, ensure_ascii=False)
-    except RecursionError:
+    except (RecursionError, TypeError):
         text = _dumps_deep(x)
     return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
@@ -169,7 +193,7 @@ def _dumps_deep(x) -> str:
             parts.append(("}" if isinstance(v, dict) else "]",))
             stack += parts[::-1]
         else:
-            out.append(json.dumps(v, ensure_ascii=False))
+            out.append(v.text if isinstance(v, Digits) else json.dumps(v, ensure_ascii=False))
     return "".join(out)
 
 

@@ -199,6 +199,18 @@ def test_nested_pages(spark):
     assert "p2_pages" in general.QUERIES and "p2_pages" in general.SQL
 
 
+def test_long_integers(spark):
+    """Integers of any number of digits leave the record readable."""
+    digits = "-" + "1" * 5_000
+    deep = '[{"children": ' * 3_000 + "[]" + ', "n": 1}]' * 2_999 + f', "pos": {digits}' + "}]"
+    rows = [(1, f'[{{"score": {digits}, "meta": [{digits}], "text": {digits}, "children": [{{"score": {"1" * 400}}}]}}]'), (2, deep), (3, f"[{digits}, {{]")]
+    nodes = nested.label(spark.createDataFrame(rows, "row_id bigint, regions string"), "t", "row_id", rest=True).where("level < 3")
+    got = {(r["record_id"], r["path"]): (r["score"], r["text"], r["rest"]) for r in nodes.collect()}
+    inf = float("inf")
+    assert got[(1, "0")] == (-inf, digits, f'{{"meta": [{digits}]}}') and got[(1, "0/children/0")] == (inf, None, None)
+    assert got[(2, "0")] == (None, None, f'{{"pos": {digits}}}') and sorted(k for k in got if k[0] == 3) == [(3, "")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(json_value)
 def test_deep_writer(value):
