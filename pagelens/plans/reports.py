@@ -241,15 +241,31 @@ def k6_markdown(spark, d):
     return r.select("run_id", cells.alias("line"))
 
 
-def k7_coco(spark, d):
-    """Annotations with category, area, rounded box and the ordinal of the region."""
+def _coco(spark, d):
     from ..functions import geometry as G
-    from ..schema import type_index
-    from .shapes import boxes
+    from ..sources import writers
+
+    def region(r):
+        b = G.from_array(r["bbox"])
+        return F.struct(F.lower(text.strip(r["type"])).alias("type"), *(b[x].alias(x) for x in ("x1", "y1", "x2", "y2")))
+
+    pages = table(spark, d, "page_metadata").select(
+        "record_id", F.col("file_name").alias("image"), F.col("image_width").alias("w"), F.col("image_height").alias("h"), F.transform("regions", region).alias("regions")
+    )
+    return writers.coco_frames(pages, ("record_id",))
+
+
+def k7_coco(spark, d):
+    """Annotations as the writer builds them: running ids, category, rounded box, area, ordinal of the region."""
+    return _coco(spark, d)["annotations"]
+
+
+def k7_images(spark, d):
+    return _coco(spark, d)["images"]
+
 
-    b = boxes(spark, d).withColumn("category_id", type_index(F.lower(text.strip(F.col("type"))), 1)).where("category_id IS NOT NULL")
-    c = G.clamp_coco(G.to_coco(F.col("b")), F.col("w"), F.col("h"))
-    return b.select("record_id", "idx", "category_id", c.alias("c")).select("record_id", "idx", "category_id", F.round(F.col("c.w") * F.col("c.h"), 2).alias("area"), *(F.round(F.col(f"c.{x}"), 2).alias(x) for x in "xywh"))
+def k7_categories(spark, d):
+    return _coco(spark, d)["categories"]
 
 
 def k10_violations(spark, d):
@@ -259,7 +275,7 @@ def k10_violations(spark, d):
 QUERIES = {f.__name__: f for f in (
     s4_reasons, s4_examples, s5_fields, s10_run_ids, s14_basename, s15_errors, s16_lenient, s21_union, j1_solution, j2_coverage, w2_keep_last, j6_labels, j12_patch,
     filter_scorable, filter_route, filter_candidates, filter_smart, filter_limits, a10_labels, a11_lengths, a12_truncation, a14_before_after, a15_totals, a18_summary, t3_crops, t1_normalized, t8_invalid, t9_cleaned, t11_sane, t13_clean, t14_truncated,
-    t15_slug, t19_numbers, t20_cyrillic, o1_ranked, u2_difference, k6_markdown, k7_coco, k10_violations,
+    t15_slug, t19_numbers, t20_cyrillic, o1_ranked, u2_difference, k6_markdown, k7_coco, k7_images, k7_categories, k10_violations,
 )}
 _S = r"regexp_replace({}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
 _LABEL = f"lower({_S.format('label')})"

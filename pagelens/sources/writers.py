@@ -72,17 +72,17 @@ def relations(lines: DataFrame, path: str) -> None:
     edges.select("page", as_text.alias("edges")).write.mode("overwrite").json(path)
 
 
-def coco(pages: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Images, annotations and categories with running ids, one JSON folder each.
+def coco_frames(pages: DataFrame, ties: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Images, annotations and categories with running ids.
 
     ``pages`` has ``image, w, h`` and ``regions`` of ``type, x1, y1, x2, y2``; boxes are
-    clamped, sides of one pixel or less dropped.
+    clamped, sides of one pixel or less dropped.  ``ties`` order pages of one name.
     """
     from ..functions import geometry as G
     from ..operators.frames import numbered
     from ..schema import type_index
 
-    images = numbered(pages.select("image", "w", "h", "regions"), ["image"])
+    images = numbered(pages.select("image", "w", "h", "regions", *ties), ["image", *ties])
     one = images.select(F.col("id").alias("image_id"), "w", "h", F.posexplode("regions").alias("region_idx", "r"))
     box = G.clamp_coco(G.to_coco(F.col("r")), F.col("w"), F.col("h"))
     rows = one.select("image_id", "region_idx", type_index(F.col("r.type"), 1).alias("category_id"), box.alias("b")).where("category_id IS NOT NULL AND b.w > 1 AND b.h > 1")
@@ -91,7 +91,12 @@ def coco(pages: DataFrame, path: str) -> dict[str, DataFrame]:
         F.lit(0).alias("iscrowd"), F.col("region_idx").alias("region_idx_in_image"),
     )
     categories = pages.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(REGION_TYPES)], "id int, name string")
-    frames = {"images": images.select("id", F.col("image").alias("file_name"), F.col("w").alias("width"), F.col("h").alias("height")), "annotations": annotations, "categories": categories}
+    return {"images": images.select("id", F.col("image").alias("file_name"), F.col("w").alias("width"), F.col("h").alias("height")), "annotations": annotations, "categories": categories}
+
+
+def coco(pages: DataFrame, path: str) -> dict[str, DataFrame]:
+    """:func:`coco_frames`, one JSON folder each."""
+    frames = coco_frames(pages)
     for name, df in frames.items():
         json_lines(df, f"{path}/{name}")
     return frames

@@ -58,6 +58,18 @@ def test_coco(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "categories")).count() == 7
 
 
+def test_coco_query(spark, tmp_path):
+    """The query is what the writer builds: running ids, and no box with a side of one pixel."""
+    from pagelens.plans import reports
+
+    rows = [(2, "b.jpg", 100, 100, [(" Printed", [0.0, 0.0, 10.0, 20.0]), ("printed", [0.0, 0.0, 1.0, 9.0])]), (1, "b.jpg", 50, 50, [("image", [1.0, 1.0, 5.0, 9.0]), ("map", None)]), (3, "a.jpg", 9, 9, None)]
+    ddl = "record_id bigint, file_name string, image_width int, image_height int, regions array<struct<type:string,bbox:array<double>>>"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "page_metadata.parquet"))
+    query = lambda n: sorted(reports.QUERIES[n](spark, str(tmp_path)).collect())
+    assert [(r["id"], r["file_name"], r["width"]) for r in query("k7_images")] == [(1, "a.jpg", 9), (2, "b.jpg", 50), (3, "b.jpg", 100)]
+    assert [(r["id"], r["image_id"], r["region_idx_in_image"]) for r in query("k7_coco")] == [(1, 2, 0), (2, 3, 0)] and len(query("k7_categories")) == 7
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("PAGELENS_NMS_IOU", "0.5")
     monkeypatch.setenv("PAGELENS_PER_CLASS", "true")
