@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,21 +28,50 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     )
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the folder in ``spark.checkpoint.dir``, which executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which executors share.
 
-    The lineage is cut there, so a lost executor costs no recomputation.  Only where
-    the setting is absent (tests, one machine) a temporary folder stands in.
+    Only where the setting is absent (tests, one machine) a temporary folder stands in.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = os.path.join(tempfile.gettempdir(), "pagelens-checkpoints")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    The lineage is cut, so a lost executor costs no recomputation; the table is
+    compressed, readers take the columns they need and the planner knows its true
+    size.  :func:`release` deletes such tables, the end of the process does so too.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables written so far; frames that read them cannot be used afterwards."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM is gone, and with it the access to the folder
+            return
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
