@@ -5,6 +5,10 @@ of their words overlap enough.  Texts equal as multisets form a class; only one
 representative of a class is hashed: minwise hashing over its words (numbered, so
 that repeats count), bands of rows as buckets, candidates only between the two
 sides, exact verification on the numbered words, rows of confirmed classes last.
+
+A text is normalized once and a class hashed once; its buckets go through one
+shuffle, in which the two sides meet.  Keys that hold much (buckets, classes, names)
+are cut into cells before their rows are shuffled, see :func:`spread`.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from ..functions.text import PIPELINES, bound
 from ..session import materialize
 
 TRAIN, EVAL = ("train", "silver"), ("val", "test", "private")
-BANDS, ROWS, SEED = 64, 6, 20_240_501
-PER_TASK = 2_000_000  # pairs of one bucket that a task may emit; more are salted
+BANDS, ROWS, SEED = 40, 5, 20_240_501
+SIDE = 1_500  # rows of either side of one key that meet in a cell
+HOT = 50_000  # a key is hot with at least this part of all rows: there are no more of them
+SAMPLE = 64  # one class in so many tells which buckets are hot
 
 # What copying and augmentation append to a file's stem.
 _COPY = rf"\s*\(\d+\)|[\s_-]*(?:copy|копія|копия|kopie|copia)(?:[\s_-]*\d+|\s*\(\d+\))?|(?:_(?:aug|{PIPELINES}|medium|strong|soft|color|geo))*_aug_?\d+"
@@ -47,15 +53,29 @@ def _normal(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+", text)
 
 
-def _numbered(text: str) -> str | None:
-    """Sorted words, the k-th repeat of a word marked with k: a multiset as a set."""
-    words = sorted(_normal(text))
-    out, last, k = [], None, 0
-    for w in words:
-        k = k + 1 if w == last else 0
-        last = w
-        out.append(f"{w}#{k}" if k else w)
-    return " ".join(out) or None
+def _numbered(text: str, known: dict[str, list[str]] | None = None) -> str | None:
+    """Sorted words, the k-th repeat of a word marked with k: a multiset as a set.
+
+    White space ends words whatever the rules do, so that what stands between it is
+    normalized on its own; ``known`` keeps the results.
+    """
+    known = {} if known is None else known
+    words: list[str] = []
+    for t in text.split():
+        if (w := known.get(t)) is None:
+            w = _normal(t)
+            if len(t) <= 64:
+                known[t] = w
+        words += w
+    words.sort()
+    last, k = None, 0
+    for i, w in enumerate(words):
+        if w == last:
+            k += 1
+            words[i] = f"{w}#{k}"
+        else:
+            last, k = w, 0
+    return " ".join(words) or None
 
 
 def signed(pages: DataFrame, min_chars: int = 60) -> DataFrame:
@@ -66,7 +86,7 @@ def signed(pages: DataFrame, min_chars: int = 60) -> DataFrame:
     import hashlib
 
     texts = F.col("regions.text")  # joining leaves nulls out
-    bare = F.transform(texts, lambda t: F.regexp_replace(t, r"(?s)~~.*?~~(?:\{(.*?)\})?", "$1"))
+    bare = F.transform(texts, lambda t: F.when(t.contains("~~"), F.regexp_replace(t, r"(?s)~~.*?~~(?:\{(.*?)\})?", "$1")).otherwise(t))
     split = F.lower(F.trim("split"))
     rows = pages.select(
         "record_id",
@@ -78,8 +98,11 @@ def signed(pages: DataFrame, min_chars: int = 60) -> DataFrame:
     ).where(F.col("split").isin(*TRAIN, *EVAL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for b in batches:
-            words = [_numbered(t) if t else None for t in b.column(5).to_pylist()]
+            if len(known) > 500_000:  # memory of a worker; only a cache
+                known.clear()
+            words = [_numbered(t, known) if t else None for t in b.column(5).to_pylist()]
             ids = [w and hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:5], pa.array(ids, pa.binary()), pa.array(words, pa.string())],
@@ -119,7 +142,7 @@ def _signatures(texts: list[str], known: dict[str, int], a: np.ndarray, b: np.nd
 
 
 def buckets(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(bucket, class, trains, evals)``: a row for each band of each class; narrow."""
+    """``(bucket, id)``: a row for each band of each class ``(id, words)``; narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.random.default_rng(SEED)
@@ -133,53 +156,84 @@ def buckets(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 keys = (low * mix).sum(2, dtype=np.uint64)
                 keys = (keys ^ (keys >> np.uint64(31))) * mix[:, 0]
                 take = pa.array(np.repeat(np.arange(part.num_rows), bands))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(part.column(i).take(take) for i in (0, 2, 3))],
-                    names=["bucket", "class", "trains", "evals"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take)], names=["bucket", "id"])
+
+    return classes.select("id", "words").mapInArrow(run, "bucket bigint, id bigint")
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, loads: DataFrame, rows: int, side: int = SIDE) -> DataFrame:
+    """Inner join on ``key`` whose hot keys are cut into a grid of cells.
+
+    ``loads`` is ``(key, n, m)``: rows of either side under a key, at least of the large
+    ones.  A key is hot that holds more than ``side`` rows and a 50,000th of all ``rows``;
+    so few keys are broadcast, whatever the data.  Each side of a hot key is cut into
+    parts of about ``side`` rows by a hash of the row, and copied to the other's parts
+    only: no task gets a whole hot key, and every pair meets in just one cell.
+    """
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / side)).cast("int")
+    hot = loads.where(F.col("n") + F.col("m") >= max(side, rows / HOT)).select(key, parts("n").alias("_l"), parts("m").alias("_r"))
+    hot = hot.where("_l * _r > 1")
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = F.broadcast(materialize(hot))
+
+    def celled(df: DataFrame, own: str, other: str, at: str, over: str) -> DataFrame:
+        part = F.coalesce(F.pmod(F.xxhash64(*(c for c in df.columns if c != key)), own), F.lit(0)).cast("int")
+        cells = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        return df.join(hot, key, "left").select(*df.columns, part.alias(at), F.explode(cells).alias(over))
 
-    cols = classes.select("class", "words", "trains", "evals")
-    return cols.mapInArrow(run, "bucket bigint, class binary, trains boolean, evals boolean")
+    return celled(left, "_l", "_r", "_a", "_b").join(celled(right, "_r", "_l", "_b", "_a"), [key, "_a", "_b"]).drop("_a", "_b")
 
 
-def cross(df: DataFrame, key: str, member: str, per_task: int = PER_TASK) -> DataFrame:
-    """Distinct ``(a, b)``: members of one ``key``, ``a`` on the training side, ``b`` not.
+def candidates(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, side: int = SIDE) -> DataFrame:
+    """Distinct ``(a, b)``: ids of a training and another class that share a bucket.
 
-    Keys of one side only fall out before the join, by counts that are aggregated
-    ahead of the shuffle.  A key with more than ``per_task`` pairs is cut into
-    salts: its training members are spread, its others copied to every salt.
+    A class is hashed once for each side it has pages on; the two sides meet in one
+    shuffle.  One class in 64 is hashed ahead to see which buckets are hot.
     """
-    df = df.where(F.col(key).isNotNull())
-    n = df.groupBy(key).agg(F.count_if("trains").alias("n"), F.count_if("evals").alias("m")).where("n > 0 and m > 0")
-    salts = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * F.col("m") / per_task), F.col("n"), F.lit(10_000))).cast("int")
-    kept = df.join(n.select(key, salts.alias("salts")), key)
-    left = kept.where("trains").select(key, F.col(member).alias("a"), F.pmod(F.xxhash64(member), "salts").cast("int").alias("salt"))
-    right = kept.where("evals").select(key, F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, [key, "salt"]).where("a <> b").select("a", "b").distinct()
+    ours, theirs = classes.where("n > 0"), classes.where("m > 0")
+    few = classes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    sides = few.select("id", (F.col("n") > 0).cast("int").alias("n"), (F.col("m") > 0).cast("int").alias("m"))
+    seen = buckets(few, bands, rows).join(sides, "id")
+    loads = seen.groupBy("bucket").agg((F.sum("n") * SAMPLE).alias("n"), (F.sum("m") * SAMPLE).alias("m"))
+    left = buckets(ours, bands, rows).withColumnRenamed("id", "a")
+    right = buckets(theirs, bands, rows).withColumnRenamed("id", "b")
+    return spread(left, right, "bucket", loads, bands * classes.count(), side).where("a <> b").select("a", "b").distinct()
 
 
 def class_pairs(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(a, b, jaccard)``: representatives of different classes that are near each other.
+    """``(a, b, jaccard)``: different classes that are near each other, ``a`` with training pages, ``b`` with others.
 
     Kept if at least ``similarity`` of the words of the longer one are found in the other.
     """
-    found = cross(buckets(classes, bands, rows), "bucket", "class")
-    side = lambda x: classes.select(F.col("class").alias(x), F.split("words", " ").alias(f"{x}_words"))
-    both = found.join(side("a"), "a").join(side("b"), "b")
+    pairs = materialize(candidates(classes, bands, rows))
+    of = lambda x, n: classes.where(f"{n} > 0").select(F.col("id").alias(x), F.col("class").alias(f"{x}_class"), F.split("words", " ").alias(f"{x}_words"))
+    both = pairs.join(of("b", "m"), "b").join(of("a", "n"), "a")
     n = F.size(F.array_intersect("a_words", "b_words"))
     longer = F.greatest(F.size("a_words"), F.size("b_words"))
-    return both.select("a", "b", n.alias("n"), longer.alias("longer"), (n / (F.size("a_words") + F.size("b_words") - n)).alias("jaccard")).where(
-        F.col("n") >= F.col("longer") * similarity - 1e-9
-    ).select("a", "b", "jaccard")
+    return both.select(
+        F.col("a_class").alias("a"), F.col("b_class").alias("b"), n.alias("n"), longer.alias("longer"),
+        (n / (F.size("a_words") + F.size("b_words") - n)).alias("jaccard"),
+    ).where(F.col("n") >= F.col("longer") * similarity - 1e-9).select("a", "b", "jaccard")
 
 
 def prepare(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signed rows and text classes, each written once to the shared folder."""
+    """Signed rows, and text classes ``(class, words, n, m, first, id)``, each written once to the shared folder.
+
+    ``n`` and ``m`` count the training and the other pages of a class; ``first`` is the
+    smallest of their ids; ``id`` numbers the classes.
+    """
     rows = materialize(signed(pages))
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(
-        F.max("words").alias("words"), F.max("trains").alias("trains"), F.max(~F.col("trains")).alias("evals"),
+        F.max("words").alias("words"), F.count_if("trains").alias("n"), F.count_if(~F.col("trains")).alias("m"), F.min("record_id").alias("first"),
     )
-    return rows, materialize(classes)
+    return rows, materialize(classes.withColumn("id", F.monotonically_increasing_id()))
+
+
+def near_classes(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``(a, b, jaccard)``: :func:`class_pairs` and the classes with pages on both sides, with themselves."""
+    both = classes.where("n > 0 and m > 0").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("jaccard"))
+    return class_pairs(classes, similarity).unionByName(both)
 
 
 def found(pages: DataFrame, similarity: float = 0.8, prepared=None) -> DataFrame:
@@ -191,18 +245,43 @@ def found(pages: DataFrame, similarity: float = 0.8, prepared=None) -> DataFrame
     read.
     """
     rows, classes = prepared or prepare(pages)
-    sided = rows.select("*", (~F.col("trains")).alias("evals"))
-    same = classes.where("trains and evals").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    near = class_pairs(classes, similarity).select("a", "b").unionByName(same)
+    total = rows.count()
+    near = materialize(near_classes(classes, similarity).select("a", "b"))
+    size = classes.select("class", "n", "m")
+    loads_a = near.groupBy("a").agg(F.count("*").alias("m")).join(size.select(F.col("class").alias("a"), "n"), "a").select("a", "m", "n")
     mine = rows.where("trains").select(F.col("class").alias("a"), F.col("record_id").alias("x"))
     other = rows.where("not trains").select(F.col("class").alias("b"), F.col("record_id").alias("y"))
-    by_text = near.join(other, "b").join(mine, "a").select("x", "y")
-    by_name = cross(sided.select("image", "record_id", "trains", "evals"), "image", "record_id").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    half = spread(near, mine, "a", loads_a.toDF("a", "n", "m"), total).select("b", "x")
+    each = near.join(size.select(F.col("class").alias("a"), "n"), "a").groupBy("b").agg(F.sum("n").alias("n"))
+    loads_b = each.join(size.select(F.col("class").alias("b"), "m"), "b").select("b", "n", "m")
+    by_text = spread(half, other, "b", loads_b, total).select("x", "y")
+    named = rows.where(F.col("image").isNotNull()).select("image", "record_id", "trains")
+    loads = named.groupBy("image").agg(F.count_if("trains").alias("n"), F.count_if(~F.col("trains")).alias("m")).where("n > 0 and m > 0")
+    one = lambda c, x: named.where(c).select("image", F.col("record_id").alias(x))
+    by_name = spread(one("trains", "x"), one("not trains", "y"), "image", loads, total).select("x", "y")
     return by_text.unionByName(by_name).select(
         F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b")
     ).distinct()
 
 
+def links(pages: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``(record_id, split, class_id, links)`` of every row with a text of its own.
+
+    The form without expanded copies: ``class_id`` is the smallest id of the rows whose
+    words are the same, ``links`` the number of classes of the other side near it (a class
+    with pages on both sides counts itself once).
+    """
+    rows, classes = prepare(pages)
+    near = materialize(near_classes(classes, similarity).select("a", "b"))
+    ends = near.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(near.where("a <> b").select(F.col("b").alias("class"), F.col("a").alias("other"))).distinct()
+    n = ends.groupBy("class").agg(F.count("*").alias("links"))
+    label = classes.select("class", F.col("first").alias("class_id"), (F.col("n") + F.col("m")).alias("_size")).join(n, "class", "left")
+    label = label.select("class", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "_size")
+    own = rows.where(F.col("class").isNotNull()).select("record_id", "split", "class")
+    loads = label.select("class", F.col("_size").alias("n"), F.lit(1).alias("m"))
+    return spread(own, label.drop("_size"), "class", loads, rows.count()).select("record_id", "split", "class_id", "links")
+
+
 def report(pages: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Confirmed pairs by split and source of the evaluation page and split of the other.
 

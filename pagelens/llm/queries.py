@@ -30,6 +30,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "page_metadata"))
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """A row a page with text: its class of equal texts and the classes of the other side near it."""
+    return overlap.links(table(spark, d, "page_metadata"))
+
+
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -64,7 +69,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_report, p1_sample, p3_found, p3_report, p5_ids, p5_roundtrip, p6_found, p6_report, p6_mix, p7_found, p7_report,
+    p1_found, p1_report, p1_sample, p3_found, p3_report, p3_links, p5_ids, p5_roundtrip, p6_found, p6_report, p6_mix, p7_found, p7_report,
 )}
 
 _BLANK = r"'^\s+|\s+$', '', 'g'"

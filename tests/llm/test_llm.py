@@ -220,9 +220,46 @@ def test_normal_text():
     assert overlap._numbered("а б а а") == "а а#1 а#2 б" and overlap._numbered("!!") is None
 
 
-def test_hot_key_is_salted(spark):
-    rows = spark.range(300).select(F.lit("k").alias("key"), F.col("id").alias("m"), (F.col("id") % 3 != 0).alias("trains"), (F.col("id") % 3 == 0).alias("evals"))
-    assert overlap.cross(rows, "key", "m", per_task=500).count() == 200 * 100
+def test_hot_keys_are_cut(spark):
+    """Every pair once, and no cell of a hot key with more rows than two parts hold."""
+    left = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("x"))
+    right = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("y"))
+    loads = left.groupBy("k").agg(F.count("*").alias("n")).join(right.groupBy("k").agg(F.count("*").alias("m")), "k")
+    want = {tuple(r) for r in left.join(right, "k").collect()}
+    got = overlap.spread(left, right, "k", loads, 4900, side=100)
+    rows = got.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    text = got._jdf.queryExecution().analyzed().toString()
+    assert "_a" in text and "Generate" in text  # cut into cells
+    per = got.where("k = -1").groupBy(F.pmod(F.xxhash64("x"), F.lit(36)).alias("a"), F.pmod(F.xxhash64("y"), F.lit(6)).alias("b")).agg(F.count_distinct("x").alias("n"), F.count_distinct("y").alias("m")).collect()
+    assert len(per) == 36 * 6 and max(r["n"] for r in per) < 200 and max(r["m"] for r in per) < 200
+    assert "_a" not in overlap.spread(left, right, "k", loads, 4900, side=10_000).select("*")._jdf.queryExecution().analyzed().toString()
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs that share exactly 80 % of the longer one's words, and ones just below it."""
+    r = random.Random(5)
+    pages = []
+    for k in range(500):
+        words = [f"слово{r.randrange(10**6)}" for _ in range(50)]
+        pages.append((2 * k, "train", None, None, [(" ".join(words), "printed")], None, None))
+        changed = [f"інше{r.randrange(10**6)}" for _ in range(10 if k < 400 else 11)] + words[10 if k < 400 else 11 :]
+        r.shuffle(changed)
+        pages.append((2 * k + 1, "val", None, None, [(" ".join(changed), "printed")], None, None))
+    got = {tuple(x) for x in overlap.found(spark.createDataFrame(pages, REGIONS)).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(400)} and len(got) >= 0.985 * 400  # 0.9965 expected at a similarity of 2/3
+
+
+def test_copies_and_links(spark):
+    """Copies of one text on both sides: all pairs of rows, one class of them."""
+    text = " ".join(f"слово{i}" for i in range(30))
+    rows = [(i, "train" if i % 2 else "val", None, None, [(text, "printed")], None, None) for i in range(60)]
+    rows += [(100, "silver", None, None, [(text + " ще", "printed")], None, None), (101, "test", None, None, [("коротко", "printed")], None, None)]
+    df = spark.createDataFrame(rows, REGIONS)
+    assert overlap.found(df).count() == 30 * 31
+    got = {r["record_id"]: (r["class_id"], r["links"]) for r in overlap.links(df).collect()}
+    assert got == {i: (0, 2) for i in range(60)} | {100: (100, 1)}
+    assert overlap.links(df.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------------- proportions
