@@ -60,6 +60,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.units(table(spark, d, "documents"))
 
 
+def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The units with their text, restored."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Units and their code points by the language named, as delivered."""
     docs = table(spark, d, "documents").select(F.lower("lang").alias("lang"), F.col("text"))
@@ -69,7 +74,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_report, p1_sample, p3_found, p3_report, p3_links, p5_ids, p5_roundtrip, p6_found, p6_report, p6_mix, p7_found, p7_report,
+    p1_found, p1_report, p1_sample, p3_found, p3_report, p3_links, p5_ids, p5_roundtrip, p6_found, p6_report, p6_mix, p7_found, p7_sentences, p7_report,
 )}
 
 _BLANK = r"'^\s+|\s+$', '', 'g'"

@@ -8,6 +8,7 @@ the terminators of each script; the units are then taken from the text itself.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: White space: Java's ``\s`` lacks the no-break and other Unicode spaces.
 WS = r"[\s\x1C-\x1F\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 HWS = r"[\t\x0B\f \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+#: The same characters one by one.
+_BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BREAK = r"(?>\r\n|\n|\r|\u2028|\u2029|\x85)"
 
 #: Private-use placeholders; those of a text itself are first made NEUTRAL.
@@ -74,21 +77,26 @@ def _not(chars: str) -> str:
 
 
 def _all_but(chars: str) -> str:
-    """Class of all other characters, as ranges: the widest, which hold most letters, are tried first."""
+    """Class of all other characters, as ranges: those that hold most letters are tried first."""
     points = [0, *(x for c in sorted(set(chars)) for x in (ord(c), ord(c) + 1)), 0x110000]
     spans = [(a, b - 1) for a, b in zip(points[::2], points[1::2]) if a < b]
-    low = sorted((x for x in spans if x[1] < 0x10000), key=lambda x: x[0] - x[1])
+    low = sorted((x for x in spans if x[1] < 0x10000), key=lambda x: (x[0] >= 0x2000, x[0] - x[1]))
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in [*low, *(x for x in spans if x not in low)]) + "]"
 
 
+def _spelled(group: str) -> str:
+    """All characters of a class of ranges."""
+    c = re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), group[1:-1])
+    return "".join(chr(x) for a, b in re.findall("(.)-(.)|.", c) if a for x in range(ord(a), ord(b) + 1)) + "".join(re.sub("(.)-(.)", "", c))
+
+
 _OPENERS = "".join(o for o, _ in PAIRS)
 #: A whole quotation or bracket without another of its kind inside, or what lies between.
-_SPANS = "|".join(
+_SPANS = _all_but(_OPENERS) + "++|" + "|".join(
     _class(o) + _not("".join(dict.fromkeys(o + c))) + "*+" + _class(c) for o, c in PAIRS
-) + "|" + _all_but(_OPENERS) + "++|(?s:.)"
+) + "|(?s:.)"
 _NO_OPENER = "^" + _all_but(_OPENERS) + "*+$"
-_NO_OWN = "^" + _all_but(OWN) + "*+$"
-_TAIL = "[" + ENDS + OWN + CLOSE + r"\s\u00a0\u202f]*$"
+_TAIL = ENDS + OWN + CLOSE + " \t\n\x0b\f\r\u00a0\u202f"
 
 
 def _sub(c: Column, pattern: str, to: str) -> Column:
@@ -98,21 +106,20 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 def _inside(s: Column) -> Column:
     """Mask everything in a quotation or bracket that would end a unit."""
     s = F.translate(s, ENDS + OWN + OPEN + CLOSE, MASK * len(ENDS + OWN + OPEN + CLOSE))
-    return _sub(s, f"(?<={THAI}){HWS}(?={HWS}*(?!{WS})(?s:.))", MASK)
+    return _sub(s, f"{HWS}(?<={THAI}{HWS})(?={HWS}*(?!{WS})(?s:.))", MASK)
 
 
 def _span(s: Column) -> Column:
     n = F.char_length(s)
     inner = F.substring(s, F.lit(2), n - 2)
-    tail = F.regexp_extract(inner, _TAIL, 0)
-    body = F.substring(inner, F.lit(1), F.char_length(inner) - F.char_length(tail))
+    body = F.rtrim(inner, F.lit(_TAIL))
+    tail = F.substring(inner, F.char_length(body) + 1, n)
     whole = (n > 1) & F.substring(s, 1, 1).rlike(_class(_OPENERS))
     return F.when(whole, F.concat(F.lit(OPEN), _inside(body), tail, F.lit(CLOSE))).otherwise(s)
 
 
 def _spans(p: Column) -> Column:
-    pieces = F.transform(F.regexp_extract_all(p, F.lit(_SPANS), F.lit(0)), _span)
-    return F.when(p.rlike(_NO_OPENER), p).otherwise(F.array_join(pieces, ""))
+    return F.array_join(F.transform(F.regexp_extract_all(p, F.lit(_SPANS), F.lit(0)), _span), "")
 
 
 def _nests(p: Column) -> Column:
@@ -123,68 +130,98 @@ def _nests(p: Column) -> Column:
         return F.when(acc["more"], after).otherwise(acc)
 
     levels = F.sequence(F.lit(1), F.regexp_count(p, F.lit(_class(_OPENERS))))
-    closed = F.aggregate(levels, F.struct(p.alias("p"), F.lit(True).alias("more")), step, lambda acc: acc["p"])
-    return F.when(p.rlike(_NO_OPENER), p).otherwise(closed)
+    return F.aggregate(levels, F.struct(p.alias("p"), F.lit(True).alias("more")), step, lambda acc: acc["p"])
+
+
+def _urls(p: Column) -> Column:
+    """Mask the marks inside addresses, whatever their length; the last character may end a sentence."""
+    inner = lambda x: F.concat(F.translate(F.substring(x, F.lit(1), F.char_length(x) - 1), ".!?", MASK * 3), F.right(x, F.lit(1)))
+    pieces = F.regexp_extract_all(p, F.lit(r"(?:://|www)\S*+|[^:w]++|(?s:.)"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^(?:://|www)"), inner(x)).otherwise(x)), "")
 
 
 def _dot(before: str, after: str = "") -> str:
-    """A period after ``before``; the search begins at the periods, which are few."""
-    return rf"\.(?<={before}\.){after}"
+    """What stands before and after a period that ends no sentence; the search begins at the periods, which are few."""
+    return rf"(?<={before}\.){after}"
+
+
+#: A number at the beginning of a line, not after a number sign.
+_LIST_NUMBER = rf"(?m:^)(?<!№{WS}{{1,3}})({HWS}*+\p{{Nd}}{{1,3}})\.(?={WS}+\S)"
+#: Periods inside numbers and after abbreviations, all in one search.
+_PERIODS = r"\.(?:" + "|".join([
+    _dot(r"\p{Nd}", r"(?=\p{Nd})"),
+    _dot(OTHER_MARKS, r"(?!\.)"),
+    _dot(r"(?<![\p{N}.,])\p{Nd}{1,2}", rf"(?={WS}+(?:{ORDINAL})(?!\p{{L}}))"),
+    _dot(rf"{LETTER_BEFORE}(?iu:{TITLES})", r"(?!\.)"),
+    _dot(rf"{LETTER_BEFORE}[a-z]", rf"(?={WS}*{TWO_PART}\.)"),
+    _dot(rf"{LETTER_BEFORE}(?<!\p{{Nd}}{WS}{{1,2}})(?iu:{UNITS})", rf"(?={WS}*\p{{L}})"),
+    _dot(rf"{LETTER_BEFORE}(?:{NUMBERED})", rf"(?={WS}*\p{{Nd}})"),
+    *(
+        _dot(rf"{LETTER_BEFORE}(?:{unit})", rf"(?={WS}*\p{{Nd}}+{WS}*(?:(?:{smaller})(?!\p{{L}})|\p{{Ll}}{{0,2}}$))")
+        for unit, smaller in COUNTED.items()
+    ),
+]) + ")"
+#: Periods after initials; sees those masked before it.
+_INITIALS = r"\." + _dot(rf"{LETTER_BEFORE}\p{{Lu}}", rf"(?={WS}*\p{{Lu}}(?:[\p{{Ll}}.'’ʼ\u00ad\u200b{MASK}]|$))")
 
 
 def _mask(p: Column) -> Column:
     """Mask what ends no sentence; every replacement has the length of what it replaces."""
-    marks = [
-        _dot(r"\p{Nd}", r"(?=\p{Nd})"),
-        _dot(OTHER_MARKS, r"(?!\.)"),
-        _dot(rf"(?m:^)(?<!№{WS}{{1,3}}){HWS}{{0,20}}\p{{Nd}}{{1,3}}", rf"(?={WS}+\S)"),
-        _dot(r"(?<![\p{N}.,])\p{Nd}{1,2}", rf"(?={WS}+(?:{ORDINAL})(?!\p{{L}}))"),
-        _dot(rf"{LETTER_BEFORE}(?iu:{TITLES})", r"(?!\.)"),
-        _dot(rf"{LETTER_BEFORE}[a-z]", rf"(?={WS}*{TWO_PART}\.)"),
-        _dot(rf"{LETTER_BEFORE}(?<!\p{{Nd}}{WS}{{1,2}})(?iu:{UNITS})", rf"(?={WS}*\p{{L}})"),
-        _dot(rf"{LETTER_BEFORE}(?:{NUMBERED})", rf"(?={WS}*\p{{Nd}})"),
-        *(
-            _dot(rf"{LETTER_BEFORE}(?:{unit})", rf"(?={WS}*\p{{Nd}}+{WS}*(?:(?:{smaller})(?!\p{{L}})|\p{{Ll}}{{0,2}}$))")
-            for unit, smaller in COUNTED.items()
-        ),
-        _dot(rf"{LETTER_BEFORE}\p{{Lu}}", rf"(?={WS}*\p{{Lu}}(?:[\p{{Ll}}.'’ʼ\u00ad\u200b{MASK}]|$))"),
-    ]
     return _one_by_one(
         p,
-        lambda c: F.when(c.contains("://") | c.contains("www."), _sub(c, r"(?<=(?:://|www)\S{0,500})[.!?](?=\S)", MASK)).otherwise(c),
-        lambda c: F.when(c.rlike("[;\u037e]"), _sub(c, rf"[;\u037e](?<={GREEK}[;\u037e])", "?")).otherwise(c),
-        lambda c: F.when(c.contains("."), reduce(lambda x, m: _sub(x, m, MASK), marks, c)).otherwise(c),
+        lambda c: F.when(c.contains("://") | c.contains("www."), _urls(c)).otherwise(c),
+        lambda c: F.when(c.contains(";") | c.contains("\u037e"), _sub(c, rf"[;\u037e](?<={GREEK}[;\u037e])", "?")).otherwise(c),
+        lambda c: F.when(c.contains("."), _sub(_sub(_sub(c, _LIST_NUMBER, "$1" + MASK), _PERIODS, MASK), _INITIALS, MASK)).otherwise(c),
     )
 
 
-def _cuts(p: Column) -> Column:
-    """Put a CUT after every unit of a masked paragraph."""
-    noise = rf"(?:(?:</?[^<>\s]{{1,20}}>|{OPEN}PAD{CLOSE}|�+){WS}*)?"
+def _cut_patterns() -> str:
+    """Ends of units in spaced scripts, before white space, before a capital letter, before a number; one search."""
+    noise = rf"(?:(?:</?[^<>\s]++>|{OPEN}[\p{{Lu}}_]++{CLOSE}|�+){WS}*)?"  # tags and special tokens
     begin = rf"{noise}(?:[—–−-]{WS}*)?[{OPEN}\"“„«(\[¿¡…{WS[1:-1]}]*"
     goes_on = rf"(?!{begin}(?:{LOWER}|$))(?![,;:=+*/^_%&|>)\]}}»”{CLOSE}{ENDS}{OWN}])"
-    end = rf"[{ENDS}]+[\ufe0f\p{{M}}]*(?:{WS}*{CLOSE}|[»”)\]]){{0,40}}"  # bounded: a stack frame for each
-    p = _sub(p, rf"({end})(?={WS}+\S)(?={WS}+{goes_on})", "$1" + CUT)
+    end = rf"[{ENDS}]+[\ufe0f\p{{M}}]*(?:{WS}*+{CLOSE}|[»”)\]])*+"  # possessive: no stack frame for each
     upper = rf"(?:\p{{Lu}}[\p{{Ll}}\s\u00a0'’]|[a-zа-яіїєґ]{WS}?=|\p{{Ll}}\p{{Lu}})"
-    p = _sub(p, rf"((?:\.(?<=[\p{{Ll}}\p{{M}}\p{{Nd}}}}$\]){CLOSE}]\.)|[!?…]|\.\.){CLOSE}*)(?=(?:[—–]{WS}*)?{OPEN}*{upper})", "$1" + CUT)
-    p = _sub(p, rf"(\.(?<=\p{{L}}{{5}}\.)|[!?…]|\.\.)(?=\p{{Nd}}+[.)]?{WS}+\p{{L}})", "$1" + CUT)
-    cjk = lambda c: F.when(c.rlike(CJK), _sub(c, rf"((?<={CJK})(?:…|\.{{3}})+)(?={CJK})", "$1" + CUT)).otherwise(c)
+    spaced = rf"{end}(?={WS}+\S)(?={WS}+{goes_on})"
+    joined = rf"(?:\.(?<=[\p{{Ll}}\p{{M}}\p{{Nd}}}}$\]){CLOSE}]\.)|[!?…]|\.\.){CLOSE}*+(?=(?:[—–]{WS}*)?{OPEN}*{upper})"
+    numbered = rf"(?:\.(?<=\p{{L}}{{5}}\.)|[!?…]|\.\.)(?=\p{{Nd}}+[.)]?{WS}+\p{{L}})"
+    return f"(?=[{ENDS}])(?:{spaced}|{joined}|{numbered})"  # the first look rules out most places
 
-    def own(c: Column) -> Column:
-        x = _sub(c, rf"([{OWN}]+)(?!{WS}*[{OWN}{ENDS}{CLOSE}»”)\]」』])(?={WS}*\S)", "$1" + CUT)
-        x = _sub(x, rf"([{OWN}]+(?:{WS}*{CLOSE}){{1,40}})(?!{WS}*(?:[とっ、，,;:—–{OWN}{ENDS}{CLOSE}]|\p{{Ll}}))(?={WS}*\S)", "$1" + CUT)
-        return F.when(c.rlike(_NO_OWN), c).otherwise(x)
 
-    thai = lambda c: F.when(c.rlike(THAI), _sub(c, rf"(?<={THAI}){HWS}+(?![\p{{Nd}}{WS[1:-1]}])(?=\S)", "$0" + CUT)).otherwise(c)
-    return _one_by_one(p, cjk, own, thai)
+_CUTS = _cut_patterns()
+_NO_SCRIPT = "^" + _all_but(_spelled(CJK) + _spelled(THAI) + OWN) + "*+$"
+_ELLIPSES = rf"((?<={CJK})(?:…|\.{{3}})+)(?={CJK})"
+_OWN_BARE = rf"([{OWN}]+)(?!{WS}*[{OWN}{ENDS}{CLOSE}»”)\]」』])(?={WS}*\S)"
+_OWN_CLOSED = rf"([{OWN}]+(?:{WS}*+{CLOSE})++)(?!{WS}*(?:[とっ、，,;:—–{OWN}{ENDS}{CLOSE}]|\p{{Ll}}))(?={WS}*\S)"
+_THAI_SPACE = rf"(?<={THAI}){HWS}+(?![\p{{Nd}}{WS[1:-1]}])(?=\S)"
+
+
+def _cuts(p: Column) -> Column:
+    """Put a CUT after every unit of a masked paragraph."""
+    scripts = lambda c: F.when(
+        ~c.rlike(_NO_SCRIPT), _sub(_sub(_sub(_sub(c, _ELLIPSES, "$1" + CUT), _OWN_BARE, "$1" + CUT), _OWN_CLOSED, "$1" + CUT), _THAI_SPACE, "$0" + CUT)
+    ).otherwise(c)
+    return _one_by_one(_sub(p, _CUTS, "$0" + CUT), scripts)
+
+
+_OPENER = r"(?=[«„「『《【（(\[\"“])(?:[^\"“]|(?<![^\s\u00a0(—-])[\"“](?=\S))"
 
 
 def _open_end(p: Column) -> Column:
     """What an unclosed quotation or bracket holds, up to the end of its paragraph."""
-    opener = rf"(?:[«„「『《【（(\[]|(?<![^\s\u00a0(—-])[\"“](?=\S))"
-    at = F.char_length(F.regexp_extract(p, rf"(?s)^(.*?){opener}", 1))
-    return F.when(
-        ~p.rlike(_NO_OPENER) & p.rlike(opener), F.concat(F.substring(p, F.lit(1), at), _inside(F.substring(p, at + 1, F.char_length(p))))
-    ).otherwise(p)
+
+    def rest(before: Column) -> Column:
+        at = F.char_length(before)
+        held = F.concat(before, _inside(F.substring(p, at + 1, F.char_length(p))))
+        return F.when((at > 0) | p.rlike("^" + _OPENER), held).otherwise(p)
+
+    return F.element_at(F.transform(F.array(F.regexp_extract(p, rf"(?s)^(.*?){_OPENER}", 1)), rest), 1)
+
+
+def _held(p: Column) -> Column:
+    """Mask what quotations and brackets hold: closed ones first, most of them in one pass."""
+    rest = lambda c: F.when(c.rlike(_NO_OPENER), c).otherwise(_one_by_one(c, _nests, _open_end))
+    return F.when(p.rlike(_NO_OPENER), p).otherwise(_one_by_one(p, _spans, rest))
 
 
 def _one_by_one(c: Column, *steps) -> Column:
@@ -200,7 +237,7 @@ def paragraphs(text: Column) -> Column:
 
 def pieces(text: Column) -> Column:
     """Array of masked units with the white space around them; their lengths are true."""
-    cut = lambda p: _one_by_one(p, _mask, _spans, _spans, _nests, _open_end, _cuts)
+    cut = lambda p: _one_by_one(p, _mask, _held, _cuts)
     return F.split(F.array_join(F.transform(paragraphs(text), cut), CUT), CUT, -1)
 
 
@@ -225,8 +262,8 @@ def units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + length(b)),
     )
     rows = rows.select("key", F.explode(F.arrays_zip(F.col("blocks").alias("b"), F.slice(starts, 1, F.size("blocks")).alias("at"))).alias("x"))
-    left = lambda p: F.char_length(p) - F.char_length(_sub(p, f"^{WS}+", ""))
-    bare = lambda p: F.char_length(_sub(_sub(p, f"^{WS}+", ""), f"{WS}+$", ""))
+    left = lambda p: F.char_length(p) - F.char_length(F.ltrim(p, F.lit(_BLANKS)))
+    bare = lambda p: F.char_length(F.btrim(p, F.lit(_BLANKS)))
     none = F.expr("array()").cast("array<struct<a:int,n:int>>")
     placed = F.aggregate(
         F.col("x.b"),

@@ -140,6 +140,18 @@ def test_units_of_deep_nests(spark):
     assert got == {i: [x, "I j.", "K l."] for i, x in enumerate(whole)}
 
 
+def test_units_without_bounds(spark):
+    """No length of an address, a run of closing marks, an indent, a tag or a special token changes the units."""
+    url = "https://a.ua/" + "b.c?d=" * 300
+    texts = [[f"Див. {url}e тут.", "Далі."], ["Так" + "." + ")" * 70, "Ні."], [" " * 50 + "1. На столі.", "Кінець."], ["Так.", "<" + "t" * 60 + "> далі."], ["Так!", "[UNK] Далі."], ["Так [MASK] ні.", "[PAD] [PAD] так"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got: dict[int, list] = {}
+    for r in sorted(sentences.sentences(df).collect()):
+        got.setdefault(r["doc_id"], []).append(r["sentence"])
+    assert got == {0: texts[0], 1: texts[1], 2: ["1. На столі.", "Кінець."], 3: ["Так. <" + "t" * 60 + "> далі."], 4: texts[4], 5: ["Так [MASK] ні.", "[PAD] [PAD] так"]}
+    assert sentences.units(spark.createDataFrame([(1, "。" + "」" * 60 + "次")], "doc_id bigint, text string")).count() >= 1
+
+
 def test_units_cover(spark):
     """Everything but white space is in exactly one unit, for any text; long ones too."""
     r = random.Random(7)
