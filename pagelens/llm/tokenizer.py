@@ -17,9 +17,11 @@ tokens refers to the row it was made from, as it stood at that moment.  A token
 that the automaton can never emit (its halves are never neighbours when its
 gadget is built) gets no arc.
 
-A pre-split word is encoded by walking the byte trie of the arcs; the automaton
-being unambiguous, at most one path spells the word, and a position from which
-no path leads on is remembered, so the walk is linear in practice.
+A pre-split word is encoded in one run from left to right.  The state at a byte is
+the token whose arc ends there; from it the byte trie of the arcs, a table of
+transitions, is followed as far as it spells the word, and every arc that the
+state has sets the state at its end.  The automaton being unambiguous, a position
+gets one state only, so nothing is ever taken back; the path is read off at the end.
 """
 
 from __future__ import annotations
@@ -90,9 +92,8 @@ class Automaton:
         self.pair = {
             (a, b): r for a, b, r in zip(self.left, self.right, self.rank) if r >= 0
         }
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         self.arc: dict[bytes, int] = {}
-        self.longest = 1
         # successive gadgets: in rank order, each sees the arcs built so far
         emitted = [False] * len(self.rank)
         for i in sorted(range(len(self.rank)), key=self.rank.__getitem__):
@@ -104,7 +105,19 @@ class Automaton:
             )
             if emitted[i]:
                 self.arc[self.spelling[i]] = i
-                self.longest = max(self.longest, len(self.spelling[i]))
+        # trie: node * 256 + byte -> node; token: arc that ends at a node, or -1
+        self.trie: dict[int, int] = {}
+        self.token = [-1]
+        for spelled, i in self.arc.items():
+            node = 0
+            for x in spelled:
+                to = self.trie.get(node << 8 | x)
+                if to is None:
+                    to = self.trie[node << 8 | x] = len(self.token)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = i
+        self.size = [0 if x is None else len(x) for x in self.spelling]
         self._words: dict[str, tuple[int, ...]] = {}
 
     def _arc_at(self, t: int, u: int, before: int) -> bool:
@@ -123,7 +136,7 @@ class Automaton:
 
     def follows(self, t: int, u: int) -> bool:
         """The transition table: state ``t`` has an arc ``u``."""
-        key = (t, u)
+        key = t << 32 | u
         if (x := self._follows.get(key)) is None:
             if len(self._follows) > 2_000_000:  # memory of a worker; only a cache
                 self._follows.clear()
@@ -131,38 +144,33 @@ class Automaton:
         return x
 
     def encode_bytes(self, word: bytes) -> tuple[int, ...]:
-        """Ids along the only accepting path that spells ``word``."""
+        """Ids along the only accepting path that spells ``word``: one run, no search."""
         whole = self.arc.get(word)
         if whole is not None:
             return (whole,)
-        n, arc, follows, longest = len(word), self.arc, self.follows, self.longest
-        path: list[int] = []
-        ends: list[int] = [0]
-        tries: list[int] = [min(longest, n)]  # next length to try at each open position
-        dead: set[tuple[int, int]] = set()
-        while ends[-1] < n:
-            at, size = ends[-1], tries[-1]
-            last = path[-1] if path else -1
-            while size > 0:
-                t = arc.get(word[at : at + size])
-                if (
-                    t is not None
-                    and (last < 0 or follows(last, t))
-                    and (at + size, t) not in dead
-                ):
+        n, trie, token, known, follows = len(word), self.trie, self.token, self._follows, self.follows
+        states = [-1] * (n + 1)
+        for at in range(n):
+            state = states[at]
+            if state < 0 and at:
+                continue  # no arc ends here
+            node, high = 0, state << 32
+            for end in range(at, n):
+                node = trie.get(node << 8 | word[end])
+                if node is None:
                     break
-                size -= 1
-            if size:
-                tries[-1] = size - 1
-                path.append(t)
-                ends.append(at + size)
-                tries.append(min(longest, n - at - size))
-            else:
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the word")
-                dead.add((at, last))
-                path.pop(), ends.pop(), tries.pop()
-        return tuple(path)
+                t = token[node]
+                if t >= 0:
+                    ok = True if not at else known.get(high | t)
+                    if ok or ok is None and follows(state, t):
+                        states[end + 1] = t
+        if n and states[n] < 0:
+            raise ValueError("the vocabulary lacks a byte of the word")
+        path, at = [], n
+        while at:
+            path.append(states[at])
+            at -= self.size[states[at]]
+        return tuple(path[::-1])
 
     def encode(self, text: str | None, split) -> list[int]:
         """Ids of a text; null and empty texts have none."""
