@@ -10,8 +10,8 @@ from . import mixing, overlap, proportions, sentences, tokenizer
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = proportions.report(table(spark, d, "page_metadata"), table(spark, d, "sample_targets"))
-    return rows.where("not met").select("plan_id", "category")
+    """Targets that the rounded quotas do not reach."""
+    return p1_report(spark, d).where("not met").select("plan_id", "category")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:

@@ -286,6 +286,35 @@ def test_controlled_rounding(table):
     assert abs(sum(map(sum, out)) - sum(map(sum, table))) < 1 and all(x >= 0 for row in out for x in row)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 40), st.integers(0, 9), st.lists(st.integers(0, 30), min_size=3, max_size=3)), min_size=1, max_size=6))
+def test_quotas(targets):
+    cells, met = proportions.quotas(targets)
+    for (target, low, n), row, ok in zip(targets, cells, met):
+        assert all(0 <= q <= m for q, m in zip(row, n))
+        assert ok == (sum(n) >= target - 1e-9 and sum(n) >= low)
+        assert sum(row) >= min(sum(n), max(target, low)) - 1e-6
+    total, drawn = sum(t for t, _, _ in targets), sum(map(sum, cells))
+    spare = any(t > 1e-6 and sum(row) < sum(n) for (t, _, n), row in zip(targets, cells))
+    assert drawn >= total - 1e-6 or not spare  # what one lacks, the others give
+
+
+def test_shares_where_one_is_lacking():
+    cells, met = proportions.quotas([(50, 0, [10, 0]), (30, 0, [300, 300]), (20, 0, [500, 0]), (0.2, 5, [40, 0])])
+    assert met == [False, True, True, True] and [sum(r) for r in cells] == [10, 52, 35, 5]  # 3 to 2, made whole upwards
+
+
+def test_many_targets():
+    """Thousands of categories: the rounding stays quick."""
+    import time
+
+    r, began = random.Random(3), time.perf_counter()
+    table = [[r.random() * 5 for _ in range(6)] for _ in range(3000)]
+    out = proportions.controlled_rounding(table)
+    assert time.perf_counter() - began < 30
+    assert all(abs(sum(a) - sum(b)) < 1 for a, b in zip(out, table))
+
+
 def test_sample(spark):
     rows = [(i, "train" if i % 2 else "val", f"f{i}", [" School", "dictation", None][i % 3], [("printed", "x")] * (i % 4) or None) for i in range(300)]
     rows += [(1000 + i, *rows[i][1:]) for i in range(20)]  # delivered again
@@ -295,7 +324,7 @@ def test_sample(spark):
     assert rep[("a", "school")]["pool"] == 300 and rep[("a", "school")]["members"] == 100 and rep[("a", "school")]["drawn"] == 30
     assert sorted(k for k, r in rep.items() if not r["met"]) == [("b", "table"), ("c", "museum")]
     drawn = proportions.sample(pages, targets).collect()
-    assert Counter((r["plan_id"], r["category"]) for r in drawn) == {("a", "school"): 30, ("a", "dictation"): 30, ("b", "printed"): 225}
+    assert Counter((r["plan_id"], r["category"]) for r in drawn) == {("a", "school"): 30, ("a", "dictation"): 30, ("b", "printed"): 230}  # 225 and what tables lack
     assert len({(r["plan_id"], r["record_id"], r["region_idx"]) for r in drawn}) == len(drawn) and all(r["record_id"] < 1000 for r in drawn)
     assert Counter(r["stratum"] for r in drawn if r["plan_id"] == "a" and r["category"] == "school") == {"train": 15, "val": 15}
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, proportions.sample(pages.repartition(7), targets).collect()))
@@ -312,6 +341,12 @@ def test_thresholds(rate, cap):
     assert abs(sum(1 - x for x in edges) - min(rate, cap)) < 1e-6
 
 
+@pytest.mark.parametrize(("rate", "cap"), [(700, 1000), (745, 900), (800, 1000), (2000, 2100), (5000, 8000), (999.5, 1000)])
+def test_thresholds_of_great_rates(rate, cap):
+    edges = mixing.thresholds(rate, cap)
+    assert edges == sorted(edges) and abs(sum(1 - x for x in edges) - rate) < 1e-3
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "слово " * 5, [" Archive", "SCHOOL", None][i % 3], None, None) for i in range(3000)] + [(9000, None, "school", None, None), (9001, "", "void", None, None)], DOC)
     targets = spark.createDataFrame([("m", "archive", 0.5, 4, 0.5), ("m", "school", 0.5, 1, 0.5), ("n", "archive", 1.0, 2, 1.0), ("n", "void", 0.1, 9, 0.1), ("n", "none", None, None, None)], "mix_id string, source string, weight double, max_repeats int, budget_share double")
