@@ -23,11 +23,15 @@ def in_order(regions: Column, dialect: str = "v1") -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["r"])
 
 
-def page_text(regions: Column, text, keep=None, dialect: str = "v1") -> Column:
-    """Texts of the kept regions that are not empty, in reading order, a line each."""
+def page_lines(regions: Column, text, keep=None, dialect: str = "v1") -> Column:
+    """Texts of the kept regions that are not empty, in reading order."""
     kept = F.filter(regions, keep) if keep is not None else regions
-    lines = F.filter(F.transform(in_order(kept, dialect), text), lambda t: t != "")
-    return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
+    return F.coalesce(F.filter(F.transform(in_order(kept, dialect), text), lambda t: t != ""), F.array().cast("array<string>"))
+
+
+def page_text(regions: Column, text, keep=None, dialect: str = "v1") -> Column:
+    """:func:`page_lines`, a line each."""
+    return F.array_join(page_lines(regions, text, keep, dialect), "\n")
 
 
 def lines(regions: DataFrame, page: str = "page") -> DataFrame:

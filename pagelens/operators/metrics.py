@@ -66,7 +66,8 @@ def per_page(pages: DataFrame, keys: list[str], dialect: str = "v1") -> DataFram
     def error(x: Column) -> Column:
         g, p = get(gt, x["g"]), get(pred, x["p"])
         both = F.struct(text.normalize(p["text"], g["type"], dialect).alias("p"), text.normalize(g["text"], g["type"], dialect).alias("g"))
-        return text.bound(both, lambda t: editdist.cer(t["p"], t["g"]))
+        unlike = text.bound(both, lambda t: editdist.cer(t["p"], t["g"]))
+        return F.when(p["text"] == g["text"], 0.0).otherwise(unlike)  # equal texts are equal when normalized
 
     own = lambda r: text.normalize(r["text"], r["type"], dialect)
     if dialect == "v1":
@@ -84,10 +85,12 @@ def per_page(pages: DataFrame, keys: list[str], dialect: str = "v1") -> DataFram
         n(hits).cast("bigint").alias("hits"),
         n(scored).cast("bigint").alias("cer_count"),
         F.aggregate(F.transform(scored, error), F.lit(0.0), lambda acc, x: acc + x).alias("cer_sum"),
-        layout.page_text(gt, own, _scorable_gt, dialect).alias("gt_page"),
-        layout.page_text(read, own, _scorable_pred, dialect).alias("pred_page"),
+        layout.page_lines(gt, own, _scorable_gt, dialect).alias("gt_lines"),
+        layout.page_lines(read, own, _scorable_pred, dialect).alias("pred_lines"),
     )
-    return rows.withColumn("page_cer", F.when(F.col("gt_page") != "", editdist.cer(F.col("pred_page"), F.col("gt_page"))))
+    length = F.char_length(F.array_join("gt_lines", "\n"))
+    error = editdist.lines(F.col("pred_lines"), F.col("gt_lines")) / length
+    return rows.withColumn("page_cer", F.when(F.size("gt_lines") > 0, error)).drop("gt_lines", "pred_lines")
 
 
 def summary(figures: DataFrame, by: list[str]) -> DataFrame:

@@ -21,6 +21,50 @@ def drop_reason(label: Column, image: Column, value: Column, labels: tuple[str,
     )
 
 
+def load_crops(lines: DataFrame, labels: tuple[str, ...], files: DataFrame | None = None, root: str = "") -> DataFrame:
+    """``(line_no, raw_label, image, label, text, reason, missing_file)`` of JSON lines ``(line_no, value)``.
+
+    Blank lines are none.  ``reason`` is the first that holds of bad_json,
+    non_target_label, missing_image and empty_text, null for rows that are kept; a file
+    that is not among ``files`` (``path``) is reported, its row kept all the same.
+    """
+    v = F.try_parse_json(F.col("value"))
+    rows = lines.where(text.strip(F.col("value")) != "").select("line_no", v.alias("v"), F.json_object_keys("value").alias("k"))
+    field = lambda *names: text.first_of(*(F.try_variant_get("v", f"$.{n}", "string") for n in names))
+    label = F.when(F.array_contains("k", "label"), F.try_variant_get("v", F.lit("$.label"), "string")).otherwise(F.try_variant_get("v", F.lit("$.type"), "string"))
+    rows = rows.select(
+        "line_no", F.col("k").isNull().alias("bad"), F.coalesce(label, F.lit("")).alias("raw_label"), field("image", "file_name", "path").alias("image"),
+        text.training_text(F.try_variant_get("v", F.lit("$.text"), "string")).alias("text"),
+    )
+    reason = F.when(F.col("bad"), "bad_json").otherwise(drop_reason(F.col("raw_label"), F.col("image"), F.col("text"), labels))
+    rows = rows.select("line_no", F.when(~F.col("bad"), F.col("raw_label")).alias("raw_label"), "image", F.col("raw_label").alias("label"), "text", reason.alias("reason"))
+    if files is None:
+        return rows.withColumn("missing_file", F.lit(False))
+    there = files.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
+    joined = rows.withColumn("_path", F.concat(F.lit(root), "image")).join(there, "_path", "left")
+    return joined.withColumn("missing_file", F.col("reason").isNull() & F.col("_there").isNull()).drop("_path", "_there")
+
+
+def load_report(loaded: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """``(measure, label, n)``: totals, reasons, missing files, raw and kept labels (those asked for, zero included)."""
+    kept = F.col("reason").isNull()
+    event = lambda measure, label: F.struct(measure.alias("measure"), label.alias("label"))
+    none = F.lit("")
+    events = F.array(
+        event(F.lit("total"), none), event(F.coalesce("reason", F.lit("kept")), none),
+        F.when(F.col("raw_label").isNotNull(), event(F.lit("raw_label"), F.col("raw_label"))),
+        F.when(kept, event(F.lit("kept_label"), F.col("label"))), F.when(F.col("missing_file"), event(F.lit("missing_file"), none)),
+    )
+    zero = loaded.sparkSession.createDataFrame([(m, "") for m in ("total", "bad_json", "kept", "non_target_label", "missing_image", "empty_text", "missing_file")] + [("kept_label", x) for x in labels], "measure string, label string")
+    counted = loaded.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*").groupBy("measure", "label").agg(F.count("*").alias("n"))
+    return zero.withColumn("n", F.lit(0).cast("bigint")).unionByName(counted).groupBy("measure", "label").agg(F.sum("n").alias("n"))
+
+
+def first_missing(loaded: DataFrame, most: int = 20) -> DataFrame:
+    """The first lines whose file is missing."""
+    return loaded.where("missing_file").select("line_no", "image").orderBy("line_no").limit(most)
+
+
 def regions_json(value: Column) -> Column:
     """Nested regions of a JSON list; empty for null and empty text; null if it is no list."""
     empty = F.coalesce(value, F.lit("")) == ""
@@ -28,12 +72,29 @@ def regions_json(value: Column) -> Column:
     return F.when(empty, none).when(F.json_array_length(value).isNotNull(), F.from_json(value, REGION_DDL))
 
 
+#: A quotation of either kind, or what lies between quotations.
+_LITERALS = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++|['"]"""
+
+
 def lenient(value: Column) -> Column:
-    """As :func:`regions_json`, Python literals included (single quotes, None, True, False)."""
-    literal = value
-    for a, b in (("None", "null"), ("True", "true"), ("False", "false")):
-        literal = F.regexp_replace(literal, rf"(?<=[\[:,]\s?){a}(?=\s*[,}}\]])", b)
-    return F.coalesce(regions_json(value), F.from_json(literal, REGION_DDL))
+    """As :func:`regions_json`, Python literals included; null if it is neither.
+
+    Quotations are set apart first, so that their contents stay as they are: single
+    ones are turned into double ones; outside of them None, True and False, tuples
+    and commas at the end of a list become what JSON has for them.
+    """
+
+    def token(t: Column) -> Column:
+        inner = F.substring(t, F.lit(2), F.char_length(t) - 2)
+        unquoted = F.regexp_replace(F.regexp_replace(inner, r"\\'", "'"), r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+        bare = F.translate(t, "()", "[]")
+        for a, b in (("None", "null"), ("True", "true"), ("False", "false")):
+            bare = F.regexp_replace(bare, rf"\b{a}\b", b)
+        return F.when(t.rlike("(?s)^'.*'$") & (F.char_length(t) > 1), F.concat(F.lit('"'), unquoted, F.lit('"'))).when(t.startswith('"'), t).otherwise(bare)
+
+    joined = F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_LITERALS), F.lit(0)), token), "")
+    literal = F.array_join(F.transform(F.regexp_extract_all(joined, F.lit(_LITERALS), F.lit(0)), lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, r",(\s*[\]}])", "$1"))), "")
+    return F.coalesce(regions_json(value), F.when(F.json_array_length(literal).isNotNull(), F.from_json(literal, REGION_DDL)))
 
 
 def region_errors(df: DataFrame, keys: list[str], value: str = "regions", submission: bool = True) -> DataFrame:
@@ -61,13 +122,40 @@ def region_errors(df: DataFrame, keys: list[str], value: str = "regions", submis
     return whole.unionByName(each.select(*keys, "region_idx", code.alias("code")).where("code IS NOT NULL"))
 
 
-def violations(df: DataFrame, keys: list[str], value: str = "regions", allowed: tuple[str, ...] = ("bbox", "text", "type")) -> DataFrame:
-    """``(keys, violation)`` of output rows: no JSON list, or a region with other keys than allowed."""
+def violations(
+    df: DataFrame, keys: list[str], value: str = "regions", allowed: tuple[str, ...] = ("bbox", "type", "text"),
+    columns: tuple[str, ...] | None = None, rows: int | None = None,
+) -> DataFrame:
+    """``(keys, region_idx, violation)`` of output rows; empty if the output is as it must be.
+
+    Of a value ``no_list`` (region_idx -1); of a region the first of ``no_object``,
+    ``region_keys`` (others than ``allowed``, or one missing), ``bbox_length`` (no list of
+    four) and ``type`` (none of the seven).  Given ``columns`` or ``rows``, other columns
+    or another number of rows are violations of the output (null keys).
+    """
     s = F.col(value)
-    items = F.from_json(s, "array<string>")
-    wrong = F.exists(items, lambda r: ~F.coalesce(F.array_sort(F.json_object_keys(r)) == F.array(*map(F.lit, allowed)), F.lit(False)))
-    v = F.when(F.json_array_length(s).isNull(), "no_list").when(wrong, "region_keys")
-    return df.select(*keys, v.alias("violation")).where("violation IS NOT NULL")
+    items = F.when(F.json_array_length(s).isNotNull(), F.from_json(s, "array<string>"))
+    each = df.select(*keys, F.posexplode_outer(items).alias("i", "r"), items.isNull().alias("no_list"))
+    wanted = F.array_sort(F.array(*map(F.lit, allowed)))
+    box = F.get_json_object("r", "$.bbox")
+    v = (
+        F.when(F.col("no_list"), "no_list")
+        .when(F.col("i").isNull(), None)
+        .when(F.json_object_keys("r").isNull(), "no_object")
+        .when(F.array_sort(F.json_object_keys("r")) != wanted, "region_keys")
+        .when(F.coalesce(F.json_array_length(box), F.lit(-1)) != 4, "bbox_length")
+        .when(~F.coalesce(F.get_json_object("r", "$.type").isin(*REGION_TYPES), F.lit(False)), "type")
+    )
+    found = each.select(*keys, F.coalesce("i", F.lit(-1)).alias("region_idx"), v.alias("violation")).where("violation IS NOT NULL")
+    none = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
+    whole = []
+    if columns is not None and set(columns) != set(df.columns):
+        whole.append(df.sparkSession.range(1).select(*none, F.lit(-1).alias("region_idx"), F.lit("columns").alias("violation")))
+    if rows is not None:
+        whole.append(df.agg(F.count("*").alias("n")).where(F.col("n") != rows).select(*none, F.lit(-1).alias("region_idx"), F.lit("row_count").alias("violation")))
+    for w in whole:
+        found = found.unionByName(w)
+    return found
 
 
 def numeric_summary(df: DataFrame, by: list[str], value: str, points: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
@@ -99,7 +187,8 @@ def truncation(df: DataFrame, by: list[str], value: str, limit: int) -> DataFram
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in the given order; rows equal in it are interchangeable.
 
-    A maximum per key, combined ahead of the shuffle; no sort of a key's rows.
+    A maximum per key, combined ahead of the shuffle.  Spark aggregates such wide values
+    by sorting each side of it by key; a key's rows are never brought together whole.
     """
     rest = [c for c in df.columns if c not in {*keys, *order}]
     top = F.max_by(F.struct(*(F.col(c) for c in [*order, *rest])), F.struct(*(F.col(c) for c in order)))
@@ -107,7 +196,10 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def coverage(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
-    """``(key, side)`` of keys on one side only: ``missing`` or ``unknown``."""
+    """``(key, side)`` of keys on one side only: ``missing`` or ``unknown``.
+
+    What counts as there is the caller's: for pages, those with a region at least.
+    """
     a, b = wanted.select(key).distinct(), there.select(key).distinct()
     missing = a.join(b, key, "left_anti").withColumn("side", F.lit("missing"))
     return missing.unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("unknown")))

@@ -37,27 +37,40 @@ def predictions(sent: DataFrame) -> DataFrame:
     return last.select("run_id", "image", region_structs(quality.regions_json(F.col("regions"))).alias("pred"))
 
 
+def errors(sent: DataFrame, solution: DataFrame) -> DataFrame:
+    """``(run_id, code, n)``: what keeps the files of a run from being scored strictly.
+
+    Faults of its regions (all rows count, those of unknown images too), and
+    ``missing_image`` for solution pages it sent nothing for.
+    """
+    rows = sent.where("image IS NOT NULL").select("run_id", "row_id", "regions")
+    faults = quality.region_errors(rows, ["run_id", "row_id"]).groupBy("run_id", "code").agg(F.count("*").alias("n"))
+    pages = solution.select("image").distinct()
+    there = sent.select("run_id", "image").join(pages, "image", "left_semi").groupBy("run_id").agg(F.count_distinct("image").alias("there"))
+    runs = sent.select("run_id").distinct().join(there, "run_id", "left")
+    wanted = pages.agg(F.count("*").alias("pages"))  # one row
+    absent = runs.join(F.broadcast(wanted)).select("run_id", F.lit("missing_image").alias("code"), (F.col("pages") - F.coalesce("there", F.lit(0))).alias("n"))
+    return faults.unionByName(absent.where("n > 0"))
+
+
 def evaluate(solution: DataFrame, sent: DataFrame, dialect: str = "v1") -> DataFrame:
     """Scores of every run over all solution pages.
 
     A page a run sent nothing for has all its truths missed and, if it has text, a page
-    error of 1.  Such pages are not built: their sums are those of all pages less those
-    of the pages sent.
+    error of 1; :func:`errors` tells which runs a strict evaluation refuses.  Such pages
+    are not built: their sums are those of all pages less those of the pages sent.
     """
     figures = metrics.per_page(solution.join(sent, "image"), ["run_id", "image"], dialect)
     own = solution.withColumn("pred", F.expr("array()").cast(f"array<{_REGION}>"))
-    all_pages = metrics.per_page(own, ["image"], dialect).agg(F.sum("fn").alias("n"), F.count("page_cer").alias("t")).first()
+    all_pages = metrics.per_page(own, ["image"], dialect).agg(F.coalesce(F.sum("fn"), F.lit(0)).alias("truths"), F.count("page_cer").alias("texts"))
     s = lambda c: F.coalesce(F.sum(c), F.lit(0))
     sums = figures.groupBy("run_id").agg(
         s("tp").alias("tp"), s("fp").alias("fp"), s("hits").alias("hits"), s("cer_sum").alias("cer_sum"), s("cer_count").alias("cer_count"),
         F.sum("page_cer").alias("p"), F.count("page_cer").alias("t"),
     )
-    truths, texts = all_pages["n"] or 0, all_pages["t"] or 0
-    whole = sums.withColumns(
-        {
-            "fn": F.lit(truths) - F.col("tp"),
-            "page_cer": (F.coalesce("p", F.lit(0.0)) + F.lit(texts) - F.col("t")) / F.lit(texts) if texts else F.lit(1.0),
-        }
+    missed = (F.coalesce("p", F.lit(0.0)) + F.col("texts") - F.col("t")) / F.col("texts")
+    whole = sums.join(F.broadcast(all_pages)).withColumns(  # one row
+        {"fn": F.col("truths") - F.col("tp"), "page_cer": F.when(F.col("texts") > 0, missed).otherwise(1.0)}
     )
     return metrics.summary(whole, ["run_id"])
 

@@ -147,3 +147,28 @@ def crop_examples(records: DataFrame, quality: Column, desired: int = 12, wanted
             if name != "fallback":
                 break
     return records.sparkSession.createDataFrame(out, "place int, bucket string, page bigint, gt_idx int, pred_idx int")
+
+
+def missing_buckets(chosen: DataFrame, wanted: list[tuple[str, Column, Column]]) -> DataFrame:
+    """``(place, warning)`` of the buckets for which no record was found."""
+    names = chosen.sparkSession.createDataFrame([(i, name) for i, (name, *_) in enumerate(wanted)], "place int, bucket string")
+    return names.join(chosen.select("bucket").distinct(), "bucket", "left_anti").select("place", F.concat(F.lit("missing bucket: "), "bucket").alias("warning"))
+
+
+def metadata(chosen_pages: DataFrame, stats: DataFrame, chosen_crops: DataFrame, records: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row ``full_page_examples, crop_examples, warnings``: what is shown, with its figures, for :func:`writers.report`."""
+    four = lambda c: F.round(c, 4).alias(c)
+    p = chosen_pages.join(stats, "page").select("place", F.struct(
+        F.col("page").alias("source_image"), "source", "gt_types", four("det_f1"), four("class_acc"), "matched", "missed", "false_positive", observation().alias("observation"),
+    ).alias("x"))
+    key = ["page", "gt_idx", "pred_idx"]
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    c = chosen_crops.alias("c").join(records.alias("r"), same).select("c.place", F.struct(
+        "c.bucket", F.col("r.page").alias("source_image"), "r.source", "r.gt_type", "r.pred_type", F.round("r.iou", 4).alias("iou"), F.round("r.cer", 4).alias("cer"),
+        "r.gt_text", "r.pred_text", F.col("r.gt_norm").alias("gt_text_official_normalized"), F.col("r.pred_norm").alias("pred_text_official_normalized"),
+    ).alias("x"))
+    ordered = lambda df, x, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", x))), lambda e: e[x]).alias(name))
+    one = ordered(p, "x", "full_page_examples").withColumn("_", F.lit(1))
+    two = ordered(c, "x", "crop_examples").withColumn("_", F.lit(1))
+    three = ordered(warnings, "warning", "warnings").withColumn("_", F.lit(1))
+    return one.join(two, "_").join(three, "_").drop("_")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import editdist, text
 from ..operators import layout, match, metrics
-from . import fixture
+from . import compare, fixture
 
 KEYS = ["page", "source"]
 
@@ -178,4 +178,13 @@ FROM groups s JOIN kinds k ON true LEFT JOIN t ON t.source = s.source AND t.type
 n AS (SELECT *, CASE WHEN abs(cy - lag(cy) OVER w) >= 0.5e0 * greatest(lag(h) OVER w, h) THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY page ORDER BY cy, idx)),
 l AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY page ORDER BY cy, idx) AS INT) AS line FROM n)
 SELECT page, idx, line, CAST(row_number() OVER w - 1 AS INT) AS place, lead(idx) OVER w AS next_idx FROM l WINDOW w AS (PARTITION BY page ORDER BY line, cx, cy, idx)""",
+    "a3_macro": R + f""", w AS (SELECT *, CASE WHEN scored THEN {compare.wer('pred_text', 'gt_text')} END AS wer FROM scores WHERE scored AND gt_type IN ('handwritten', 'printed', 'annotation'))
+SELECT gt_type, count(*) AS n, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(CASE WHEN pred_text = gt_text THEN 1e0 ELSE 0e0 END), 6) AS exact FROM w GROUP BY gt_type""",
+    "a4_micro": R + f""", w AS (SELECT *, levenshtein(pred_text, gt_text) AS c, {compare.words('pred_text', 'gt_text')} AS d, len({compare.words_of('gt_text')}) AS m FROM scores WHERE scored AND gt_type IN ('handwritten', 'printed', 'annotation'))
+SELECT source, count(*) AS n, round(sum(c) / CAST(sum(length(gt_text)) AS DOUBLE), 6) AS cer, round(sum(d) / CAST(sum(m) AS DOUBLE), 6) AS wer, round(avg(CASE WHEN pred_text = gt_text THEN 1e0 ELSE 0e0 END), 6) AS exact FROM w GROUP BY source""",
+    "a8_text_branch": R + f""", w AS (SELECT *, {compare.wer('pred_text', 'gt_text')} AS wer FROM scores WHERE scored AND gt_type IN ('handwritten', 'printed', 'annotation'))
+SELECT coalesce(gt_type, 'all') AS type, coalesce(source, 'all') AS source, count(*) AS n, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(CASE WHEN pred_text = gt_text THEN 1e0 ELSE 0e0 END), 6) AS exact
+FROM w GROUP BY GROUPING SETS ((), (gt_type), (source))""",
+    "v2_regions": R + f"""SELECT page, source, gt_type AS type, gt_idx, round(cer, 6) AS cer, round({compare.wer('pred_text', 'gt_text')}, 6) AS wer, pred_text = gt_text AS exact
+FROM scores WHERE scored AND gt_type IN ('handwritten', 'printed', 'annotation')""",
 }

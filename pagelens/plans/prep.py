@@ -106,6 +106,8 @@ _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _CROPS = f"c AS (SELECT crop_id, image, coalesce(lower({_TRIM.format('label')}), '') AS label, text, source_split FROM crop_records)"
 _PAGES = f"""p AS (SELECT record_id, split, file_name, collection_id, coalesce(lower({_TRIM.format('source')}), 'unknown') AS source,
   list_filter(list_transform(coalesce(regions, []), lambda r: lower({_TRIM.format('r.type')})), lambda t: t IN ('handwritten', 'formula', 'printed', 'annotation', 'table', 'image', 'graph')) AS types FROM page_metadata)"""
+_SANE = f"""({_TRIM.format("coalesce(text, '')")} <> '' AND length(coalesce(text, '')) <= 260 AND NOT contains(coalesce(text, ''), chr(65533)) AND NOT coalesce(list_bool_or(list_transform(
+  list_distinct(string_split(text, '')), lambda c: contains(text, repeat(c, 11)))), false))"""
 _BASE = r"regexp_replace(regexp_extract(replace(file_name, '\', '/'), '([^/]+)/*$', 1), '{}', '', 'g')"
 _COUNTED = _PAGES + """, n AS (SELECT *, len(types) AS boxes, """ + ", ".join(f"len(list_filter(types, lambda t: t = '{t}')) AS n_{t}" for t in (*S.HEAD, *S.MID, *S.TAIL)) + """ FROM p),
 k AS (SELECT *, n_handwritten + n_formula AS head, n_printed + n_annotation + n_table AS mid, n_image + n_graph AS tail FROM n),
@@ -152,4 +154,6 @@ SQL = {
     "r13_annotators": "SELECT coalesce(annotation_source, 'unknown') AS annotation_source, count(*) AS pages, "
     "round(sum(CASE annotation_source WHEN 'annotator' THEN 1e0 WHEN 'volunteer' THEN 0.8e0 ELSE 0.5e0 END), 3) AS weight FROM page_metadata GROUP BY 1",
     "w9_chunks": "SELECT record_id, split, CAST(floor((row_number() OVER (PARTITION BY split ORDER BY record_id) - 1) / ceil(count(*) OVER (PARTITION BY split) / 8e0)) AS INT) AS chunk FROM page_metadata",
+    "r11_samples": f"WITH {_CROPS}, {_PAGES}, q AS (SELECT * FROM p WHERE len(types) > 0), ok AS (SELECT * FROM c WHERE {_SANE}) "
+    f"SELECT 'page_json' AS task, record_id AS id, source AS bucket FROM {_turns('q', 'record_id', 'source', 200)} UNION ALL SELECT 'crop_ocr', crop_id, label FROM {_turns('ok', 'crop_id', 'label', 500)}",
 }

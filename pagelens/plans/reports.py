@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import editdist, text
+from ..operators import frames
 from ..operators import quality as Q
+from ..operators import runs as R
 from ..schema import REGION_TYPES, TEXT_TYPES
 from ..session import table
+from ..sources import readers, writers
+from . import compare
+
 
 def _label():
     return F.lower(text.strip(F.col("label")))
@@ -45,10 +50,32 @@ def s5_fields(spark, d):
 
 
 def s10_run_ids(spark, d):
-    """Run id of a file name: without suffix and the words that mark a submission."""
+    """Run id and label of submission files, one label given."""
     f = table(spark, d, "submission_lines").select("csv_file").distinct()
-    stem = F.regexp_replace("csv_file", r"\.csv$", "")
-    return f.select("csv_file", F.regexp_replace(stem, "_submission$", "").alias("run_id"), F.initcap(F.translate(F.regexp_replace(stem, r"^\d+[_-]", ""), "_-", "  ")).alias("label"))
+    run = readers.run_id(F.col("csv_file"))
+    return f.select("csv_file", run.alias("run_id"), readers.run_label(run, {"submission": "Unnamed"}).alias("label"))
+
+
+def _loaded(spark, d):
+    """Crops as the JSON lines they were delivered in, with two broken lines and a blank one."""
+    lines = crops(spark, d).select(F.col("crop_id").alias("line_no"), F.to_json(F.struct("label", "image", "text")).alias("value"))
+    broken = spark.createDataFrame([(-1, "{"), (-2, "[1]"), (-3, "  ")], "line_no bigint, value string")
+    files = table(spark, d, "page_metadata").select(text.basename(F.col("file_name")).alias("path"))
+    return Q.load_crops(lines.unionByName(broken), TEXT_TYPES, files)
+
+
+def s4_report(spark, d):
+    return Q.load_report(_loaded(spark, d), TEXT_TYPES)
+
+
+def s4_missing(spark, d):
+    """The first twenty crops whose page is not there."""
+    return Q.first_missing(_loaded(spark, d))
+
+
+def s17_regions(spark, d):
+    r = readers.page_regions(table(spark, d, "page_metadata"))
+    return r.select("image", "region_idx", "type", "language", "legibility", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 def s14_basename(spark, d):
@@ -60,8 +87,18 @@ def s15_errors(spark, d):
 
 
 def s16_lenient(spark, d):
-    s = table(spark, d, "sample_submission")
-    return s.select("row_id", F.size(Q.lenient(F.translate("regions", "\u0001", ""))).alias("n")).where("n >= 0")
+    """Regions of all submissions and of some Python literals, read leniently: their number and texts."""
+    s = table(spark, d, "sample_submission").select("row_id", "regions")
+    literals = spark.createDataFrame([(-1 - i, v) for i, v in enumerate(LITERALS)], "row_id bigint, regions string")
+    r = Q.lenient(F.col("regions"))
+    return s.unionByName(literals).select("row_id", F.size(r).alias("n"), F.array_join(F.transform(r, lambda x: F.coalesce(x["text"], F.lit("-"))), "|").alias("texts"))
+
+
+#: Literals and, beside them, what they say.
+LITERALS = {
+    "[{'text': 'a, None, b', 'type': None}]": (1, "a, None, b"), "[{'text': \"it's\"}, {'text': None}, {}]": (3, "it's|-|-"), "[{'text': 'x \"True\" y', 'bbox': (1, 2, 3, 4,),},]": (1, 'x "True" y'),
+    "None": (None, None), "{'a': 1}": (None, None), "[{'text': 'it\\'s'}]": (1, "it's"),
+}
 
 
 def s21_union(spark, d):
@@ -78,9 +115,10 @@ def j1_solution(spark, d):
 
 
 def j2_coverage(spark, d):
+    """Pages without predictions (an empty list counts as none) and predicted images that are no pages."""
     p = table(spark, d, "page_metadata").select(text.basename(F.col("file_name")).alias("image"))
-    s = table(spark, d, "sample_submission").where("image IS NOT NULL").select("image")
-    return Q.coverage(p, s, "image")
+    s = table(spark, d, "sample_submission").where("image IS NOT NULL").where(F.size(Q.regions_json(F.col("regions"))) > 0)
+    return Q.coverage(p, s.select("image"), "image")
 
 
 def w2_keep_last(spark, d):
@@ -96,15 +134,14 @@ def j6_labels(spark, d):
 
 
 def j12_patch(spark, d):
-    """Empty texts of regions taken from the crops of the same page in order."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("image").orderBy("crop_id")
-    new = crops(spark, d).where("text IS NOT NULL AND image IS NOT NULL").select("image", (F.row_number().over(w) - 1).alias("idx"), F.col("text").alias("new"))
-    r = table(spark, d, "page_metadata").select("record_id", text.basename(F.col("file_name")).alias("image"), F.posexplode("regions").alias("idx", "r"))
-    return r.select("record_id", "image", "idx", F.col("r.text").alias("old")).join(new, ["image", "idx"], "left").select(
-        "record_id", "idx", F.coalesce(F.nullif("old", F.lit("")), "new").alias("text")
-    )
+    """Texts of the truths at the same place written over what was sent."""
+    s = table(spark, d, "sample_submission").select("row_id", "image", "regions")
+    name = text.basename(F.col("file_name"))
+    first = table(spark, d, "page_metadata").groupBy(name.alias("image")).agg(F.min_by(F.struct(F.col("image_width").alias("w"), F.col("image_height").alias("h"), F.col("regions.text").alias("texts")), "record_id").alias("p"))
+    pages = first.select("image", "p.w", "p.h")
+    answers = first.select("image", F.posexplode("p.texts").alias("idx", "text"))
+    out = frames.patched(s, answers, pages)
+    return out.select("row_id", F.posexplode(Q.regions_json(F.col("regions"))).alias("idx", "r")).select("row_id", "idx", "r.text")
 
 
 def filter_scorable(spark, d):
@@ -119,20 +156,21 @@ def filter_route(spark, d):
 
 
 def filter_candidates(spark, d):
-    """Crops fit for training: text type, sane text."""
-    return crops(spark, d).where(_label().isin(*TEXT_TYPES) & text.sane(F.col("text"))).select("crop_id")
+    """Regions fit for training crops."""
+    return _regions(spark, d).where(frames.candidate(F.col("type"), F.col("text"), F.col("language"), F.col("legibility"))).select("record_id", "idx")
 
 
 def filter_smart(spark, d):
-    """Regions to be read again: blank, very short or very long."""
-    t = text.strip(F.coalesce(F.col("text"), F.lit("")))
-    return _regions(spark, d).where((t == "") | (F.char_length(t) < 4) | (F.char_length(t) > 160)).select("record_id", "idx")
+    """How many regions each mode reads again, by source."""
+    modes = ("none", "all", "smart")
+    return _regions(spark, d).groupBy("source").agg(*(F.count_if(frames.read_again(F.col("text"), m)).alias(m) for m in modes))
 
 
 def filter_limits(spark, d):
-    p = table(spark, d, "page_metadata").where("regions IS NOT NULL")
-    chars = F.aggregate(F.col("regions"), F.lit(0), lambda a, r: a + F.coalesce(F.char_length(r["text"]), F.lit(0)))
-    return p.where(F.size("regions").between(1, 60) & (chars <= 9000)).select("record_id", F.size("regions").alias("n"), chars.alias("chars"))
+    """Pages whose answer has at most 60 regions and 9,000 characters of compact JSON."""
+    p = table(spark, d, "page_metadata").select("record_id", frames.page_answer(F.col("regions"), F.col("image_width"), F.col("image_height")).alias("a"))
+    p = p.select("record_id", F.json_array_length("a").alias("n"), F.char_length("a").alias("chars"))
+    return p.where("n BETWEEN 1 AND 60 AND chars <= 9000")
 
 
 def a10_labels(spark, d):
@@ -174,10 +212,15 @@ def a18_summary(spark, d):
 
 
 def t3_crops(spark, d):
-    """Error rates of crops against the region they were cut from, in code points and words."""
-    a, b = F.col("text"), F.upper("text")
-    rows = crops(spark, d).where("text IS NOT NULL").select("crop_id", editdist.chars(a, F.lower(b)).alias("chars"), editdist.words(a, F.lower(b)).alias("words"))
-    return rows
+    """Each crop against what was sent for its page in regions of its type: the least error rates."""
+    kind = text.normal_type(F.col("label"))
+    c = crops(spark, d).where("text IS NOT NULL").select("crop_id", "image", kind.alias("type"), F.col("text").alias("gt"))
+    s = table(spark, d, "sample_submission").select("image", F.explode(Q.regions_json(F.col("regions"))).alias("r")).where("r.text IS NOT NULL")
+    s = s.select("image", text.normal_type(F.col("r.type")).alias("type"), F.col("r.text").alias("pred"))
+    pairs = c.join(s, ["image", "type"])
+    return pairs.groupBy("crop_id").agg(
+        F.count("*").alias("n"), F.round(F.min(editdist.cer(F.col("pred"), F.col("gt"))), 6).alias("cer"), F.round(F.min(editdist.wer(F.col("pred"), F.col("gt"))), 6).alias("wer"),
+    )
 
 
 def t1_normalized(spark, d):
@@ -187,9 +230,9 @@ def t1_normalized(spark, d):
 
 
 def t8_invalid(spark, d):
-    """Structured regions judged as if they were answers."""
-    t = text.normal_type(F.col("type"))
-    r = _regions(spark, d).select(t.alias("type"), "text").where("type IN ('formula', 'table')")
+    """Texts of all regions judged as if they were answers, of tables but for formulas."""
+    t = F.when(text.normal_type(F.col("type")) == "formula", "formula").otherwise("table")
+    r = _regions(spark, d).select(t.alias("type"), "text")
     return r.groupBy("type", text.invalid_reason(F.col("text"), F.col("type"), F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -235,15 +278,26 @@ def u2_difference(spark, d):
 
 
 def k6_markdown(spark, d):
-    """The table of runs as Markdown rows."""
-    r = table(spark, d, "runs")
-    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(text.markdown_cell(F.col(c)) for c in ("run_id", "run_group", "label"))), F.lit(" |"))
-    return r.select("run_id", cells.alias("line"))
+    """The table of runs as Markdown, a row a line."""
+    lines = writers.markdown(table(spark, d, "runs").select("run_id", "run_group", "label").orderBy("run_id")).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "place int, line string")
+
+
+def o3_invalid(spark, d):
+    """The first fifty regions that would be invalid answers, of tables but for formulas."""
+    t = F.when(text.normal_type(F.col("type")) == "formula", "formula").otherwise("table")
+    r = _regions(spark, d).select("record_id", "idx", t.alias("type"), "text")
+    r = r.withColumn("reason", text.invalid_reason(F.col("text"), F.col("type"), F.col("text"))).where("reason <> ''")
+    return r.select("record_id", "idx", "type", "reason").orderBy("record_id", "idx").limit(50)
+
+
+def v1_errors(spark, d):
+    """What keeps runs from being scored strictly."""
+    return R.errors(table(spark, d, "sample_submission"), R.solutions(table(spark, d, "page_metadata")))
 
 
 def _coco(spark, d):
     from ..functions import geometry as G
-    from ..sources import writers
 
     def region(r):
         b = G.from_array(r["bbox"])
@@ -269,13 +323,16 @@ def k7_categories(spark, d):
 
 
 def k10_violations(spark, d):
-    return Q.violations(table(spark, d, "sample_submission").where("regions IS NOT NULL"), ["row_id"])
+    """Submissions checked as output: their columns, the number of rows, every region."""
+    s = table(spark, d, "sample_submission")
+    images = table(spark, d, "page_metadata").select(text.basename(F.col("file_name"))).distinct().count()
+    return Q.violations(s.select("row_id", "image", "regions"), ["row_id"], columns=("image", "regions"), rows=images)
 
 
 QUERIES = {f.__name__: f for f in (
-    s4_reasons, s4_examples, s5_fields, s10_run_ids, s14_basename, s15_errors, s16_lenient, s21_union, j1_solution, j2_coverage, w2_keep_last, j6_labels, j12_patch,
+    s4_reasons, s4_examples, s4_report, s4_missing, s5_fields, s10_run_ids, s14_basename, s15_errors, s16_lenient, s17_regions, s21_union, j1_solution, j2_coverage, w2_keep_last, j6_labels, j12_patch,
     filter_scorable, filter_route, filter_candidates, filter_smart, filter_limits, a10_labels, a11_lengths, a12_truncation, a14_before_after, a15_totals, a18_summary, t3_crops, t1_normalized, t8_invalid, t9_cleaned, t11_sane, t13_clean, t14_truncated,
-    t15_slug, t19_numbers, t20_cyrillic, o1_ranked, u2_difference, k6_markdown, k7_coco, k7_images, k7_categories, k10_violations,
+    t15_slug, t19_numbers, t20_cyrillic, o1_ranked, u2_difference, k6_markdown, k7_coco, k7_images, k7_categories, k10_violations, o3_invalid, v1_errors,
 )}
 _S = r"regexp_replace({}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
 _LABEL = f"lower({_S.format('label')})"
@@ -288,6 +345,13 @@ _REASON = f"""CASE WHEN NOT coalesce({_LABEL} IN ('handwritten', 'printed', 'ann
   WHEN {_S.format("coalesce(image, '')")} = '' THEN 'missing_image' WHEN {_S.format("coalesce(text, '')")} = '' THEN 'empty_text' END"""
 _SANE = f"""({_S.format("coalesce(text, '')")} <> '' AND length(coalesce(text, '')) <= 260 AND NOT contains(coalesce(text, ''), chr(65533)) AND NOT coalesce(list_bool_or(list_transform(
   list_distinct(string_split(text, '')), lambda c: contains(text, repeat(c, 11)))), false))"""
+_T = _S.format("coalesce(text, '')")
+_INVALID = f"""CASE WHEN {_T} = '' THEN 'empty' WHEN contains({_T}, '```') THEN 'markdown_fence' WHEN regexp_matches({_T}, '^[\\[{{]') THEN 'json_or_list_wrapper'
+  WHEN regexp_matches({_T}, '(?i)^(?:text|transcription|answer|output)[\\s\\x{{00a0}}]*:') THEN 'prefixed_label'
+  WHEN regexp_matches({_T}, '(?i)\\b(?:i can see|the image|this is|the answer|solution|solve|simplif)') THEN 'explanation_or_solution_like'
+  WHEN type = 'table' AND regexp_matches(coalesce(text, ''), '[|\\n]') AND NOT regexp_matches({_T}, '[|\\n]') THEN 'missing_table_separator'
+  WHEN type = 'table' AND len(list_filter(regexp_split_to_array({_T}, '\\r\\n|[\\n\\r]'), lambda x: {_S.format('x')} <> '')) > 1
+    AND len(list_filter(regexp_split_to_array({_T}, '\\r\\n|[\\n\\r]'), lambda x: {_S.format('x')} <> '' AND NOT contains(x, '|'))) > 0 THEN 'malformed_table_rows' ELSE '' END"""
 _LAST = "SELECT run_id, image, max_by(row_id, (submitted_at, row_id)) AS row_id FROM sample_submission WHERE image IS NOT NULL GROUP BY 1, 2"
 
 SQL = {
@@ -307,19 +371,10 @@ UNION ALL SELECT row_id, -1, CASE WHEN j IS NULL THEN 'bad_json' ELSE 'not_a_lis
     "j1_solution": f"""WITH l AS ({_LAST}), p AS (SELECT {_NAME} AS image, max(len(regions)) AS gt FROM page_metadata WHERE regions IS NOT NULL GROUP BY 1)
 SELECT l.run_id, l.image, CAST(gt AS INT) AS gt, CAST(CASE WHEN json_valid(s.regions) AND json_type(s.regions::JSON) = 'ARRAY' THEN json_array_length(s.regions::JSON) ELSE 0 END AS INT) AS pred
 FROM p JOIN l USING (image) JOIN sample_submission s USING (row_id)""",
-    "j2_coverage": f"""WITH p AS (SELECT DISTINCT {_NAME} AS image FROM page_metadata), s AS (SELECT DISTINCT image FROM sample_submission WHERE image IS NOT NULL)
-SELECT image, 'missing' AS side FROM p WHERE image NOT IN (SELECT image FROM s) UNION ALL SELECT image, 'unknown' FROM s WHERE image NOT IN (SELECT image FROM p)""",
     "w2_keep_last": _LAST,
     "j6_labels": "SELECT s.run_id, coalesce(run_group, 'unknown') AS run_group, coalesce(label, s.run_id) AS label, count(*) AS n FROM sample_submission s LEFT JOIN runs r ON r.run_id = s.run_id GROUP BY ALL",
-    "j12_patch": f"""WITH n AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY crop_id) - 1 AS idx, text AS new FROM crop_records WHERE text IS NOT NULL AND image IS NOT NULL),
-e AS (SELECT record_id, {_NAME} AS image, unnest(range(len(regions))) AS idx, unnest(regions).text AS old FROM page_metadata)
-SELECT record_id, CAST(e.idx AS INT) AS idx, coalesce(nullif(old, ''), new) AS text FROM e LEFT JOIN n ON n.image = e.image AND n.idx = e.idx""",
     "filter_scorable": f"{_R} SELECT source, count(*) AS regions, count(*) FILTER ({_TYPE} NOT IN ('image', 'graph') AND coalesce(language, '') <> 'other' AND coalesce(legibility, '') <> 'illegible') AS scorable FROM r GROUP BY source",
     "filter_route": f"{_R}, t AS (SELECT lower({_S.format('type')}) AS t FROM r) SELECT CASE WHEN t IN ('handwritten', 'printed', 'annotation') THEN 'text' WHEN t IN ('formula', 'table') THEN 'structured' WHEN t IN ('image', 'graph') THEN 'empty' ELSE 'unknown' END AS route, count(*) AS n FROM t GROUP BY 1",
-    "filter_candidates": f"SELECT crop_id FROM crop_records WHERE {_LABEL} IN ('handwritten', 'printed', 'annotation') AND {_SANE}",
-    "filter_smart": f"""{_R}, t AS (SELECT record_id, idx, {_S.format("coalesce(text, '')")} AS t FROM r) SELECT record_id, idx FROM t WHERE length(t) < 4 OR length(t) > 160""",
-    "filter_limits": "SELECT record_id, CAST(len(regions) AS INT) AS n, CAST(coalesce(list_sum(list_transform(regions, lambda r: length(r.text))), 0) AS INT) AS chars FROM page_metadata "
-    "WHERE len(regions) BETWEEN 1 AND 60 AND coalesce(list_sum(list_transform(regions, lambda r: length(r.text))), 0) <= 9000",
     "a10_labels": f"SELECT coalesce({_LABEL}, '') AS label, count(*) AS n FROM crop_records GROUP BY 1",
     "a11_lengths": f"""WITH c AS (SELECT coalesce({_LABEL}, '') AS label, length(text) AS v FROM crop_records WHERE text IS NOT NULL), b AS (SELECT * FROM c UNION ALL SELECT 'all', v FROM c),
 s AS (SELECT label, list_sort(list(v)) AS vs FROM b GROUP BY label)
@@ -336,8 +391,76 @@ SELECT label, len(vs) AS count, vs[1] AS min, vs[len(vs)] AS max, round(list_sum
     "t20_cyrillic": "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\x{0400}-\\x{04ff}]')) AS INT) AS n FROM documents",
     "o1_ranked": f"WITH c AS (SELECT coalesce({_LABEL}, '') AS label, count(*) AS n FROM crop_records GROUP BY 1) SELECT label, n, CAST(CASE WHEN label IN {_KNOWN} THEN list_position(['handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph'], label) ELSE 999 END AS INT) AS rank FROM c",
     "u2_difference": "SELECT DISTINCT collection_id FROM page_metadata WHERE collection_id IS NOT NULL AND collection_id NOT IN (SELECT collection_id FROM crop_records WHERE collection_id IS NOT NULL)",
-    "k6_markdown": "SELECT run_id, '| ' || concat_ws(' | ', run_id, run_group, label) || ' |' AS line FROM runs",
-    "k10_violations": """WITH g AS (SELECT row_id, CASE WHEN json_valid(regions) THEN CAST(regions AS JSON) END AS j FROM sample_submission WHERE regions IS NOT NULL)
-SELECT row_id, CASE WHEN j IS NULL OR json_type(j) <> 'ARRAY' THEN 'no_list' ELSE 'region_keys' END AS violation FROM g WHERE j IS NULL OR json_type(j) <> 'ARRAY'
-  OR len(list_filter(CAST(j AS JSON[]), lambda r: NOT coalesce(list_sort(CASE WHEN json_type(r) = 'OBJECT' THEN json_keys(r) END) = ['bbox', 'text', 'type'], false))) > 0""",
+    "s10_run_ids": "WITH f AS (SELECT DISTINCT csv_file, regexp_replace(regexp_replace(csv_file, '\\.csv$', ''), '_submission$', '') AS r FROM submission_lines) "
+    "SELECT csv_file, r AS run_id, CASE WHEN r = 'submission' THEN 'Unnamed' ELSE trim(translate(regexp_replace(r, '^[0-9]+[_-]', ''), '_-', '  ')) END AS label FROM f",
+    "s4_report": f"""WITH l AS (SELECT coalesce(label, '') AS raw, image, text, CASE WHEN coalesce(label, '') NOT IN ('handwritten', 'printed', 'annotation') THEN 'non_target_label'
+  WHEN {_S.format("coalesce(image, '')")} = '' THEN 'missing_image' WHEN {_S.format("coalesce(text, '')")} = '' THEN 'empty_text' ELSE 'kept' END AS reason FROM crop_records),
+e AS (SELECT 'total' AS measure, '' AS label FROM l UNION ALL SELECT reason, '' FROM l UNION ALL SELECT 'raw_label', raw FROM l UNION ALL SELECT 'kept_label', raw FROM l WHERE reason = 'kept'
+  UNION ALL SELECT 'missing_file', '' FROM l WHERE reason = 'kept' AND image NOT IN (SELECT {_NAME} FROM page_metadata WHERE file_name IS NOT NULL)
+  UNION ALL SELECT unnest(['total', 'total', 'bad_json', 'bad_json']), ''),
+z AS (SELECT unnest(['total', 'bad_json', 'kept', 'non_target_label', 'missing_image', 'empty_text', 'missing_file']) AS measure, '' AS label UNION ALL SELECT 'kept_label', unnest(['handwritten', 'printed', 'annotation']))
+SELECT measure, label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT measure, label, 1 AS n FROM e UNION ALL SELECT measure, label, 0 FROM z) GROUP BY 1, 2""",
+    "s4_missing": f"""SELECT crop_id AS line_no, image FROM crop_records WHERE label IN ('handwritten', 'printed', 'annotation') AND {_S.format("coalesce(image, '')")} <> '' AND {_S.format("coalesce(text, '')")} <> ''
+  AND image NOT IN (SELECT {_NAME} FROM page_metadata WHERE file_name IS NOT NULL) ORDER BY crop_id LIMIT 20""",
+    "s16_lenient": "WITH s AS (SELECT row_id, CASE WHEN coalesce(regions, '') = '' THEN '[]' ELSE regions END AS j FROM sample_submission) SELECT row_id, CAST(json_array_length(j) AS INT) AS n, "
+    "array_to_string(list_transform(CAST(j AS JSON[]), lambda x: coalesce(json_extract_string(x, '$.text'), '-')), '|') AS texts FROM s UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"({-1 - i}, {'NULL' if n is None else n}, {'NULL' if t is None else chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39)})" for i, (n, t) in enumerate(LITERALS.values())) + ") AS v(row_id, n, texts)",
+    "s17_regions": f"""WITH p AS (SELECT {_NAME} AS image, CAST(coalesce(nullif(image_width, 0), 1) AS DOUBLE) AS w, CAST(coalesce(nullif(image_height, 0), 1) AS DOUBLE) AS h, CASE WHEN len(regions) > 0 THEN regions ELSE [NULL] END AS rs FROM page_metadata),
+e AS (SELECT image, w, h, unnest(range(len(rs))) AS i, unnest(rs) AS r FROM p), b AS (SELECT *, CASE WHEN len(r.bbox) = 4 AND len(list_filter(r.bbox, lambda v: v IS NULL)) = 0 THEN r.bbox WHEN coalesce(len(r.bbox), 0) <> 4 THEN [0e0, 0e0, 1e0, 1e0] END AS b FROM e),
+g AS (SELECT *, b[3] <= b[1] OR b[4] <= b[2] AS bad FROM b),
+c AS (SELECT *, greatest(0e0, least(w, b[1])) AS x1, greatest(0e0, least(h, b[2])) AS y1, greatest(0e0, least(w, CASE WHEN bad THEN b[1] + greatest(0e0, b[3]) ELSE b[3] END)) AS x2,
+  greatest(0e0, least(h, CASE WHEN bad THEN b[2] + greatest(0e0, b[4]) ELSE b[4] END)) AS y2 FROM g)
+SELECT image, CASE WHEN r IS NOT NULL THEN CAST(i AS INT) END AS region_idx, CASE WHEN r IS NOT NULL THEN {_S.format("coalesce(r.type, '')")} END AS type, CASE WHEN r IS NOT NULL THEN coalesce(r.language, 'uk') END AS language,
+  CASE WHEN r IS NOT NULL THEN coalesce(r.legibility, 'legible') END AS legibility, CASE WHEN r IS NOT NULL AND b IS NOT NULL THEN round(x1, 6) END AS x1, CASE WHEN r IS NOT NULL AND b IS NOT NULL THEN round(y1, 6) END AS y1,
+  CASE WHEN r IS NOT NULL AND b IS NOT NULL THEN round(CASE WHEN x2 <= x1 THEN least(w, x1 + 1e0) ELSE x2 END, 6) END AS x2, CASE WHEN r IS NOT NULL AND b IS NOT NULL THEN round(CASE WHEN y2 <= y1 THEN least(h, y1 + 1e0) ELSE y2 END, 6) END AS y2 FROM c""",
+    "j2_coverage": f"""WITH p AS (SELECT DISTINCT {_NAME} AS image FROM page_metadata),
+s AS (SELECT DISTINCT image FROM sample_submission WHERE image IS NOT NULL AND regions <> '' AND json_valid(regions) AND json_type(regions::JSON) = 'ARRAY' AND json_array_length(regions::JSON) > 0)
+SELECT image, 'missing' AS side FROM p WHERE image NOT IN (SELECT image FROM s) UNION ALL SELECT image, 'unknown' FROM s WHERE image NOT IN (SELECT image FROM p)""",
+    "j12_patch": f"""WITH f AS (SELECT {_NAME} AS image, min_by(struct_pack(w := image_width, h := image_height, t := list_transform(regions, lambda r: r.text), k := regions IS NOT NULL), record_id) AS p FROM page_metadata GROUP BY 1),
+s AS (SELECT row_id, image, CAST(regions AS JSON) AS j FROM sample_submission WHERE regions <> '' AND json_valid(regions) AND json_type(regions::JSON) = 'ARRAY'),
+e AS (SELECT row_id, image, i, json_extract(j, '$[' || i || ']') AS r FROM (SELECT *, unnest(range(json_array_length(j)::BIGINT)) AS i FROM s)),
+b AS (SELECT e.*, f.p, CASE WHEN json_type(r, '$.bbox') = 'ARRAY' AND json_array_length(r, '$.bbox') = 4 THEN CAST(json_extract(r, '$.bbox') AS DOUBLE[]) END AS b FROM e LEFT JOIN f USING (image)),
+c AS (SELECT *, list_transform(b, lambda v, k: greatest(0, least(CAST(trunc(v) AS BIGINT), CASE WHEN k % 2 = 1 THEN p.w ELSE p.h END))) AS q FROM b)
+SELECT row_id, CAST(i AS INT) AS idx, CASE WHEN json_extract_string(r, '$.type') IN ('handwritten', 'printed', 'annotation') AND q[3] > q[1] AND q[4] > q[2] AND p.t[i + 1] IS NOT NULL THEN p.t[i + 1]
+  ELSE json_extract_string(r, '$.text') END AS text FROM c""",
+    "filter_candidates": f"{_R} SELECT record_id, idx FROM r WHERE {_TYPE} NOT IN ('image', 'graph') AND lower(coalesce(language, 'uk')) <> 'other' AND lower(coalesce(legibility, 'legible')) <> 'illegible' AND {_SANE}",
+    "filter_smart": f"""{_R}, t AS (SELECT source, {_S.format("coalesce(text, '')")} AS t FROM r) SELECT source, CAST(0 AS BIGINT) AS none, count(*) AS \"all\", count(*) FILTER (length(t) < 4 OR length(t) > 160) AS smart FROM t GROUP BY source""",
+    "filter_limits": f"""WITH e AS (SELECT record_id, CAST(image_width AS DOUBLE) AS w, CAST(image_height AS DOUBLE) AS h, unnest(range(len(regions))) AS i, unnest(regions) AS r FROM page_metadata),
+b AS (SELECT record_id, i, w, h, r.text AS text, {_TYPE.replace('type', 'r.type')} AS kind, least(greatest(0e0, least(w, r.bbox[1])), greatest(0e0, least(w, r.bbox[3]))) AS x1, least(greatest(0e0, least(h, r.bbox[2])), greatest(0e0, least(h, r.bbox[4]))) AS y1,
+  greatest(greatest(0e0, least(w, r.bbox[1])), greatest(0e0, least(w, r.bbox[3]))) AS x2, greatest(greatest(0e0, least(h, r.bbox[2])), greatest(0e0, least(h, r.bbox[4]))) AS y2
+  FROM e WHERE len(r.bbox) = 4 AND len(list_filter(r.bbox, lambda v: v IS NULL)) = 0),
+g AS (SELECT record_id, kind, text, [least(1000, CAST(round_even(round_even(x1, 0) / w * 1000, 0) AS INT)), least(1000, CAST(round_even(round_even(y1, 0) / h * 1000, 0) AS INT)),
+  least(1000, CAST(round_even(round_even(x2, 0) / w * 1000, 0) AS INT)), least(1000, CAST(round_even(round_even(y2, 0) / h * 1000, 0) AS INT))] AS bbox FROM b WHERE x2 - x1 >= 8 AND y2 - y1 >= 8),
+o AS (SELECT record_id, count(*) AS n, sum(length(CAST(to_json(struct_pack(bbox := bbox, type := kind, text := CASE WHEN kind IN ('image', 'graph') THEN '' ELSE coalesce(text, '') END)) AS VARCHAR)) + 1) + 1 AS chars FROM g GROUP BY 1)
+SELECT record_id, CAST(n AS INT) AS n, CAST(chars AS INT) AS chars FROM o WHERE n <= 60 AND chars <= 9000""",
+    "t3_crops": f"""WITH c AS (SELECT crop_id, image, {_TYPE.replace('type', 'label')} AS type, text AS gt FROM crop_records WHERE text IS NOT NULL),
+s AS (SELECT image, CAST(regions AS JSON) AS j FROM sample_submission WHERE regions <> '' AND json_valid(regions) AND json_type(regions::JSON) = 'ARRAY'),
+e AS (SELECT image, json_extract(j, '$[' || i || ']') AS r FROM (SELECT *, unnest(range(json_array_length(j)::BIGINT)) AS i FROM s)),
+r AS (SELECT image, json_extract_string(r, '$.type') AS type0, json_extract_string(r, '$.text') AS pred FROM e), k AS (SELECT image, {_TYPE.replace('type', 'type0')} AS type, pred FROM r WHERE pred IS NOT NULL),
+p AS (SELECT c.crop_id, gt, pred FROM c JOIN k ON k.image = c.image AND k.type = c.type),
+d AS (SELECT crop_id, ({compare.chars('pred', 'gt')}) / CAST(greatest(length(gt), 1) AS DOUBLE) AS cer, {compare.wer('pred', 'gt')} AS wer FROM p)
+SELECT crop_id, count(*) AS n, round(min(cer), 6) AS cer, round(min(wer), 6) AS wer FROM d GROUP BY 1""",
+    "t8_invalid": f"{_R}, t AS (SELECT CASE {_TYPE} WHEN 'formula' THEN 'formula' ELSE 'table' END AS type, text FROM r), j AS (SELECT type, {_INVALID} AS reason FROM t) SELECT type, reason, count(*) AS n FROM j GROUP BY ALL",
+    "o3_invalid": f"{_R}, t AS (SELECT record_id, idx, CASE {_TYPE} WHEN 'formula' THEN 'formula' ELSE 'table' END AS type, text FROM r), j AS (SELECT record_id, idx, type, {_INVALID} AS reason FROM t) "
+    "SELECT record_id, idx, type, reason FROM j WHERE reason <> '' ORDER BY record_id, idx LIMIT 50",
+    "k6_markdown": "WITH r AS (SELECT CAST(row_number() OVER (ORDER BY run_id) + 1 AS INT) AS place, '| ' || array_to_string(list_transform([run_id, run_group, label], lambda x: replace(replace(coalesce(x, ''), '|', '\\|'), chr(10), '<br>')), ' | ') || ' |' AS line FROM runs) "
+    "SELECT * FROM r UNION ALL SELECT 0, '| run_id | run_group | label |' UNION ALL SELECT 1, '| --- | --- | --- |'",
+    "k7_images": "SELECT row_number() OVER (ORDER BY file_name COLLATE \"C\", record_id) AS id, file_name, image_width AS width, image_height AS height FROM page_metadata",
+    "k7_categories": "SELECT CAST(i AS INT) AS id, n AS name FROM (SELECT unnest(range(1, 8)) AS i, unnest(['handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph']) AS n)",
+    "k7_coco": f"""WITH n AS (SELECT row_number() OVER (ORDER BY file_name COLLATE "C", record_id) AS image_id, CAST(image_width AS DOUBLE) AS w, CAST(image_height AS DOUBLE) AS h, regions FROM page_metadata),
+e AS (SELECT image_id, w, h, unnest(range(len(regions))) AS i, unnest(regions) AS r FROM n),
+c AS (SELECT *, list_position(['handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph'], lower({_S.format('r.type')})) AS k, greatest(0e0, least(w - 2, r.bbox[1])) AS x, greatest(0e0, least(h - 2, r.bbox[2])) AS y
+  FROM e WHERE len(r.bbox) = 4 AND len(list_filter(r.bbox, lambda v: v IS NULL)) = 0),
+s AS (SELECT *, greatest(1e0, least(r.bbox[3] - r.bbox[1], w - x)) AS bw, greatest(1e0, least(r.bbox[4] - r.bbox[2], h - y)) AS bh FROM c WHERE k > 0)
+SELECT row_number() OVER (ORDER BY image_id, i) AS id, image_id, CAST(k AS INT) AS category_id, [round(x, 2), round(y, 2), round(bw, 2), round(bh, 2)] AS bbox, round(bw * bh, 2) AS area, CAST(0 AS INT) AS iscrowd, CAST(i AS INT) AS region_idx_in_image FROM s WHERE bw > 1 AND bh > 1""",
+    "k10_violations": f"""WITH g AS (SELECT row_id, CASE WHEN json_valid(regions) AND json_type(regions::JSON) = 'ARRAY' THEN CAST(regions AS JSON) END AS j FROM sample_submission),
+e AS (SELECT row_id, CAST(i AS INT) AS i, json_extract(j, '$[' || i || ']') AS r FROM (SELECT *, unnest(range(json_array_length(j)::BIGINT)) AS i FROM g WHERE j IS NOT NULL)),
+v AS (SELECT row_id, i, CASE WHEN json_type(r) <> 'OBJECT' THEN 'no_object' WHEN list_sort(json_keys(r)) <> ['bbox', 'text', 'type'] THEN 'region_keys'
+  WHEN json_type(r, '$.bbox') <> 'ARRAY' OR json_array_length(r, '$.bbox') <> 4 THEN 'bbox_length' WHEN coalesce(json_extract_string(r, '$.type'), '') NOT IN {_KNOWN} THEN 'type' END AS violation FROM e)
+SELECT row_id, i AS region_idx, violation FROM v WHERE violation IS NOT NULL UNION ALL SELECT row_id, -1, 'no_list' FROM g WHERE j IS NULL UNION ALL SELECT NULL, -1, 'columns'
+UNION ALL SELECT NULL, -1, 'row_count' FROM (SELECT count(*) AS n FROM sample_submission) WHERE n <> (SELECT count(DISTINCT {_NAME}) FROM page_metadata)""",
 }
+SQL["v1_errors"] = f"""WITH x AS ({SQL['s15_errors']}), s AS (SELECT run_id, row_id FROM sample_submission WHERE image IS NOT NULL),
+f AS (SELECT DISTINCT {_NAME} AS image FROM page_metadata WHERE regions IS NOT NULL), t AS (SELECT run_id, count(DISTINCT image) AS n FROM sample_submission WHERE image IN (SELECT image FROM f) GROUP BY 1)
+SELECT run_id, code, count(*) AS n FROM x JOIN s USING (row_id) GROUP BY 1, 2
+UNION ALL SELECT * FROM (SELECT r.run_id, 'missing_image', (SELECT count(*) FROM f) - coalesce(n, 0) AS n FROM (SELECT DISTINCT run_id FROM sample_submission) r LEFT JOIN t USING (run_id)) WHERE n > 0"""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import frames
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..session import table
@@ -39,13 +40,15 @@ def a19_precision(spark, d):
     return _rounded(R.average_precision(fixture.pages(spark, d)))
 
 
+HINTS = {"dictation": "A dictation.", "archive": "An old document.", "university": "An exam.", "school": "Homework.", "default": "A page."}
+PROMPTS = {"formula": "Write down the formula.", "table": "Write down the table, cells parted by bars.", "image": "Say nothing.", "graph": "Say nothing.", "default": "Write down the text."}
+RULES = ("Mark what cannot be read.", "Add nothing.")
+
+
 def t17_prompts(spark, d):
-    """Prompts of crops: hint of the source and rule of the type, joined by a line break."""
-    hints = F.create_map(*(F.lit(x) for s in ("dictation", "archive", "university", "school") for x in (s, f"A page of kind {s}.")))
-    rules = F.create_map(*(F.lit(x) for t in ("handwritten", "printed", "formula", "table", "annotation") for x in (t, f"Read the {t} text.")))
-    kind = text.normal_type(F.col("label"))
+    """Prompts of crops: hint of the source, prompt of the type and rules, a line each."""
     rows = table(spark, d, "crop_records").join(table(spark, d, "collections").select("collection_id", "source"), "collection_id", "left")
-    prompt = F.concat_ws("\n", F.coalesce(hints[F.col("source")], F.lit("A page.")), F.coalesce(rules[kind], F.lit("Read the text.")))
+    prompt = frames.prompt(F.col("label"), F.col("source"), HINTS, PROMPTS, RULES)
     return rows.groupBy(prompt.alias("prompt")).agg(F.count("*").alias("n"))
 
 
@@ -124,8 +127,10 @@ SELECT run_id, round(2e0 * pr * re / greatest(pr + re, 1e-9), 6) AS det_f1, roun
 
 SQL = {
     "v1_detection": _DETECTION,
-    "t17_prompts": f"""WITH r AS (SELECT c.source AS s, {_KIND.format('label')} AS k FROM crop_records LEFT JOIN collections c USING (collection_id))
-SELECT coalesce('A page of kind ' || s || '.', 'A page.') || chr(10) || CASE WHEN k IN ('image', 'graph') THEN 'Read the text.' ELSE 'Read the ' || k || ' text.' END AS prompt, count(*) AS n FROM r GROUP BY 1""",
+    "t17_prompts": f"""WITH r AS (SELECT c.source AS s, {_KIND.format('label')} AS k FROM crop_records LEFT JOIN collections c USING (collection_id)),
+p AS (SELECT CASE k WHEN 'formula' THEN 'Write down the formula.' WHEN 'table' THEN 'Write down the table, cells parted by bars.' WHEN 'image' THEN 'Say nothing.' WHEN 'graph' THEN 'Say nothing.' ELSE 'Write down the text.' END AS p, k,
+  CASE lower(trim(s)) WHEN 'dictation' THEN 'A dictation.' WHEN 'archive' THEN 'An old document.' WHEN 'university' THEN 'An exam.' WHEN 'school' THEN 'Homework.' ELSE 'A page.' END AS h FROM r)
+SELECT CASE WHEN k IN ('image', 'graph') THEN p ELSE h || chr(10) || p || chr(10) || 'Mark what cannot be read.' || chr(10) || 'Add nothing.' END AS prompt, count(*) AS n FROM p GROUP BY 1""",
     "j8_reindexed": f"WITH {_LAST} SELECT p.record_id, coalesce(l.row_id, -1) AS row_id, CAST(coalesce(length(s.regions), 2) AS INT) AS chars FROM (SELECT record_id, {_NAME} AS image FROM page_metadata) p "
     "LEFT JOIN l ON l.image = p.image AND l.run_id = 'run_01' LEFT JOIN sample_submission s ON s.row_id = l.row_id",
     "j9_open": f"SELECT record_id FROM page_metadata WHERE {_NAME} NOT IN (SELECT image FROM sample_submission WHERE run_id = 'run_01' AND image IS NOT NULL)",

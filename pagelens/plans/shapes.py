@@ -124,18 +124,19 @@ c AS (SELECT record_id, idx, w, h, {_in('x1', 'w')} AS x1, {_in('y1', 'h')} AS y
   {_in('CASE WHEN bad THEN y1 + greatest(0e0, y2) ELSE y2 END', 'h')} AS y2 FROM g)"""
 
 
-def _nms(threshold, per_class=False):
+def _nms(threshold, per_class=False, boxes="pred", order="idx", out="unnest(kept).idx AS idx FROM ends"):
     """Suppression as a recursive walk over the boxes by falling score."""
     return f"""WITH RECURSIVE {fixture.GT}, {fixture.PRED},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, idx) AS n FROM pred),
-walk AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(idx INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, t VARCHAR)[]) AS kept FROM (SELECT DISTINCT page FROM pred)
+both_models AS (SELECT page, 'a' AS type, CAST(idx AS INT) AS idx, x1, y1, x2, y2, 0.5e0 AS score FROM gt UNION ALL SELECT page, 'b', idx, x1, y1, x2, y2, score FROM pred),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, {order}) AS n FROM {boxes}),
+walk AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(idx INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, t VARCHAR)[]) AS kept FROM (SELECT DISTINCT page FROM {boxes})
   UNION ALL SELECT w.page, r.n, CASE WHEN len(list_filter(w.kept, lambda k: {'k.t = r.type AND ' if per_class else ''}
     greatest(0e0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0e0, least(k.y2, r.y2) - greatest(k.y1, r.y1))
     / greatest(1e0, (k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(0e0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0e0, least(k.y2, r.y2) - greatest(k.y1, r.y1))) > {threshold}e0)) > 0
     THEN w.kept ELSE list_append(w.kept, struct_pack(idx := r.idx, x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2, t := r.type)) END
   FROM walk w JOIN ranked r ON r.page = w.page AND r.n = w.n + 1),
 ends AS (SELECT page, arg_max(kept, n) AS kept FROM walk GROUP BY page)
-SELECT page, unnest(kept).idx AS idx FROM ends"""
+SELECT page, {out}"""
 
 
 _I = "greatest(0e0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0e0, least(g.y2, p.y2) - greatest(g.y1, p.y1))"
@@ -158,6 +159,7 @@ SELECT record_id, idx, printf('%d %.6f %.6f %.6f %.6f', t, cx, cy, bw, bh) AS li
     "g11_pad_height": BOXES + f", p AS (SELECT *, greatest(1e0, y2 - y1) AS t FROM b) SELECT {_six(x1='x1 - t * 0.05e0', y1='y1 - t * 0.1e0', x2='x2 + t * 0.05e0', y2='y2 + t * 0.1e0')} FROM p",
     "g11_pad_side": BOXES + f", p AS (SELECT *, greatest(12e0, (x2 - x1) * 0.12e0) AS px, greatest(12e0, (y2 - y1) * 0.12e0) AS py FROM b) SELECT {_six(x1='greatest(0e0, x1 - px)', y1='greatest(0e0, y1 - py)', x2='least(w, x2 + px)', y2='least(h, y2 + py)')} FROM p",
     "g15_nms": _nms("0.6"), "g15_nms_per_class": _nms("0.6", True), "g16_dedup": _nms("0.9"),
+    "g17_merge": _nms("0.6", boxes="both_models", order="type, idx", out="len(kept) AS kept, len(list_filter(kept, lambda k: k.t = 'a')) AS of_a FROM ends"),
     "g19_shrink": "SELECT record_id, round(s, 6) AS scale, CAST(floor(image_width * s) AS INT) AS w, CAST(floor(image_height * s) AS INT) AS h FROM "
     "(SELECT *, CASE WHEN greatest(image_width, image_height) > 2000 THEN 2000e0 / greatest(image_width, image_height) ELSE 1e0 END AS s FROM page_metadata)",
     "g20_budget": "SELECT record_id, CASE WHEN image_width * image_height <= 1000000 THEN image_width ELSE greatest(1, CAST(round_even(image_width * s, 0) AS INT)) END AS w, "

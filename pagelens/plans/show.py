@@ -46,12 +46,25 @@ def x7_crops(spark, d):
     return X.crop_examples(r, X.crop_quality(F.lit(1000), F.lit(400)))
 
 
+def x7_warnings(spark, d):
+    """Buckets for which there was nothing to show."""
+    wanted = X.buckets(X.crop_quality(F.lit(1000), F.lit(400)))
+    return X.missing_buckets(x7_crops(spark, d), wanted)
+
+
+def x10_metadata(spark, d):
+    """What the report of the choice says, as one text a part."""
+    r = _records(spark, d).withColumn("shown", X.status(F.col("scored")))
+    m = X.metadata(x5_pages(spark, d), _stats(spark, d), x7_crops(spark, d), r, x7_warnings(spark, d))
+    return m.select(*(F.to_json(c).alias(c) for c in m.columns))
+
+
 def o2_worst(spark, d):
     r = _records(spark, d).where("cer IS NOT NULL").select("page", "gt_idx", F.round("cer", 6).alias("cer"))
     return r.orderBy(F.desc("cer"), "page", "gt_idx").limit(50)
 
 
-QUERIES = {f.__name__: f for f in (x1_scores, x3_status, x4_quality, x5_pages, x6_page, x7_crops, o2_worst)}
+QUERIES = {f.__name__: f for f in (x1_scores, x3_status, x4_quality, x5_pages, x6_page, x7_crops, x7_warnings, x10_metadata, o2_worst)}
 
 _STATS = fixture.WITH_RECORDS + """,
 ps AS (SELECT page, source, count(*) FILTER (status = 'matched') AS m, count(*) FILTER (status = 'missed') AS fn, count(*) FILTER (status = 'false positive') AS fp,
@@ -75,4 +88,8 @@ f AS (SELECT CAST(4 + row_number() OVER (ORDER BY score DESC, page) AS INT) AS p
 SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f) ORDER BY place LIMIT 6""",
     "x6_page": _STATS + " SELECT page, score FROM pz WHERE kinds >= 3 AND predictions >= 3 ORDER BY score DESC, page LIMIT 1",
     "o2_worst": fixture.WITH_RECORDS + "SELECT page, gt_idx, round(cer, 6) AS cer FROM scores WHERE cer IS NOT NULL ORDER BY round(cer, 6) DESC, page, gt_idx LIMIT 50",
+    "x4_quality": fixture.WITH_RECORDS + """, b AS (SELECT r.*, coalesce((g.x2 - g.x1) * (g.y2 - g.y1), (p.x2 - p.x1) * (p.y2 - p.y1)) AS area FROM records r
+  LEFT JOIN gt g ON g.page = r.page AND g.idx = r.gt_idx LEFT JOIN pred p ON p.page = r.page AND p.idx = r.pred_idx),
+q AS (SELECT *, greatest(1e0, area) / 400000e0 AS ratio, length(coalesce(gt_text, pred_text)) AS n FROM b)
+SELECT page, CAST(gt_idx AS INT) AS gt_idx, pred_idx, round(coalesce(iou, 0e0) * 3 + CASE WHEN ratio BETWEEN 0.0015 AND 0.22 THEN 1.2e0 ELSE -1e0 END + CASE WHEN n BETWEEN 2 AND 140 THEN 1e0 ELSE 0e0 END + 0.5e0, 6) AS quality FROM q""",
 }

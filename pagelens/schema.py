@@ -26,3 +26,9 @@ def type_index(c: Column, base: int = 0) -> Column:
     """Class id of a type name: from 0 for label files, from 1 for annotation sets; null if unknown."""
     at = F.array_position(F.array(*map(F.lit, REGION_TYPES)), c)
     return F.when(at > 0, at - 1 + base).cast("int")
+
+
+def type_name(index: Column, base: int = 0, names: tuple[str, ...] = REGION_TYPES) -> Column:
+    """Type of a class id; of an unknown or missing one ``handwritten``."""
+    i = index.cast("int") - base
+    return F.coalesce(F.when(i >= 0, F.get(F.array(*map(F.lit, names)), i)), F.lit("handwritten"))

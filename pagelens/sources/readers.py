@@ -69,15 +69,63 @@ def run_id(path: Column) -> Column:
     return F.when(stem == "submission", folder).otherwise(F.regexp_replace(stem, "_submission$", ""))
 
 
-def run_label(run: Column) -> Column:
-    """Label of a run: without leading number, separators as spaces."""
-    return F.translate(F.regexp_replace(run, r"^\d+[_-]", ""), "_-", "  ")
+def run_label(run: Column, labels: dict[str, str] | None = None) -> Column:
+    """Label of a run: one that is given, or the id without leading number, separators as spaces."""
+    made = text.strip(F.translate(F.regexp_replace(run, r"^\d+[_-]", ""), "_-", "  "))
+    if not labels:
+        return made
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))[run], made)
 
 
-def images(spark: SparkSession, root: str) -> DataFrame:
-    """Image files below a folder in order of path."""
+def images(spark: SparkSession, root: str, metadata: str = "metadata.jsonl") -> DataFrame:
+    """``path, name`` of the images of a folder: those its metadata lists, else the image files below it, in order of path.
+
+    Files are looked for below ``images`` if there is such a folder.
+    """
     files = listing(spark, root)
-    return files.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*IMAGES)).orderBy("path")
+    named = files.where(F.col("name") == metadata).select(F.col("path").alias("at"))
+    at = named.where(F.regexp_replace("at", "/[^/]*$", "").endswith(root.rstrip("/"))).first()  # one file or none
+    if at:
+        listed = objects(spark, at["at"]).select(F.col("file_name").alias("path"))
+        if not listed.isEmpty():
+            return listed.withColumn("name", text.basename(F.col("path")))
+    found = files.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*IMAGES))
+    inner = found.where(F.col("path").contains(root.rstrip("/") + "/images/"))
+    return (inner if not inner.isEmpty() else found).orderBy("path")
+
+
+def prompts(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[str, str]:
+    """Prompts by type: the defaults, overridden by the ``crop_prompts`` of a JSON file if there is one."""
+    try:
+        found = spark.read.text(path, wholetext=True).select(F.from_json("value", "crop_prompts map<string,string>").alias("c")).first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return dict(defaults)
+    return defaults | ((found["c"]["crop_prompts"] if found and found["c"] else None) or {})
+
+
+def page_regions(pages: DataFrame) -> DataFrame:
+    """A row a region: ``image, width, height, source, region_idx, x1, y1, x2, y2, type, text, language, legibility``.
+
+    A page without regions has a row with null values.  Sizes default to 1; boxes are
+    cut to the page, widths taken for corners where they are inverted, missing ones
+    the unit box; texts are cleaned.
+    """
+    from ..functions import geometry as G
+
+    image = text.basename(text.first_of(F.col("file_name")))
+    size = lambda c: F.coalesce(F.when(F.col(c) != 0, F.col(c)), F.lit(1)).cast("double")
+    rows = pages.select(image.alias("image"), size("image_width").alias("width"), size("image_height").alias("height"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode_outer("regions").alias("region_idx", "r"))
+    box = F.when(F.size("r.bbox") == 4, F.col("r.bbox")).otherwise(F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))))
+    b = G.clamp_guess(G.from_array(box), F.col("width"), F.col("height"))
+    rows = rows.withColumn("b", F.when(F.col("r").isNotNull(), b))
+    keep = lambda c, d: F.when(F.col("r").isNotNull(), F.coalesce(f"r.{c}", F.lit(d)))
+    return rows.select(
+        "image", "width", "height", "source", "region_idx", *(F.col(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")),
+        text.strip(keep("type", "")).alias("type"), F.when(F.col("r").isNotNull(), text.clean(F.col("r.text"))).alias("text"),
+        keep("language", "uk").alias("language"), keep("legibility", "legible").alias("legibility"),
+    )
 
 
 def resolve(rows: DataFrame, files: DataFrame, key: str, candidates: list[Column]) -> DataFrame:

@@ -43,6 +43,15 @@ def table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def tables(frames: dict[str, DataFrame], folder: str) -> None:
+    """Each table as CSV and as Markdown, by its name."""
+    os.makedirs(folder, exist_ok=True)
+    for name, df in frames.items():
+        table(df.coalesce(1), f"{folder}/{name}")
+        with open(f"{folder}/{name}.md", "w", encoding="utf-8") as f:
+            f.write(markdown(df))
+
+
 def markdown(df: DataFrame, rows: int = 10_000) -> str:
     """A small table as Markdown text; more than ``rows`` rows fail."""
     cols = df.columns
@@ -56,8 +65,26 @@ def markdown(df: DataFrame, rows: int = 10_000) -> str:
 
 
 def label_files(df: DataFrame, path: str) -> None:
-    """``image, line`` as text, a folder an image."""
-    df.select("image", F.col("line").alias("value")).where("value IS NOT NULL").write.mode("overwrite").partitionBy("image").text(path)
+    """``image, line`` as text: a file ``<image stem>.txt`` an image, in the given folder.
+
+    Lines are brought together per image (as many as a page has regions) and written by
+    the tasks; a repeated task writes the same file again.
+    """
+    from collections.abc import Iterator
+
+    stem = F.regexp_replace(text.basename(F.col("image")), r"\.[^.]*$", "")
+    pages = df.where("line IS NOT NULL").groupBy(stem.alias("stem")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+
+    def save(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        target, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        target.create_dir(folder, recursive=True)
+        for r in rows:
+            with target.open_output_stream(f"{folder}/{r['stem']}.txt") as out:
+                out.write((r["body"] + "\n").encode())
+
+    pages.foreachPartition(save)
 
 
 def classes_yaml(path: str, train: str, val: str) -> None:
@@ -72,6 +99,7 @@ def relations(lines: DataFrame, path: str) -> None:
     edges.select("page", as_text.alias("edges")).write.mode("overwrite").json(path)
 
 
+# Field names of the annotation format and of its extension are fixed values.
 def coco_frames(pages: DataFrame, ties: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Images, annotations and categories with running ids.
 
@@ -85,7 +113,8 @@ def coco_frames(pages: DataFrame, ties: tuple[str, ...] = ()) -> dict[str, DataF
     images = numbered(pages.select("image", "w", "h", "regions", *ties), ["image", *ties])
     one = images.select(F.col("id").alias("image_id"), "w", "h", F.posexplode("regions").alias("region_idx", "r"))
     box = G.clamp_coco(G.to_coco(F.col("r")), F.col("w"), F.col("h"))
-    rows = one.select("image_id", "region_idx", type_index(F.col("r.type"), 1).alias("category_id"), box.alias("b")).where("category_id IS NOT NULL AND b.w > 1 AND b.h > 1")
+    corners = F.size(F.array_compact(F.array(*(F.col(f"r.{c}") for c in ("x1", "y1", "x2", "y2")))))  # a missing box is none
+    rows = one.select("image_id", "region_idx", type_index(F.col("r.type"), 1).alias("category_id"), box.alias("b"), corners.alias("corners")).where("category_id IS NOT NULL AND b.w > 1 AND b.h > 1 AND corners = 4")
     annotations = numbered(rows, ["image_id", "region_idx"]).select(
         "id", "image_id", "category_id", F.array(*(F.round(F.col(f"b.{c}"), 2) for c in "xywh")).alias("bbox"), F.round(F.col("b.w") * F.col("b.h"), 2).alias("area"),
         F.lit(0).alias("iscrowd"), F.col("region_idx").alias("region_idx_in_image"),

@@ -23,6 +23,7 @@ def _page(spark, gt, pred):
     return spark.createDataFrame([(1, rows(gt), rows(pred) if pred is not None else None)], f"page bigint, gt array<{BOX}>, pred array<{BOX}>")
 
 
+# The published page of 0.9348.
 GT = [((50, 100, 850, 130), "handwritten", "Доброго ранку"), ((50, 150, 870, 180), "handwritten", "Сьогодні гарна погода"), ((50, 250, 650, 270), "printed", "Завдання 1"),
       ((700, 50, 950, 250), "image", ""), ((900, 950, 980, 990), "annotation", "5")]
 PRED = [((52, 101, 852, 131), "handwritten", "Доброго ранку"), ((50, 148, 860, 184), "handwritten", "Сьогодні гарна пагода"), ((48, 249, 649, 272), "handwritten", "Завдання 1"),
@@ -423,3 +424,79 @@ def test_examples(spark):
             used.add((r["page"], r["gt_idx"], r["pred_idx"])), want.append((name, r["page"], r["gt_idx"], r["pred_idx"]))
     assert [(r["bucket"], r["page"], r["gt_idx"], r["pred_idx"]) for r in got][: len(want)] == want
     assert len(selection.crop_examples(rows, quality_, 4, selection.few_buckets(quality_)).collect()) == 4
+
+
+# ------------------------------------------------------------------ checks of output
+def test_violations(spark):
+    good = '[{"bbox": [1, 2, 3, 4], "type": "printed", "text": "а"}]'
+    bad = '[{"bbox": [1, 2, 3], "type": "printed", "text": "а"}, {"bbox": [1, 2, 3, 4], "type": "zzz", "text": "а"}, 7, {"bbox": [1, 2, 3, 4]}, {"bbox": [1, 2, 3, 4], "type": null, "text": ""}]'
+    df = spark.createDataFrame([(1, good), (2, bad), (3, None), (4, "{}"), (5, "[]"), (6, "[")], "row_id int, regions string")
+    got = {tuple(r) for r in quality.violations(df, ["row_id"]).collect()}
+    assert got == {(2, 0, "bbox_length"), (2, 1, "type"), (2, 2, "no_object"), (2, 3, "region_keys"), (2, 4, "type"), (3, -1, "no_list"), (4, -1, "no_list"), (6, -1, "no_list")}
+    whole = {r["violation"] for r in quality.violations(df.where("row_id = 1"), ["row_id"], columns=("image", "regions"), rows=2).collect()}
+    assert whole == {"columns", "row_count"} and quality.violations(df.where("row_id = 1"), ["row_id"], columns=("row_id", "regions"), rows=1).count() == 0
+    assert quality.violations(df.limit(0), ["row_id"]).count() == 0
+
+
+def test_lenient(spark):
+    cases = {
+        "[{'text': 'a, None, b', 'type': None}]": [("a, None, b", None)], "[{'text': 'it\\'s \"x\" (True)', 'bbox': (1, 2, 3, 4,),}, ]": [('it\'s "x" (True)', [1.0, 2.0, 3.0, 4.0])],
+        '[{"text": "a, None, b"}]': [("a, None, b", None)], "nonsense": None, "{'a': 1}": None, "None": None, "": [], None: [], "[{'text': '\\\\'}]": [("\\", None)], "[]": [],
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "i int, v string")
+    got = {r["i"]: r["r"] for r in df.select("i", quality.lenient(F.col("v")).alias("r")).collect()}
+    assert [None if got[i] is None else [(x["text"], x["bbox"]) for x in got[i]] for i in range(len(cases))] == list(cases.values())
+
+
+def test_load_crops(spark):
+    lines = ['{"label": "printed", "image": "a.jpg", "text": " а "}', "{", "[1]", "", '{"type": "printed", "file_name": "b.jpg", "text": "б"}', '{"label": null, "type": "printed", "image": "a", "text": "x"}',
+             '{"label": "printed", "image": "", "path": "", "text": "x"}', '{"label": "printed", "image": "a.jpg", "text": "\\u00a0"}', '{"label": "graph", "image": "a.jpg", "text": "x"}']
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, value string")
+    loaded = quality.load_crops(df, ("printed", "table"), spark.createDataFrame([("d/a.jpg",)], "path string"), "d/")
+    got = {r["line_no"]: (r["reason"], r["missing_file"]) for r in loaded.collect()}
+    assert got == {0: (None, False), 1: ("bad_json", False), 2: ("bad_json", False), 4: (None, True), 5: ("non_target_label", False), 6: ("missing_image", False), 7: ("empty_text", False), 8: ("non_target_label", False)}
+    report = {(r["measure"], r["label"]): r["n"] for r in quality.load_report(loaded, ("printed", "table")).collect()}
+    assert report == {("total", ""): 8, ("bad_json", ""): 2, ("kept", ""): 2, ("non_target_label", ""): 2, ("missing_image", ""): 1, ("empty_text", ""): 1, ("missing_file", ""): 1, ("kept_label", "printed"): 2,
+                      ("kept_label", "table"): 0, ("raw_label", "printed"): 4, ("raw_label", ""): 1, ("raw_label", "graph"): 1}
+    assert [tuple(r) for r in quality.first_missing(loaded).collect()] == [(4, "b.jpg")]
+    assert {r["n"] for r in quality.load_report(loaded.limit(0), ("printed",)).collect()} == {0}
+
+
+def test_patched(spark):
+    from pagelens.operators import frames
+
+    def region(b, t, x):
+        return {"bbox": b, "type": t, "text": x}
+
+    a = [region([0, 0, 9, 9], "printed", "old"), region([9, 9, 0, 0], "printed", "old"), region([0, 0, 9, 9], "table", "old"), region([0, 0, 9], "printed", "old"), region([0, 0, 9, 9], "printed", "old"), region([50, 50, 90, 90], "printed", "old")]
+    sent = spark.createDataFrame([("a", json.dumps(a), 1), ("b", json.dumps(a[:1]), 2), ("c", "{", 3), (None, None, 4)], "image string, regions string, n int")
+    answers = spark.createDataFrame([("a", i, "new" if i != 4 else None) for i in range(6)] + [("b", 0, "new"), ("c", 0, "new")], "image string, idx int, text string")
+    pages = spark.createDataFrame([("a", 20, 20), ("c", 20, 20)], "image string, w int, h int")
+    got = {r["n"]: r["regions"] for r in frames.patched(sent, answers, pages).collect()}
+    assert [r["text"] for r in json.loads(got[1])] == ["new", "old", "old", "old", "old", "old"]
+    assert got[2] == json.dumps(a[:1]) and got[3] == "{" and got[4] is None
+
+
+def test_run_errors(spark):
+    from pagelens.operators import runs
+
+    sent = spark.createDataFrame([("r", 1, "a", "[7]", None), ("r", 2, "x", "{", None), ("s", 3, "a", "[]", None), ("s", 4, "b", None, None)], "run_id string, row_id int, image string, regions string, submitted_at timestamp")
+    solution = spark.createDataFrame([("a",), ("b",)], "image string")
+    assert {tuple(r) for r in runs.errors(sent, solution).collect()} == {("r", "not_an_object", 1), ("r", "bad_json", 1), ("r", "missing_image", 1)}
+
+
+def test_answers_and_prompts(spark):
+    from pagelens import schema
+    from pagelens.operators import frames
+
+    ddl = "regions array<struct<bbox:array<double>,type:string,text:string>>"
+    df = spark.createDataFrame([([([0.0, 50.0, 100.0, 100.0], "Graph", "x"), ([10.0, 0.0, 50.0, 20.0], "table", None), ([0.0, 0.0, 5.0, 5.0], "table", "small"), (None, None, "no box")],)], ddl)
+    one = df.select(frames.page_answer(F.col("regions"), F.lit(100), F.lit(100)).alias("a")).first()["a"]
+    assert one == '[{"bbox":[100,0,500,200],"type":"table","text":""},{"bbox":[0,500,1000,1000],"type":"graph","text":""}]'
+    hints, prompts = {"school": "H.", "default": "D."}, {"table": "T.", "graph": "G.", "default": "X."}
+    ask = lambda t, s: spark.range(1).select(frames.prompt(F.lit(t), F.lit(s), hints, prompts, ("R.",)).alias("x")).first()["x"]
+    assert (ask("TABLE", " School "), ask("odd", None), ask("graph", "school")) == ("H.\nT.\nR.", "D.\nX.\nR.", "G.")
+    names = spark.createDataFrame([(0,), (6,), (7,), (-1,), (None,)], "i int").select(schema.type_name(F.col("i")).alias("n")).collect()
+    assert [r["n"] for r in names] == ["handwritten", "graph", "handwritten", "handwritten", "handwritten"]
+    again = {m: spark.range(1).select(frames.read_again(F.lit("дім"), m).alias("x")).first()["x"] for m in ("none", "all", "smart")}
+    assert again == {"none": False, "all": True, "smart": True}

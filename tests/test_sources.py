@@ -51,6 +51,15 @@ def test_discovery(spark, tmp_path):
     assert spark.range(1).select(readers.run_label(F.lit("01_base-line")).alias("x")).first()["x"] == "base line"
     (tmp_path / "p.JPG").write_text("x")
     assert [r["name"] for r in readers.images(spark, str(tmp_path)).collect()] == ["p.JPG"]
+    assert spark.range(1).select(readers.run_label(F.lit("07_x"), {"07_x": "Best"}).alias("x")).first()["x"] == "Best"
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "q.png").write_text("x")
+    assert [r["name"] for r in readers.images(spark, str(tmp_path)).collect()] == ["q.png"]
+    (tmp_path / "metadata.jsonl").write_text('{"file_name": "m/z.jpg"}\n')
+    assert [(r["path"], r["name"]) for r in readers.images(spark, str(tmp_path)).collect()] == [("m/z.jpg", "z.jpg")]
+    (tmp_path / "prompts.json").write_text('{"crop_prompts": {"table": "T"}}')
+    assert readers.prompts(spark, str(tmp_path / "prompts.json"), {"table": "t", "default": "d"}) == {"table": "T", "default": "d"}
+    assert readers.prompts(spark, str(tmp_path / "none.json"), {"default": "d"}) == {"default": "d"}
     want = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k int, x string, y string")
     have = spark.createDataFrame([("b",)], "path string")
     assert {(r["k"], r["path"]) for r in readers.resolve(want, have, "k", [F.col("x"), F.col("y")]).collect()} == {(1, "b"), (2, "c")}
@@ -71,8 +80,11 @@ def test_writers(spark, tmp_path):
         writers.report(spark.range(5), str(tmp_path / "s.json"), rows=3)
     writers.json_lines(df, str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first()["value"] == '{"i":1,"t":"a|b\\nc","n":null}'
-    writers.label_files(spark.createDataFrame([("p", "0 0.5"), ("p", None)], "image string, line string"), str(tmp_path / "l"))
-    assert spark.read.text(str(tmp_path / "l")).count() == 1
+    lines = [("x/p.jpg", "1 0.5"), ("x/p.jpg", "0 0.5"), ("x/p.jpg", None), ("q.png", "2 0.1")]
+    writers.label_files(spark.createDataFrame(lines, "image string, line string"), str(tmp_path / "l"))
+    assert {p.name: p.read_text() for p in (tmp_path / "l").iterdir()} == {"p.txt": "0 0.5\n1 0.5\n", "q.txt": "2 0.1\n"}
+    writers.tables({"t": df}, str(tmp_path / "tables"))
+    assert (tmp_path / "tables" / "t.md").read_text().startswith("| i | t | n |") and spark.read.csv(str(tmp_path / "tables" / "t"), header=True, multiLine=True).count() == 1
     writers.classes_yaml(str(tmp_path / "c.yaml"), "train.txt", "val.txt")
     assert "nc: 7" in (tmp_path / "c.yaml").read_text()
     regions = spark.createDataFrame([(1, 0, "printed", 0.0, 0.0, 9.0, 9.0), (1, 1, "printed", 20.0, 0.0, 29.0, 9.0)], "page int, idx int, type string, x1 double, y1 double, x2 double, y2 double")
