@@ -10,6 +10,7 @@ from ..functions import text
 from ..operators import frames
 from ..operators import quality as Q
 from ..operators import runs as R
+from ..operators import tables as T
 from ..session import table
 from ..streaming import ingest
 from . import fixture
@@ -36,6 +37,30 @@ def v3_table(spark, d):
     return R.formatted(_evaluated(spark, d), table(spark, d, "runs"), ORDER)
 
 
+def _tables(spark, d):
+    pages, sent = table(spark, d, "page_metadata"), table(spark, d, "sample_submission")
+    solution = R.solutions(pages)
+    groups = {g: g for g in ORDER}
+    return T.evaluation(solution, R.predictions(sent), table(spark, d, "runs"), R.errors(sent, solution), groups, "final")
+
+
+def v3_types(spark, d):
+    """Detection of every run by type."""
+    solution = R.solutions(table(spark, d, "page_metadata"))
+    rows = T.records(solution, R.predictions(table(spark, d, "sample_submission")))
+    return _rounded(T.per_type(rows, solution).drop("cer"))
+
+
+def v3_modules(spark, d):
+    """The module table: error rates of the text types and of formulas and tables of one run."""
+    return _tables(spark, d)["paper_modules"]
+
+
+def v4_text(spark, d):
+    """Error rates of the text branch of every run as they are printed."""
+    return _tables(spark, d)["paper_text"]
+
+
 def a19_precision(spark, d):
     return _rounded(R.average_precision(fixture.pages(spark, d)))
 
@@ -98,7 +123,7 @@ def st_months(spark, d):
     return _streamed(spark, out, "complete").select(F.col("window.start").alias("start"), "split", "rows")
 
 
-QUERIES = {f.__name__: f for f in (v1_runs, v1_detection, v3_table, a19_precision, t17_prompts, j8_reindexed, j9_open, u4_types, o7_counts, st_months)}
+QUERIES = {f.__name__: f for f in (v1_runs, v1_detection, v3_table, v3_types, v3_modules, v4_text, a19_precision, t17_prompts, j8_reindexed, j9_open, u4_types, o7_counts, st_months)}
 
 _NAME = r"regexp_extract(replace(file_name, '\', '/'), '([^/]+)/*$', 1)"
 _LAST = "l AS (SELECT run_id, image, max_by(row_id, (submitted_at, row_id)) AS row_id FROM sample_submission WHERE image IS NOT NULL GROUP BY 1, 2)"
@@ -125,8 +150,17 @@ z AS (SELECT *, tp / CAST(greatest(tp + fp, 1) AS DOUBLE) AS pr, tp / CAST(great
 SELECT run_id, round(2e0 * pr * re / greatest(pr + re, 1e-9), 6) AS det_f1, round(pr, 6) AS det_precision, round(re, 6) AS det_recall, round(hits / CAST(greatest(tp, 1) AS DOUBLE), 6) AS class_acc,
   tp AS matched_regions, fp AS false_positives, fn AS false_negatives FROM z"""
 
+_TYPES = _DETECTION[: _DETECTION.index("e AS (SELECT run_id, image, max_by(len(gs), n)")] + """
+e AS (SELECT run_id, image, arg_max(gs, n) AS gs, arg_max(ps, n) AS ps FROM walk GROUP BY 1, 2), m AS (SELECT run_id, image, unnest(gs) AS g, unnest(ps) AS p FROM e),
+h AS (SELECT m.run_id, g.type, count(*) AS matched, count(*) FILTER (g.type = p.type) AS hits FROM m JOIN g ON g.image = m.image AND g.idx = m.g JOIN p ON p.run_id = m.run_id AND p.image = m.image AND p.idx = m.p GROUP BY 1, 2),
+r AS (SELECT DISTINCT l.run_id FROM l JOIN f USING (image)), k AS (SELECT unnest(['handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph']) AS type),
+t AS (SELECT type, count(*) AS n FROM g GROUP BY 1), c AS (SELECT run_id, type, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT r.run_id, k.type, coalesce(t.n, 0) AS gt_count, coalesce(c.n, 0) AS pred_count, coalesce(matched, 0) AS matched, round(2e0 * coalesce(matched, 0) / greatest(coalesce(t.n, 0) + coalesce(c.n, 0), 1), 6) AS det_f1,
+  CASE WHEN matched > 0 THEN round(hits / CAST(matched AS DOUBLE), 6) END AS class_acc
+FROM r JOIN k ON true LEFT JOIN t USING (type) LEFT JOIN c ON c.run_id = r.run_id AND c.type = k.type LEFT JOIN h ON h.run_id = r.run_id AND h.type = k.type"""
 SQL = {
     "v1_detection": _DETECTION,
+    "v3_types": _TYPES,
     "t17_prompts": f"""WITH r AS (SELECT c.source AS s, {_KIND.format('label')} AS k FROM crop_records LEFT JOIN collections c USING (collection_id)),
 p AS (SELECT CASE k WHEN 'formula' THEN 'Write down the formula.' WHEN 'table' THEN 'Write down the table, cells parted by bars.' WHEN 'image' THEN 'Say nothing.' WHEN 'graph' THEN 'Say nothing.' ELSE 'Write down the text.' END AS p, k,
   CASE lower(trim(s)) WHEN 'dictation' THEN 'A dictation.' WHEN 'archive' THEN 'An old document.' WHEN 'university' THEN 'An exam.' WHEN 'school' THEN 'Homework.' ELSE 'A page.' END AS h FROM r)

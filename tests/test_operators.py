@@ -500,3 +500,32 @@ def test_answers_and_prompts(spark):
     assert [r["n"] for r in names] == ["handwritten", "graph", "handwritten", "handwritten", "handwritten"]
     again = {m: spark.range(1).select(frames.read_again(F.lit("дім"), m).alias("x")).first()["x"] for m in ("none", "all", "smart")}
     assert again == {"none": False, "all": True, "smart": True}
+
+
+def test_tables(spark, tmp_path):
+    """Every table of an evaluation, of a page sent well, one sent badly and one not sent."""
+    from pagelens.operators import runs, tables
+    from pagelens.sources import writers
+
+    region = lambda i, t, x: (i, 0.0, 40.0 * i, 100.0, 40.0 * i + 30, t, x, "uk", "legible")
+    gt = [region(0, "printed", "один два"), region(1, "formula", "n = 5"), region(2, "handwritten", "три")]
+    solution = spark.createDataFrame([(x, "school", gt) for x in "abc"], f"image string, source string, gt array<{BOX}>")
+    bad = [region(0, "printed", "один та"), region(1, "formula", "{n}"), region(2, "printed", "три")]
+    sent = spark.createDataFrame([("r1", "a", gt), ("r1", "b", gt), ("r1", "c", gt), ("r2", "a", gt), ("r2", "b", bad)], f"run_id string, image string, pred array<{BOX}>")
+    known = spark.createDataFrame([("r1", "full", "First"), ("r2", "ablation", "Second")], "run_id string, run_group string, label string")
+    errors = spark.createDataFrame([("r2", "missing_image", 1)], "run_id string, code string, n bigint")
+    t = tables.evaluation(solution, sent, known, errors, {"full": "full", "structured_ablation": "ablation"}, "r2")
+    kinds = {(r["run_id"], r["type"]): r for r in t["per_type_metrics"].collect()}
+    assert (kinds[("r2", "printed")]["gt_count"], kinds[("r2", "printed")]["pred_count"], kinds[("r2", "printed")]["matched"]) == (3, 3, 2) and kinds[("r1", "table")]["gt_count"] == 0
+    assert {(r["run_id"], r["gt_count"]) for r in t["per_source_metrics"].collect()} == {("r1", 9), ("r2", 9)}
+    assert [tuple(r) for r in t["paper_full"].collect()] == [("First", "1.0000", "1.0000", "1.0000", "0.0000", "0.0000")]
+    assert [tuple(r)[:2] for r in t["paper_structured_ablation"].collect()] == [("Second", 2)]
+    assert [(r["image"], r["invalid_reason"]) for r in t["invalid_examples"].collect()] == [("b", "json_or_list_wrapper")]
+    assert t["text_worst"].first()["image"] == "b" and [r["label"] for r in t["paper_text"].collect()] == ["First", "Second"]
+    modules = {(r["group"], r["metric"]): (r["n"], r["value"]) for r in t["paper_modules"].collect()}
+    assert modules[("annotation", "CER")] == (0, "") and modules[("overall", "WER")] == (4, "0.1250") and modules[("formula", "CER")][0] == 2
+    writers.tables({k: t[k] for k in ("paper_full", "evaluation_errors")}, str(tmp_path))
+    assert (tmp_path / "paper_full.md").read_text().count("\n") == 3
+    empty = tables.evaluation(solution, sent.limit(0), known, errors.limit(0), {"full": "full"}, "r2")
+    assert empty["paper_full"].count() == 0 and empty["paper_text"].count() == 0
+    assert runs.evaluate(solution.limit(0), sent).count() == 0

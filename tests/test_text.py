@@ -39,7 +39,7 @@ GOLDEN = [
     (r"\vec{v} \to \overleftarrow{u}", "formula", "→v → ←u"),
     (r"\text{ліс}\quad 3", "formula", "ліс 3"),
     (r"\left( 5 \right)", "formula", "(5)"),
-    (r"\nequal", "formula", "≠quаl"),
+    (r"\nequal", "formula", "≠uаl"),
     ("дім (кут)", "handwritten", "дім (кут)"),
     ("$z = 5n$  ", "handwritten", "$z = 5n$"),
     (None, "table", ""),
