@@ -24,29 +24,33 @@ csv.field_size_limit(sys.maxsize)  # whole fields, however long
 _IMAGE = re.compile(r"(?is).+\.(?:jpg|jpeg|png)\Z")
 
 
-def assemble(lines: Iterable[str]) -> Iterator[str]:
-    """Records of physical lines: a line break inside an open quotation belongs to it.
+def ends_inside(line: str, inside: bool = False) -> bool:
+    """Whether a quotation is open at the end of a line that begins inside of one, or not.
 
-    A quotation opens only at the beginning of a field, as the strict reader has it.
+    A quotation opens only at the beginning of a field, as the strict reader has it; the
+    search goes from mark to mark.
     """
+    at = 0
+    while True:
+        at = line.find('"', at)
+        if at < 0:
+            return inside
+        if inside:
+            if line[at + 1 : at + 2] == '"':
+                at += 1
+            else:
+                inside = False
+        elif at == 0 or line[at - 1] == ",":
+            inside = True
+        at += 1
+
+
+def assemble(lines: Iterable[str], inside: bool = False) -> Iterator[str]:
+    """Records of physical lines: a line break inside an open quotation belongs to it."""
     held: list[str] = []
-    inside = False
     for line in lines:
         held.append(line)
-        start = not inside  # at the beginning of a field
-        k, n = 0, len(line)
-        while k < n:
-            c = line[k]
-            if inside:
-                if c == '"':
-                    if line[k + 1 : k + 2] == '"':
-                        k += 1
-                    else:
-                        inside = False
-            elif c == '"' and start:
-                inside = True
-            start = not inside and c == ","
-            k += 1
+        inside = ends_inside(line, inside)
         if not inside:
             yield "\n".join(held)
             held = []

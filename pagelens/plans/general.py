@@ -101,6 +101,16 @@ _TEXTS = lambda *names: ", ".join(f"json_extract_string(o, '$.{n}') AS {n}" for
 _BOXED = "CAST(json_extract(o, '$.bbox') AS DOUBLE[]) AS bbox, " + _TEXTS("type", "language", "legibility", "text") + ", CAST(json_extract(o, '$.score') AS DOUBLE) AS score FROM f WHERE kind = "
 _PAGE = "SELECT '{0}' AS table_name, {1} AS record_id, '' AS path, CAST(0 AS BIGINT) AS pre, CAST(2 * coalesce(n, 0) + 1 AS BIGINT) AS post, CAST(0 AS INT) AS level, " \
     "CAST(NULL AS BIGINT) AS parent_pre, CAST(0 AS INT) AS position, {0}.* EXCLUDE ({1}, regions) FROM {0} LEFT JOIN n ON t = '{0}' AND id = {1}"
+_FIELD = '("(?:[^"]|"")*"|[^",]*)'
+_BARE = lambda k: f"""CASE WHEN starts_with(regexp_extract(r, '(?s)^{_FIELD},{_FIELD}$', {k}), '"') THEN replace(substr(regexp_extract(r, '(?s)^{_FIELD},{_FIELD}$', {k}), 2, length(regexp_extract(r, '(?s)^{_FIELD},{_FIELD}$', {k})) - 2), '""', '"') ELSE regexp_extract(r, '(?s)^{_FIELD},{_FIELD}$', {k}) END"""
+#: Strict records by patterns and JSON functions instead of a reader; its JSON takes constants and trailing commas, which are ruled out apart.
+_CSV = f"""WITH given AS (SELECT line_id, csv_file, regexp_replace(coalesce(raw, ''), '\\r$', '') AS r FROM submission_lines WHERE line_no <> 1),
+parsed AS (SELECT *, NOT regexp_full_match(r, '(?s){_FIELD}(,{_FIELD})*') AS torn, NOT regexp_full_match(r, '(?s){_FIELD},{_FIELD}') AS uneven, {_BARE(1)} AS image, {_BARE(2)} AS regions FROM given),
+typed AS (SELECT *, regexp_full_match(image, '(?is).+\\.(jpg|jpeg|png)') AS named, regexp_replace(regions, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g') AS bare, CASE WHEN regions <> '' AND json_valid(regions) AND NOT regexp_matches(bare, '(?i)nan|inf|/|,\\s*[\\]}}]') THEN CAST(regions AS JSON) END AS j FROM parsed),
+judged AS (SELECT line_id, csv_file, image, regions, CASE WHEN torn THEN 'quoting' WHEN uneven THEN 'columns' WHEN NOT named OR (regions <> '' AND (j IS NULL OR json_type(j) <> 'ARRAY' OR
+  len(list_filter(CAST(CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE '[]' END AS JSON[]), lambda x: coalesce(json_type(x), '') <> 'OBJECT' OR coalesce(json_type(x, '$.bbox'), '') <> 'ARRAY' OR json_array_length(x, '$.bbox') <> 4
+    OR len(list_filter(CAST(CASE WHEN json_type(x, '$.bbox') = 'ARRAY' THEN json_extract(x, '$.bbox') ELSE '[]' END AS JSON[]), lambda v: coalesce(json_type(v), '') NOT IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE'))) > 0
+    OR (json_type(x, '$.type') IS NOT NULL AND (json_type(x, '$.type') <> 'VARCHAR' OR json_extract_string(x, '$.type') NOT IN ('handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph'))))) > 0)) THEN 'value' END AS reason FROM typed) """
 SQL = {
     "p2_pages": _NODES + ", n AS (SELECT t, id, count(*) AS n FROM objects GROUP BY ALL) " + _PAGE.format("page_metadata", "record_id") + " UNION ALL BY NAME " + _PAGE.format("sample_submission", "row_id"),
     "p2_regions": _LABELLED + _BOXED + "'region'",
@@ -110,4 +120,7 @@ SQL = {
     "p2_found": _NODES + "SELECT t AS table_name, id AS record_id, path FROM objects WHERE level > 1",
     "p2_parents": _NODES + "SELECT t AS table_name, kind AS node_type, CAST(level AS INT) AS level, count(*) AS nodes, "
     "count(DISTINCT id || ' ' || split_part(path, '/', 1)) AS regions FROM objects WHERE level > 1 GROUP BY ALL",
+    "p4_found": _CSV + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p4_loaded": _CSV + "SELECT line_id, image, regions, CAST(CASE WHEN regions = '' THEN 0 ELSE json_array_length(regions) END AS INT) AS n_regions FROM judged WHERE reason IS NULL",
+    "p4_report": _CSV + "SELECT csv_file, coalesce(reason, 'loaded') AS outcome, count(*) AS records FROM judged GROUP BY 1, 2",
 }

@@ -142,28 +142,89 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def records_of_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``csv_file, line_no, raw`` of raw CSV files, records assembled quote-aware.
+    """``csv_file, line_no, raw`` of raw CSV files, records assembled quote-aware, in splits.
 
-    A file is one task's work: where a record ends depends on all that stands before it.
+    Where a record ends depends on what stands before it, but only on whether a
+    quotation is open: one pass finds for each split how it ends if it begins outside of
+    one and inside; the two answers of a file's splits, a row a split, are put together
+    in order; a second pass assembles each split from the state it begins in.  Only the
+    records at the edges of splits are brought together.
     """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
-    from ..operators.rejects import assemble
+    from ..operators.rejects import assemble, ends_inside
+    from ..session import materialize
 
-    files = spark.read.text(path, wholetext=True).select(text.basename(F.col("_metadata.file_path")).alias("csv_file"), "value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def runs(batch: pa.RecordBatch, *columns: int) -> Iterator[tuple]:
+        """Stretches of one split: its key and its lines."""
+        rows = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+        at = 0
+        for k in range(1, len(rows) + 1):
+            if k == len(rows) or rows[k][:-1] != rows[at][:-1]:
+                yield rows[at][:-1], [r[-1] for r in rows[at:k]]
+                at = k
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list] = {}  # a partition's splits
+        for b in batches:
+            for key, values in runs(b, 0, 1, 2):
+                state = seen.setdefault(key, [False, True, 0, 0])  # ends and records completed, begun outside and inside
+                for v in values:
+                    for k in (0, 1):
+                        state[k] = ends_inside(v, state[k])
+                        state[2 + k] += not state[k]
+        if seen:
+            cols = list(zip(*((*key, *v) for key, v in seen.items())))
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "block", "out", "ins", "n_out", "n_ins"])
+
+    splits = lines.mapInArrow(look, "file string, block bigint, out boolean, ins boolean, n_out bigint, n_ins bigint")
+    splits = splits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "out", "ins", "n_out", "n_ins"))).alias("s"))
+
+    def step(acc: Column, s: Column) -> Column:
+        entry = F.struct(s["block"].alias("block"), acc["inside"].alias("inside"), acc["n"].alias("before"))
+        return F.struct(
+            F.when(acc["inside"], s["ins"]).otherwise(s["out"]).alias("inside"),
+            (acc["n"] + F.when(acc["inside"], s["n_ins"]).otherwise(s["n_out"])).alias("n"), F.array_append(acc["all"], entry).alias("all"),
+        )
+
+    none = F.expr("cast(array() as array<struct<block: bigint, inside: boolean, before: bigint>>)")
+    begin = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("bigint").alias("n"), none.alias("all"))
+    states = materialize(splits.select("file", F.inline(F.aggregate("s", begin, step)["all"])))
+    known = lines.join(F.broadcast(states), ["file", "block"])  # a row a split: 128 MB of text each
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[tuple, list] = {}  # of each split: state, records completed, lines held, whether they begin in another split
+
+        def out(rows: list) -> pa.RecordBatch:
+            cols = list(zip(*rows))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "block", "n", "raw", "torn"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0), b.column(1)):
-                lines = content.as_py().removesuffix("\n").split("\n") if content.as_py() else []
-                raw = list(assemble(lines))
-                for at in range(0, len(raw), 10_000):
-                    part = raw[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * len(part), pa.string()), pa.array(range(at + 1, at + 1 + len(part)), pa.int32()), pa.array(part, pa.string())],
-                        names=["csv_file", "line_no", "raw"],
-                    )
-
-    return files.mapInArrow(run, "csv_file string, line_no int, raw string")
+            rows = []
+            for (file, block, inside, before), values in runs(b, 0, 1, 3, 4, 2):
+                state = open_.setdefault((file, block), [inside, before, [], inside])
+                for v in values:
+                    state[2].append(v)
+                    state[0] = ends_inside(v, state[0])
+                    if not state[0]:
+                        rows.append((file, block, state[1], "\n".join(state[2]), state[3]))
+                        state[1:] = [state[1] + 1, [], False]
+                if len(rows) >= 10_000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+        rest = [(file, block, s[1], "\n".join(s[2]), True) for (file, block), s in open_.items() if s[2]]
+        if rest:
+            yield out(rest)
+
+    pieces = known.select("file", "block", "value", "inside", "before").mapInArrow(cut, "file string, block bigint, n bigint, raw string, torn boolean")
+    torn = pieces.where("torn").groupBy("file", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda x: x["raw"]), "\n").alias("raw"))
+    whole = pieces.where("NOT torn").select("file", "n", "raw").unionByName(torn)
+    return whole.select(text.basename(F.col("file")).alias("csv_file"), (F.col("n") + 1).cast("int").alias("line_no"), "raw")

@@ -48,6 +48,30 @@ def test_raw_files(spark, tmp_path):
     assert {(r["line_id"], r["reason"]) for r in got.collect()} == {(2, None), (3, "columns"), (4, "quoting")}
 
 
+def test_raw_files_in_splits(spark, tmp_path):
+    """Records that lie in several splits, and states that depend on the ones before."""
+    import random
+
+    r = random.Random(4)
+    want = {}
+    for name in "abc":
+        records = [r.choice(['p.jpg,"[\n\n]"', "q.jpg,x", 'r.jpg,"a ""b"",\n,c"', '"k\nm",', 'z"z,"', ""]) for _ in range(200)]
+        records += ['s.jpg,"' + "line\n" * 40 + '"', 'open,"' + "\nno end" * 30] if name == "a" else []
+        (tmp_path / f"{name}.csv").write_text("\n".join(records) + "\n")
+        want[f"{name}.csv"] = list(rejects.assemble("\n".join(records).split("\n")))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got: dict = {}
+        for x in readers.records_of_files(spark, str(tmp_path)).orderBy("csv_file", "line_no").collect():
+            got.setdefault(x["csv_file"], []).append((x["line_no"], x["raw"]))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {n: list(enumerate(rows, 1)) for n, rows in want.items()}
+
+
 def test_coco(spark, tmp_path):
     regions = "array<struct<type:string,x1:double,y1:double,x2:double,y2:double>>"
     df = spark.createDataFrame([("b.jpg", 100, 100, [("printed", 0.0, 0.0, 10.0, 20.0), ("map", 0.0, 0.0, 9.0, 9.0)]), ("a.jpg", 50, 50, [("graph", 60.0, 0.0, 90.0, 9.0), ("image", 1.0, 1.0, 2.0, 9.0)])], f"image string, w int, h int, regions {regions}")
