@@ -18,6 +18,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return proportions.report(table(spark, d, "page_metadata"), table(spark, d, "sample_targets"))
 
 
+def p1_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the report that plain SQL can state."""
+    return p1_report(spark, d).select("plan_id", "field", "category", "pool", "members", F.round("target", 6).alias("target"), "min_rows", "met")
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return proportions.sample(table(spark, d, "page_metadata"), table(spark, d, "sample_targets"))
 
@@ -74,7 +79,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_report, p1_sample, p3_found, p3_report, p3_links, p5_ids, p5_roundtrip, p6_found, p6_report, p6_mix, p7_found, p7_sentences, p7_report,
+    p1_found, p1_report, p1_targets, p1_sample, p3_found, p3_report, p3_links, p5_ids, p5_roundtrip, p6_found, p6_report, p6_mix, p7_found, p7_sentences, p7_report,
 )}
 
 _BLANK = r"'^\s+|\s+$', '', 'g'"
@@ -85,12 +90,13 @@ pool AS (SELECT 'source' AS field, source AS key FROM pages UNION ALL
   SELECT 'type', coalesce(lower(regexp_replace(r.type, {_BLANK})), '') FROM (SELECT unnest(regions) AS r FROM pages)),
 sizes AS (SELECT field, count(*) AS pool FROM pool GROUP BY field),
 counts AS (SELECT field, key, count(*) AS members FROM pool GROUP BY field, key),
-seen AS (SELECT t.*, coalesce(c.members, 0) AS members, t.target_share * t.sample_fraction * s.pool AS target
+seen AS (SELECT t.*, s.pool, coalesce(c.members, 0) AS members, t.target_share * t.sample_fraction * s.pool AS target
   FROM sample_targets t JOIN sizes s USING (field)
   LEFT JOIN counts c ON c.field = t.field AND c.key = lower(regexp_replace(t.category, {_BLANK})))
 """
 
 SQL = {
     "p1_found": _POOLS + "SELECT plan_id, category FROM seen WHERE members < target - 1e-9 OR members < min_rows",
+    "p1_targets": _POOLS + "SELECT plan_id, field, category, pool, members, round(target, 6) AS target, min_rows, NOT (members < target - 1e-9 OR members < min_rows) AS met FROM seen",
     "p5_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
