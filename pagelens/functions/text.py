@@ -58,6 +58,15 @@ DASHES = "[\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d]"
 DOUBLE_QUOTES, SINGLE_QUOTES = '["\u201c\u201d\u201e\u00ab\u00bb\u2033]', "['\u2018\u2019\u02bc\u2032]"
 SPACES = "[ \t\u00a0\u2000-\u200b\u3000]+"
 COMBINING = "[\u0300-\u036f\u20d0-\u20ff]"
+# Phrases of answers that explain instead of transcribing, and labels put before an answer.
+EXPLAINING = r"(?i)\b(?:i can see|the image|this is|the answer|solution|solve|simplif)"
+LABELS = "text|transcription|answer"
+LABELS_OF_INVALID = "text|transcription|answer|output"
+# Reasons why an answer is invalid, in the order in which they are looked for.
+INVALID = {
+    "empty": "empty", "fence": "markdown_fence", "wrapper": "json_or_list_wrapper", "label": "prefixed_label",
+    "explains": "explanation_or_solution_like", "bars": "missing_table_separator", "rows": "malformed_table_rows",
+}
 # Pipelines whose names augmentation puts into a copy's file name, after "_" or "_aug_".
 PIPELINES = "light|dense|rare|heavy|mix"
 # ------------------------------------------------------------------------------
@@ -316,7 +325,7 @@ def clean_output(text: Column, most: int = 500) -> Column:
         inner = F.coalesce(F.try_variant_get(parsed, "$.text", "string"), F.lit(""))
         return F.when(c.rlike(r"^[\[{]"), F.when(c.startswith("{"), inner).otherwise("")).otherwise(c)
 
-    label = lambda c: strip(sub(c, rf"(?i)^(?:text|transcription|answer){WS}*:{WS}*"))
+    label = lambda c: strip(sub(c, rf"(?i)^(?:{LABELS}){WS}*:{WS}*"))
     return F.left(bound(strip(F.coalesce(text, F.lit(""))), unfence, label, unquote, unwrap), F.lit(most))
 
 
@@ -326,13 +335,13 @@ def invalid_reason(text: Column, region_type: Column, gt_text: Column) -> Column
     sep = lambda c: F.coalesce(c, F.lit("")).rlike(r"[|\n]")
     lines = F.filter(F.split(t, r"\r\n|[\n\r]"), lambda x: strip(x) != "")
     return (
-        F.when(t == "", "empty")
-        .when(t.contains("```"), "markdown_fence")
-        .when(t.rlike(r"^[\[{]"), "json_or_list_wrapper")
-        .when(t.rlike(rf"(?i)^(?:text|transcription|answer|output){WS}*:"), "prefixed_label")
-        .when(t.rlike(r"(?i)\b(?:i can see|the image|this is|the answer|solution|solve|simplif)"), "explanation_or_solution_like")
-        .when((region_type == "table") & sep(gt_text) & ~sep(t), "missing_table_separator")
-        .when((region_type == "table") & (F.size(lines) > 1) & F.exists(lines, lambda x: ~x.contains("|")), "malformed_table_rows")
+        F.when(t == "", INVALID["empty"])
+        .when(t.contains("```"), INVALID["fence"])
+        .when(t.rlike(r"^[\[{]"), INVALID["wrapper"])
+        .when(t.rlike(rf"(?i)^(?:{LABELS_OF_INVALID}){WS}*:"), INVALID["label"])
+        .when(t.rlike(EXPLAINING), INVALID["explains"])
+        .when((region_type == "table") & sep(gt_text) & ~sep(t), INVALID["bars"])
+        .when((region_type == "table") & (F.size(lines) > 1) & F.exists(lines, lambda x: ~x.contains("|")), INVALID["rows"])
         .otherwise("")
     )
 

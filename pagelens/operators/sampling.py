@@ -9,6 +9,7 @@ a group with a third of all rows is never sorted in one task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,16 @@ from pyspark.sql.window import Window
 from ..functions import text
 
 DIGITS = 3  # hexadecimal digits of a bin: 4,096 bins a group
+# ---------------------------------------------------------------- fixed values
 HEAD, MID, TAIL = ("handwritten", "formula"), ("printed", "annotation", "table"), ("image", "graph")
+# Weights of what makes a page worth repeating, and worth adding.
+REPEAT = {"tail": 3.0, "mid": 1.2, "rare_ratio": 8.0, "n_image": 2.0, "n_graph": 3.0, "head_ratio": -6.0}
+ADD = {"n_graph": 5.0, "n_image": 4.0, "n_table": 1.5, "n_annotation": 1.0, "rare_ratio": 10.0, "head_ratio": -6.0}
+CROWDED = {"n_handwritten": (20, 0.15), "n_formula": (10, 0.20)}  # so many are free, each more costs
+COMMON = (0.8, 1)  # a page is left out with this share of common types and so few rare ones
+RARE_SHARE, MANY_MID, MANY_LINES = 0.1, 5, 15
+LIGHT, RARE, DENSE = "aug_light", "aug_rare", "aug_dense"
+# ------------------------------------------------------------------------------
 
 
 def random_key(seed: int, *ids: str) -> Column:
@@ -125,8 +135,14 @@ def class_counts(pages: DataFrame, types: str = "types") -> DataFrame:
     return out.withColumns({"rare_ratio": share("tail"), "head_ratio": share("head")})
 
 
-def _over(c: str, free: int, weight: float) -> Column:
-    return F.greatest(F.lit(0), F.col(c) - free) * weight
+def _weighed(weights: dict[str, float]) -> Column:
+    """Weighted sum of counts and shares, less what crowds a page."""
+    total = reduce(lambda x, y: x + y, (F.col(c) * w for c, w in weights.items()))
+    return reduce(lambda x, y: x - y, (F.greatest(F.lit(0), F.col(c) - free) * cost for c, (free, cost) in CROWDED.items()), total)
+
+
+def _common() -> Column:
+    return (F.col("head_ratio") >= COMMON[0]) & (F.col("tail") <= COMMON[1])
 
 
 def augmentation_plan(pages: DataFrame, ids: list[str], seed: int = 42, most: int = 4) -> DataFrame:
@@ -136,15 +152,12 @@ def augmentation_plan(pages: DataFrame, ids: list[str], seed: int = 42, most: in
     have no repeats and no score.
     """
     coin = F.conv(F.right(random_key(seed, *ids), F.lit(1)), 16, 10).cast("int") % 2
-    score = (
-        F.col("tail") * 3.0 + F.col("mid") * 1.2 + F.col("rare_ratio") * 8.0 + F.col("n_image") * 2.0 + F.col("n_graph") * 3.0
-        - F.col("head_ratio") * 6.0 - _over("n_handwritten", 20, 0.15) - _over("n_formula", 10, 0.20)
-    )
-    skip = (F.col("boxes") == 0) | ((F.col("head_ratio") >= 0.8) & (F.col("tail") <= 1))
-    rare, some = (F.col("tail") > 0) & (F.col("rare_ratio") >= 0.1), (F.col("tail") > 0) | (F.col("mid") > 5)
-    dense = F.col("n_handwritten") >= 15
+    score = _weighed(REPEAT)
+    skip = (F.col("boxes") == 0) | _common()
+    rare, some = (F.col("tail") > 0) & (F.col("rare_ratio") >= RARE_SHARE), (F.col("tail") > 0) | (F.col("mid") > MANY_MID)
+    dense = F.col("n_handwritten") >= MANY_LINES
     repeats = F.when(skip, 0).when(rare, 3 + coin).when(some, 1 + coin).when(dense, 1).when(score > 0, coin).otherwise(0)
-    pipeline = F.when(skip, "aug_light").when(F.col("tail") > 0, "aug_rare").when(F.col("mid") > 5, "aug_dense").when(dense, "aug_dense").otherwise("aug_light")
+    pipeline = F.when(skip, LIGHT).when(F.col("tail") > 0, RARE).when((F.col("mid") > MANY_MID) | dense, DENSE).otherwise(LIGHT)
     return pages.withColumns({"repeats": F.least(F.lit(most), repeats), "pipeline": pipeline, "score": F.when(~skip, score)})
 
 
@@ -158,11 +171,7 @@ def augmented(plan: DataFrame, name: str = "file_name") -> DataFrame:
 
 def silver_score(pages: DataFrame) -> DataFrame:
     """Counted pages worth adding, with ``score``; pages of common types only are left out."""
-    score = (
-        F.col("n_graph") * 5.0 + F.col("n_image") * 4.0 + F.col("n_table") * 1.5 + F.col("n_annotation") * 1.0
-        + F.col("rare_ratio") * 10.0 - F.col("head_ratio") * 6.0 - _over("n_handwritten", 20, 0.15) - _over("n_formula", 10, 0.20)
-    )
-    return pages.where("boxes > 0").where(~((F.col("head_ratio") >= 0.8) & (F.col("tail") <= 1))).withColumn("score", score)
+    return pages.where(F.col("boxes") > 0).where(~_common()).withColumn("score", _weighed(ADD))
 
 
 def shared_keys(df: DataFrame, key: str, trains: Column) -> DataFrame:

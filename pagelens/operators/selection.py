@@ -16,6 +16,20 @@ from ..functions import geometry as G
 from ..schema import STRUCTURED_TYPES, VISUAL_TYPES
 from ..session import materialize
 
+# ---------------------------------------------------------------- fixed values
+# Weights of a page, of an error and of a crop; bounds of error rates; names of buckets.
+PAGE = {"f1": 10, "classes": 6, "type": 1.5, "structured": 2, "sized": 1, "there": 2, "absent": -100}
+PAGE_SIZE = (5, 38)  # predictions
+ERROR = {"confusion": 8, "missed": 1.5, "extra": 1.2, "classes": 6, "f1": 5}
+CROP = {"iou": 3, "area": 1.2, "no_area": -1.0, "length": 1.0, "there": 0.5, "absent": -5.0}
+CROP_AREA, CROP_LENGTH = (0.0015, 0.22), (2, 140)
+CORRECT, NEAR = 0.10, 0.35  # error rates up to which a match is correct, near-correct
+BUCKETS = (
+    "handwritten success", "printed success", "formula near-correct", "formula failure", "table example", "table formatting failure",
+    "annotation near-correct", "annotation failure", "formula-handwritten confusion", "type confusion", "empty-text route",
+)
+FEW_BUCKETS = ("handwritten success", "printed success", "formula near-correct", "table example", "annotation near-correct", "type confusion")
+# ------------------------------------------------------------------------------
 SOURCE_ORDER = ("school", "dictation", "university", "archive")
 
 
@@ -23,15 +37,16 @@ def page_score(predictions: Column, there: Column | None = None) -> Column:
     """Worth of a page from its statistics; ``there`` tells whether its image exists."""
     several = F.arrays_overlap("gt_types", F.array(*map(F.lit, (*STRUCTURED_TYPES, *VISUAL_TYPES))))
     return (
-        F.col("det_f1") * 10 + F.col("class_acc") * 6 + F.size("gt_types") * 1.5 + several.cast("int") * 2
-        + predictions.between(5, 38).cast("int") + (F.when(there, 2).otherwise(-100) if there is not None else F.lit(2))
+        F.col("det_f1") * PAGE["f1"] + F.col("class_acc") * PAGE["classes"] + F.size("gt_types") * PAGE["type"] + several.cast("int") * PAGE["structured"]
+        + predictions.between(*PAGE_SIZE).cast("int") * PAGE["sized"] + (F.when(there, PAGE["there"]).otherwise(PAGE["absent"]) if there is not None else F.lit(PAGE["there"]))
     )
 
 
 def error_score() -> Column:
     """How much there is to see on a page that went wrong."""
     return (
-        F.col("type_confusions") * 8 + F.col("missed") * 1.5 + F.col("false_positive") * 1.2 + (1 - F.col("class_acc")) * 6 + (1 - F.col("det_f1")) * 5
+        F.col("type_confusions") * ERROR["confusion"] + F.col("missed") * ERROR["missed"] + F.col("false_positive") * ERROR["extra"]
+        + (1 - F.col("class_acc")) * ERROR["classes"] + (1 - F.col("det_f1")) * ERROR["f1"]
     )
 
 
@@ -44,7 +59,7 @@ def status(scored: Column, extended: bool = False) -> Column:
         else F.when(~both, "failure")
     )
     s = s.when(~scored, F.when(same, "unscored" if extended else "correct").otherwise("type confusion"))
-    return s.when(~same, "type confusion").when(F.col("cer") <= 0.10, "correct").when(F.col("cer") <= 0.35, "near-correct").otherwise("failure")
+    return s.when(~same, "type confusion").when(F.col("cer") <= CORRECT, "correct").when(F.col("cer") <= NEAR, "near-correct").otherwise("failure")
 
 
 def crop_quality(w: Column, h: Column, there: Column | None = None) -> Column:
@@ -52,8 +67,8 @@ def crop_quality(w: Column, h: Column, there: Column | None = None) -> Column:
     ratio = G.area_ratio(F.col("crop"), w, h)
     length = F.coalesce(F.char_length("gt_text"), F.char_length("pred_text"), F.lit(0))
     return (
-        F.coalesce("iou", F.lit(0.0)) * 3 + F.when(ratio.between(0.0015, 0.22), 1.2).otherwise(-1.0)
-        + F.when(length.between(2, 140), 1.0).otherwise(0.0) + (F.when(there, 0.5).otherwise(-5.0) if there is not None else F.lit(0.5))
+        F.coalesce("iou", F.lit(0.0)) * CROP["iou"] + F.when(ratio.between(*CROP_AREA), CROP["area"]).otherwise(CROP["no_area"])
+        + F.when(length.between(*CROP_LENGTH), CROP["length"]).otherwise(0.0) + (F.when(there, CROP["there"]).otherwise(CROP["absent"]) if there is not None else F.lit(CROP["there"]))
     )
 
 
@@ -90,29 +105,28 @@ def buckets(quality: Column) -> list[tuple[str, Column, Column]]:
     gt, pred, cer, scored = F.col("gt_type"), F.col("pred_type"), F.col("cer"), F.col("scored")
     e = F.coalesce(cer, F.lit(0.0))
     both = lambda t: (gt == t) & (pred == t)
-    wrong = lambda t: (gt == t) & F.col("scorable") & (~F.coalesce(pred == t, F.lit(False)) | (cer > 0.35))
+    wrong = lambda t: (gt == t) & F.col("scorable") & (~F.coalesce(pred == t, F.lit(False)) | (cer > NEAR))
     pair = lambda a, b: ((gt == a) & (pred == b)) | ((gt == b) & (pred == a))
-    return [
-        ("handwritten success", both("handwritten") & (cer <= 0.10), quality - F.abs(e - 0.04)),
-        ("printed success", both("printed") & (cer <= 0.10), quality),
-        ("formula near-correct", both("formula") & cer.between(0.02, 0.35), quality - F.abs(e - 0.16)),
-        ("formula failure", wrong("formula"), quality + e),
-        ("table example", both("table") & scored, quality - F.least(e, F.lit(0.5))),
-        ("table formatting failure",
-         (gt == "table") & F.col("scorable") & (~F.coalesce(pred == "table", F.lit(False)) | (cer >= 0.20) | (F.col("pred_text").isNotNull() & ~F.col("pred_text").contains("|"))),
-         quality + F.least(e, F.lit(1.0))),
-        ("annotation near-correct", both("annotation") & (cer > 0.10) & (cer <= 0.35), quality),
-        ("annotation failure", wrong("annotation"), quality + F.least(e, F.lit(1.0))),
-        ("formula-handwritten confusion", pair("formula", "handwritten"), quality + 2),
-        ("type confusion", gt != pred, quality + 1.5),
-        ("empty-text route", gt.isin(*VISUAL_TYPES) & (gt == pred), quality),
+    untabular = F.col("pred_text").isNotNull() & ~F.col("pred_text").contains("|")
+    rules = [
+        (both("handwritten") & (cer <= CORRECT), quality - F.abs(e - 0.04)),
+        (both("printed") & (cer <= CORRECT), quality),
+        (both("formula") & cer.between(0.02, NEAR), quality - F.abs(e - 0.16)),
+        (wrong("formula"), quality + e),
+        (both("table") & scored, quality - F.least(e, F.lit(0.5))),
+        ((gt == "table") & F.col("scorable") & (~F.coalesce(pred == "table", F.lit(False)) | (cer >= 0.20) | untabular), quality + F.least(e, F.lit(1.0))),
+        (both("annotation") & (cer > CORRECT) & (cer <= NEAR), quality),
+        (wrong("annotation"), quality + F.least(e, F.lit(1.0))),
+        (pair("formula", "handwritten"), quality + 2),
+        (gt != pred, quality + 1.5),
+        (gt.isin(*VISUAL_TYPES) & (gt == pred), quality),
     ]
+    return [(name, *rule) for name, rule in zip(BUCKETS, rules)]
 
 
 def few_buckets(quality: Column) -> list[tuple[str, Column, Column]]:
     """The six buckets of a small figure."""
-    names = ("handwritten success", "printed success", "formula near-correct", "table example", "annotation near-correct", "type confusion")
-    return [b for b in buckets(quality) if b[0] in names]
+    return [b for b in buckets(quality) if b[0] in FEW_BUCKETS]
 
 
 def crop_examples(records: DataFrame, quality: Column, desired: int = 12, wanted: list[tuple[str, Column, Column]] | None = None) -> DataFrame:

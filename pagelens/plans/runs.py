@@ -11,7 +11,7 @@ from ..operators import frames
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..operators import tables as T
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import ingest
 from . import fixture
 from .evaluation import _rounded
@@ -105,11 +105,12 @@ def o7_counts(spark, d):
 
 
 def _streamed(spark, stream, mode="append"):
-    """Run a stream over all that is there and read what it wrote, a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there; each batch replaces the table it writes to the shared folder."""
+    path = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/table")
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/log").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 def _pages_stream(spark, d):

@@ -109,8 +109,13 @@ def test_contract():
 
 
 def test_without_the_subpackage(tmp_path):
-    shutil.copytree(ROOT / "pagelens", tmp_path / "pagelens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    """Without either folder the rest imports, and tests of it pass."""
+    ignore = shutil.ignore_patterns("llm", "__pycache__")
+    for folder in ("pagelens", "tests"):
+        shutil.copytree(ROOT / folder, tmp_path / folder, ignore=ignore)
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and 'p5_ids' not in q; assert set(e.oracle_sql()) <= set(q)"
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert run.returncode == 0, run.stderr
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_sources.py"], cwd=tmp_path, capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-2000:]
