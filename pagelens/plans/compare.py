@@ -6,7 +6,7 @@ first numbered and spelled as single bytes; a pair may have 127 of them.
 
 from __future__ import annotations
 
-BLANK = r"[\s\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x{1680}\x{001c}-\x{001f}]"
+BLANK = r"[\s\x{000b}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x{1680}\x{001c}-\x{001f}]"
 
 
 def _spelled(items: str, known: str) -> str:

@@ -460,6 +460,17 @@ v AS (SELECT row_id, i, CASE WHEN json_type(r) <> 'OBJECT' THEN 'no_object' WHEN
 SELECT row_id, i AS region_idx, violation FROM v WHERE violation IS NOT NULL UNION ALL SELECT row_id, -1, 'no_list' FROM g WHERE j IS NULL UNION ALL SELECT NULL, -1, 'columns'
 UNION ALL SELECT NULL, -1, 'row_count' FROM (SELECT count(*) AS n FROM sample_submission) WHERE n <> (SELECT count(DISTINCT {_NAME}) FROM page_metadata)""",
 }
+_C = compare.BLANK
+SQL["t9_cleaned"] = f"""WITH a AS (SELECT crop_id, {_S.format("coalesce(text, '')")} AS t FROM crop_records),
+b AS (SELECT crop_id, CASE WHEN starts_with(t, '```') THEN {_S.format("regexp_replace(" + _S.format("regexp_replace(t, '^```[a-zA-Z]*', '')") + ", '```$', '')")} ELSE t END AS t FROM a),
+c AS (SELECT crop_id, {_S.format(f"regexp_replace(t, '(?i)^(?:text|transcription|answer){_C}*:{_C}*', '')".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")} AS t FROM b),
+d AS (SELECT crop_id, CASE WHEN length(t) >= 2 AND ((starts_with(t, chr(39)) AND ends_with(t, chr(39))) OR (starts_with(t, '"') AND ends_with(t, '"'))) THEN {_S.format('substr(t, 2, length(t) - 2)')} ELSE t END AS t FROM c)
+SELECT crop_id, left(CASE WHEN starts_with(t, '{{') THEN CASE WHEN json_valid(t) THEN coalesce(json_extract_string(t, '$.text'), '') ELSE '' END WHEN starts_with(t, '[') THEN '' ELSE t END, 500) AS text FROM d"""
+#: No document has the marks of a wrong code page, so that there is nothing to repair.
+_CLEAN = f"regexp_replace(regexp_replace(coalesce(text, ''), '^{_C}+|{_C}+$', '', 'g'), '{_C}+', ' ', 'g')"
+SQL["t13_clean"] = f"SELECT doc_id, md5({_CLEAN}) AS h FROM documents"
+SQL["t14_truncated"] = f"""WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(array_to_string(regexp_extract_all(t, '(?s).')[1:57], ''), '{_C}+$', '') || '...' END AS text FROM c"""
 SQL["v1_errors"] = f"""WITH x AS ({SQL['s15_errors']}), s AS (SELECT run_id, row_id FROM sample_submission WHERE image IS NOT NULL),
 f AS (SELECT DISTINCT {_NAME} AS image FROM page_metadata WHERE regions IS NOT NULL), t AS (SELECT run_id, count(DISTINCT image) AS n FROM sample_submission WHERE image IN (SELECT image FROM f) GROUP BY 1)
 SELECT run_id, code, count(*) AS n FROM x JOIN s USING (row_id) GROUP BY 1, 2

@@ -128,6 +128,7 @@ def _nms(threshold, per_class=False, boxes="pred", order="idx", out="unnest(kept
     """Suppression as a recursive walk over the boxes by falling score."""
     return f"""WITH RECURSIVE {fixture.GT}, {fixture.PRED},
 both_models AS (SELECT page, 'a' AS type, CAST(idx AS INT) AS idx, x1, y1, x2, y2, 0.5e0 AS score FROM gt UNION ALL SELECT page, 'b', idx, x1, y1, x2, y2, score FROM pred),
+by_text AS (SELECT page, text AS type, idx, x1, y1, x2, y2, score FROM pred),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, {order}) AS n FROM {boxes}),
 walk AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(idx INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, t VARCHAR)[]) AS kept FROM (SELECT DISTINCT page FROM {boxes})
   UNION ALL SELECT w.page, r.n, CASE WHEN len(list_filter(w.kept, lambda k: {'k.t = r.type AND ' if per_class else ''}
@@ -160,6 +161,7 @@ SELECT record_id, idx, printf('%d %.6f %.6f %.6f %.6f', t, cx, cy, bw, bh) AS li
     "g11_pad_side": BOXES + f", p AS (SELECT *, greatest(12e0, (x2 - x1) * 0.12e0) AS px, greatest(12e0, (y2 - y1) * 0.12e0) AS py FROM b) SELECT {_six(x1='greatest(0e0, x1 - px)', y1='greatest(0e0, y1 - py)', x2='least(w, x2 + px)', y2='least(h, y2 + py)')} FROM p",
     "g15_nms": _nms("0.6"), "g15_nms_per_class": _nms("0.6", True), "g16_dedup": _nms("0.9"),
     "g17_merge": _nms("0.6", boxes="both_models", order="type, idx", out="len(kept) AS kept, len(list_filter(kept, lambda k: k.t = 'a')) AS of_a FROM ends"),
+    "g21_same_text": _nms("0.5", True, boxes="by_text", out="CAST(len(kept) AS INT) AS kept, CAST((SELECT count(*) FROM pred p WHERE p.page = ends.page) AS INT) AS boxes FROM ends"),
     "g19_shrink": "SELECT record_id, round(s, 6) AS scale, CAST(floor(image_width * s) AS INT) AS w, CAST(floor(image_height * s) AS INT) AS h FROM "
     "(SELECT *, CASE WHEN greatest(image_width, image_height) > 2000 THEN 2000e0 / greatest(image_width, image_height) ELSE 1e0 END AS s FROM page_metadata)",
     "g20_budget": "SELECT record_id, CASE WHEN image_width * image_height <= 1000000 THEN image_width ELSE greatest(1, CAST(round_even(image_width * s, 0) AS INT)) END AS w, "
