@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import dealt
+
 #: Lists that hold objects of their own, by the type of the objects in them.
 LISTS = {"alternatives": "alternative", "marks": "mark", "children": "child"}
 TYPES = ("page", "region", "alternative", "mark", "child")
@@ -293,7 +295,8 @@ def label(df: DataFrame, name: str, key: str = "record_id", regions: str = "regi
             if cols[0]:
                 yield full(cols)
 
-    return df.select(F.col(key).cast("bigint").alias("record_id"), _json(df, regions).alias("regions")).mapInArrow(run, ddl)
+    rows = dealt(df.select(key, regions))
+    return rows.select(F.col(key).cast("bigint").alias("record_id"), _json(df, regions).alias("regions")).mapInArrow(run, ddl)
 
 
 def pages(df: DataFrame, name: str, key: str = "record_id", regions: str = "regions") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import REGION_TYPES
+from ..session import dealt
 
 QUOTING, COLUMNS, VALUE = "quoting", "columns", "value"
 csv.field_size_limit(sys.maxsize)  # whole fields, however long
@@ -164,7 +165,7 @@ def load(lines: DataFrame) -> DataFrame:
     rows = lines.where(~F.col("line_no").eqNullSafe(1)).select(
         F.col("line_id").cast("bigint"), F.col("csv_file").cast("string"), F.col("line_no").cast("int"), F.col("raw").cast("string")
     )
-    return rows.mapInArrow(run, "line_id bigint, csv_file string, line_no int, reason string, image string, regions string, n_regions int")
+    return dealt(rows).mapInArrow(run, "line_id bigint, csv_file string, line_no int, reason string, image string, regions string, n_regions int")
 
 
 def rejected(loaded: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import frames
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..schema import REGION_TYPES, TEXT_TYPES
-from ..session import table
+from ..session import dealt, table
 from ..sources import readers, writers
 from . import compare
 
@@ -22,8 +22,9 @@ def crops(spark, d):
     return table(spark, d, "crop_records")
 
 
-def _regions(spark, d):
+def _regions(spark, d, costly=False):
     p = table(spark, d, "page_metadata")
+    p = dealt(p.select("record_id", "source", "regions")) if costly else p
     return p.select("record_id", F.coalesce(F.lower(text.strip(F.col("source"))), F.lit("unknown")).alias("source"), F.posexplode("regions").alias("idx", "r")).select("record_id", "source", "idx", "r.*")
 
 
@@ -226,7 +227,7 @@ def t3_crops(spark, d):
 def t1_normalized(spark, d):
     """Normalized texts of all regions, both dialects."""
     t = text.normal_type(F.col("type"))
-    return _regions(spark, d).select("record_id", "idx", text.normalize(F.col("text"), t, "v1").alias("v1"), text.normalize(F.col("text"), t, "v2").alias("v2"))
+    return _regions(spark, d, costly=True).select("record_id", "idx", text.normalize(F.col("text"), t, "v1").alias("v1"), text.normalize(F.col("text"), t, "v2").alias("v2"))
 
 
 def t8_invalid(spark, d):

@@ -78,6 +78,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+OPEN_COST = 4 << 20  # bytes under which Spark does not split a file
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A frame that costs much a row: where a table has fewer files than half the cores
+    and is too small to be split among them, its rows are dealt out to all cores.
+
+    Larger tables are left as they are, so at scale there is no shuffle.  Only the plan
+    is looked at.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not 0 < size < cores * OPEN_COST:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores / 2 else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -22,6 +22,20 @@ def test_numbered(spark):
     assert frames.numbered(df.limit(0), ["v"]).count() == 0
 
 
+def test_dealt(spark, tmp_path):
+    """Only what is too small to be split is dealt out, with pruning and filters kept below it."""
+    from pagelens.session import dealt
+
+    spark.range(100).select("id", F.col("id").alias("x")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
+    one = dealt(spark.read.parquet(str(tmp_path / "one")))
+    assert one.rdd.getNumPartitions() == 4 and one.count() == 100
+    plan = one.where("id > 5").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,5)" in plan and "x:bigint" not in plan
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert dealt(many) is many and dealt(spark.range(3)).count() == 3
+
+
 def test_fixed(spark, tmp_path):
     p = str(tmp_path / "split")
     assert frames.fixed(spark, p, lambda: spark.range(3)).count() == 3
