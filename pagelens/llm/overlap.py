@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PIPELINES, bound
-from ..session import materialize
+from ..session import dealt, materialize
 
 TRAIN, EVAL = ("train", "silver"), ("val", "test", "private")
 BANDS, ROWS, SEED = 40, 5, 20_240_501
@@ -88,7 +88,7 @@ def signed(pages: DataFrame, min_chars: int = 60) -> DataFrame:
     texts = F.col("regions.text")  # joining leaves nulls out
     bare = F.transform(texts, lambda t: F.when(t.contains("~~"), F.regexp_replace(t, r"(?s)~~.*?~~(?:\{(.*?)\})?", "$1")).otherwise(t))
     split = F.lower(F.trim("split"))
-    rows = pages.select(
+    rows = dealt(pages.select("record_id", "split", "source", "file_name", "regions")).select(
         "record_id",
         split.alias("split"),
         F.lower(F.regexp_replace("source", r"^[\s\u00a0]+|[\s\u00a0]+$", "")).alias("source"),

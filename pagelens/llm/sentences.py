@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 #: White space: Java's ``\s`` lacks the no-break and other Unicode spaces.
 WS = r"[\s\x1C-\x1F\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 HWS = r"[\t\x0B\f \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
@@ -248,11 +250,12 @@ def units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, sent_start, sent_end)``: every sentence unit of every row's whole text.
 
     Offsets are code points from 0, the end exclusive.  Null, empty and blank texts
-    have no unit; repeated rows have theirs each; other columns are not read.  All
-    narrow: no shuffle, no Python.
+    have no unit; repeated rows have theirs each; other columns are not read.  No
+    Python, no shuffle but that of a table too small to be split.
     """
     length = lambda xs: F.char_length(F.array_join(xs, ""))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), pieces(F.col(text)).alias("p"))
+    rows = dealt(df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    rows = rows.select("key", pieces(F.col("text")).alias("p"))
     rows = rows.select(
         "key",
         F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda i: F.slice("p", i * BLOCK + 1, BLOCK)).alias("blocks"),

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 #: Pre-splitting pattern of the vocabulary (a fixed value of byte_bpe_50k).
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -242,7 +244,7 @@ def encode(
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {typ}, ids array<int>")
+    return dealt(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {typ}, ids array<int>")
 
 
 def decode(df: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -275,4 +277,4 @@ def count(df: DataFrame, key: Column | str, text: str = "text", path: str | None
                 [batch.column(0), pa.array(n, pa.int64())], names=["key", "n_tokens"]
             )
 
-    return rows.mapInArrow(run, f"key {typ}, n_tokens bigint")
+    return dealt(rows).mapInArrow(run, f"key {typ}, n_tokens bigint")
