@@ -27,8 +27,14 @@ def pairs(gt: Column, pred: Column, threshold: float = THRESHOLD) -> Column:
     position.  Null arrays hold nothing.
     """
 
+    def order(r: Column, q: Column) -> Column:
+        if threshold <= 0:
+            return -G.iou(r, q)
+        meet = (q["y1"] < r["y2"]) & (r["y1"] < q["y2"]) & (q["x1"] < r["x2"]) & (r["x1"] < q["x2"])
+        return F.when(meet, -G.iou(r, q))  # boxes that lie apart, nearly all, are not measured
+
     def row(r: Column, g: Column) -> Column:
-        hits = F.transform(pred, lambda q, p: F.struct((-G.iou(r, q)).alias("order"), g.alias("g"), p.alias("p")))
+        hits = F.transform(pred, lambda q, p: F.struct(order(r, q).alias("order"), g.alias("g"), p.alias("p")))
         return F.filter(hits, lambda x: x["order"] <= -threshold)
 
     both = gt.isNotNull() & pred.isNotNull()
