@@ -164,14 +164,15 @@ PLAN = (
 )
 
 
-def plan(pages: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(pages: DataFrame, targets: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """A row a target: :data:`PLAN`.  Written once; each plan's flow is one task's work.
 
     Members are counted by category and stratum ahead of the shuffle; what a task holds
     is the targets of one plan times the strata.  Null shares and fractions count as 0,
     null ``min_rows`` as none, fields other than source and type have no pool.
+    ``pool`` is :func:`members` if it is already there.
     """
-    counts = materialize(members(pages).groupBy("field", "category", "stratum").agg(F.count("*").alias("n")))
+    counts = materialize((pool or members(pages)).groupBy("field", "category", "stratum").agg(F.count("*").alias("n")))
     pools = counts.groupBy("field").agg(F.sum("n").alias("pool"))
     strata = counts.groupBy("field", F.col("category").alias("key")).agg(F.collect_list(F.struct("stratum", "n")).alias("strata"))  # at most six each
     wanted = targets.select(
@@ -231,11 +232,12 @@ def sample(pages: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     with a third of all rows is never in one task.  Ties of the key go by id.  A category
     named twice in a plan is drawn once, to the larger of its quotas.
     """
-    cells = plan(pages, targets).select("plan_id", "field", F.col("key").alias("category"), F.inline("cells"))
+    pool = materialize(members(pages))  # narrow; read three times
+    cells = plan(pages, targets, pool).select("plan_id", "field", F.col("key").alias("category"), F.inline("cells"))
     wanted = materialize(cells.groupBy("plan_id", "field", "category", "stratum").agg(F.max("quota").alias("quota")))
     near = (lambda df: F.broadcast(df)) if small(wanted) else (lambda df: df)  # targets x strata; beyond that a plain join
     key = F.xxhash64(F.lit(seed), "plan_id", "record_id", "region_idx")
-    keyed = members(pages).join(near(wanted), ["field", "category", "stratum"]).withColumns(
+    keyed = pool.join(near(wanted), ["field", "category", "stratum"]).withColumns(
         {"key": key, "bin": F.shiftrightunsigned(key, 52).cast("int")}
     )
     cell = ["plan_id", "field", "category", "stratum"]
