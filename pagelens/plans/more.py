@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import frames, match
 from ..operators import selection as X
 from ..session import table
-from . import fixture
+from . import fixture, show
 from .evaluation import _records
 
 
@@ -82,5 +82,6 @@ SQL = {
     "t10_training": r"SELECT crop_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS text FROM crop_records",
     "t22_lengths": r"SELECT crop_id, length(text) AS chars, CAST(len(list_filter(regexp_split_to_array(replace(text, chr(160), ' '), '\s+'), lambda w: w <> '')) AS INT) AS words FROM crop_records WHERE text IS NOT NULL",
     "v4_run": "SELECT run_id, row_id FROM sample_submission WHERE run_id = (SELECT min(run_id) FROM sample_submission)",
+    "x8_crops": show.FEW,
     "u5_distinct": "SELECT DISTINCT run_id, image FROM sample_submission",
 }

@@ -8,7 +8,7 @@ from ..functions import editdist, text
 from ..operators import frames
 from ..operators import quality as Q
 from ..operators import runs as R
-from ..schema import REGION_TYPES, TEXT_TYPES
+from ..schema import REGION_TYPES, STRUCTURED_TYPES, TEXT_TYPES
 from ..session import dealt, table
 from ..sources import readers, writers
 from . import compare
@@ -230,6 +230,13 @@ def t1_normalized(spark, d):
     return _regions(spark, d, costly=True).select("record_id", "idx", text.normalize(F.col("text"), t, "v1").alias("v1"), text.normalize(F.col("text"), t, "v2").alias("v2"))
 
 
+def t1_text(spark, d):
+    """The same of all regions but formulas and tables, whose rules plain SQL can state."""
+    t = text.normal_type(F.col("type"))
+    r = _regions(spark, d, costly=True).where(~t.isin(*STRUCTURED_TYPES))
+    return r.select("record_id", "idx", text.normalize(F.col("text"), t, "v1").alias("v1"), text.normalize(F.col("text"), t, "v2").alias("v2"))
+
+
 def t8_invalid(spark, d):
     """Texts of all regions judged as if they were answers, of tables but for formulas."""
     t = F.when(text.normal_type(F.col("type")) == "formula", "formula").otherwise("table")
@@ -332,7 +339,7 @@ def k10_violations(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     s4_reasons, s4_examples, s4_report, s4_missing, s5_fields, s10_run_ids, s14_basename, s15_errors, s16_lenient, s17_regions, s21_union, j1_solution, j2_coverage, w2_keep_last, j6_labels, j12_patch,
-    filter_scorable, filter_route, filter_candidates, filter_smart, filter_limits, a10_labels, a11_lengths, a12_truncation, a14_before_after, a15_totals, a18_summary, t3_crops, t1_normalized, t8_invalid, t9_cleaned, t11_sane, t13_clean, t14_truncated,
+    filter_scorable, filter_route, filter_candidates, filter_smart, filter_limits, a10_labels, a11_lengths, a12_truncation, a14_before_after, a15_totals, a18_summary, t3_crops, t1_normalized, t1_text, t8_invalid, t9_cleaned, t11_sane, t13_clean, t14_truncated,
     t15_slug, t19_numbers, t20_cyrillic, o1_ranked, u2_difference, k6_markdown, k7_coco, k7_images, k7_categories, k10_violations, o3_invalid, v1_errors,
 )}
 _S = r"regexp_replace({}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
@@ -472,6 +479,22 @@ _CLEAN = f"regexp_replace(regexp_replace(coalesce(text, ''), '^{_C}+|{_C}+$', ''
 SQL["t13_clean"] = f"SELECT doc_id, md5({_CLEAN}) AS h FROM documents"
 SQL["t14_truncated"] = f"""WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(array_to_string(regexp_extract_all(t, '(?s).')[1:57], ''), '{_C}+$', '') || '...' END AS text FROM c"""
+_STEPS = [
+    ("~~.*?~~\\{(.*?)\\}", "\\1"), ("~~(.*?)~~", "\\1"), None,
+    ("[\\x{2010}\\x{2011}\\x{2012}\\x{2013}\\x{2014}\\x{2015}\\x{2212}\\x{fe58}\\x{fe63}\\x{ff0d}]", "-"), ("[_\\-]{3,}", "___"),
+    ('["\\x{201c}\\x{201d}\\x{201e}\\x{00ab}\\x{00bb}\\x{2033}]', '"'), ("[''\\x{2018}\\x{2019}\\x{02bc}\\x{2032}]", "''"),
+    ("[ \\t\\x{00a0}\\x{2000}-\\x{200b}\\x{3000}]+", " "), (f"\\({_C}+", "("), (f"{_C}+\\)", ")"),
+]
+
+
+def _normalized(steps) -> str:
+    x = "coalesce(text, '')"
+    for step in steps:
+        x = f"translate({x}, '{text.LATIN}', '{text.CYRILLIC}')" if step is None else f"regexp_replace({x}, '{step[0]}', '{step[1]}', 'g')"
+    return f"regexp_replace({x}, '^{_C}+|{_C}+$', '', 'g')"
+
+
+SQL["t1_text"] = f"{_R} SELECT record_id, idx, {_normalized(_STEPS)} AS v1, " + _normalized([*_STEPS, (" +\\(", "("), (" +([_^])", "\\1")]) + f" AS v2 FROM r WHERE {_TYPE} NOT IN ('formula', 'table')"
 SQL["v1_errors"] = f"""WITH x AS ({SQL['s15_errors']}), s AS (SELECT run_id, row_id FROM sample_submission WHERE image IS NOT NULL),
 f AS (SELECT DISTINCT {_NAME} AS image FROM page_metadata WHERE regions IS NOT NULL), t AS (SELECT run_id, count(DISTINCT image) AS n FROM sample_submission WHERE image IN (SELECT image FROM f) GROUP BY 1)
 SELECT run_id, code, count(*) AS n FROM x JOIN s USING (row_id) GROUP BY 1, 2

@@ -174,3 +174,18 @@ SELECT CASE WHEN k IN ('image', 'graph') THEN p ELSE h || chr(10) || p || chr(10
     "o7_counts": f"WITH e AS (SELECT unnest(regions) AS r FROM page_metadata) SELECT {_KIND.format('r.type')} AS type, count(*) AS n FROM e GROUP BY 1",
     "st_months": "SELECT CAST(time_bucket(INTERVAL 30 DAYS, captured_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') AS TIMESTAMPTZ) AS start, split, count(*) AS rows FROM page_metadata WHERE captured_at IS NOT NULL GROUP BY 1, 2",
 }
+
+_AT = fixture.WITH_PRED.replace("WITH", "WITH RECURSIVE", 1) + """,
+o AS (SELECT g.page, g.idx AS g, p.idx AS p, p.score, greatest(0e0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0e0, least(g.y2, p.y2) - greatest(g.y1, p.y1)) AS i,
+  (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS a FROM gt g JOIN pred p ON p.page = g.page AND p.type = g.type),
+x AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, i / (a - i) DESC, g, p) AS n FROM o WHERE i > 0 AND i / (a - i) >= 0.5e0),
+walk AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS gs, CAST([] AS INT[]) AS ps FROM (SELECT DISTINCT page FROM x)
+  UNION ALL SELECT w.page, x.n, CASE WHEN list_contains(gs, x.g) OR list_contains(ps, x.p) THEN gs ELSE list_append(gs, x.g) END, CASE WHEN list_contains(gs, x.g) OR list_contains(ps, x.p) THEN ps ELSE list_append(ps, x.p) END
+  FROM walk w JOIN x ON x.page = w.page AND x.n = w.n + 1),
+h AS (SELECT page, unnest(arg_max(ps, n)) AS p FROM walk GROUP BY page),
+n AS (SELECT type, score, count(h.p) AS tp, count(*) AS n FROM pred LEFT JOIN h ON h.page = pred.page AND h.p = pred.idx GROUP BY 1, 2),
+t AS (SELECT type, count(*) AS truths FROM gt GROUP BY 1),
+c AS (SELECT n.type, score, sum(tp) OVER w / CAST(truths AS DOUBLE) AS recall, sum(tp) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS precision FROM n JOIN t USING (type) WINDOW w AS (PARTITION BY n.type ORDER BY score DESC)),
+s AS (SELECT type, max(precision) OVER (PARTITION BY type ORDER BY score) * (recall - coalesce(lag(recall) OVER (PARTITION BY type ORDER BY score DESC), 0e0)) AS area FROM c)
+"""
+SQL["a19_precision"] = _AT + "SELECT type, truths, round(coalesce((SELECT sum(area) FROM s WHERE s.type = t.type), 0e0), 6) AS ap FROM t"

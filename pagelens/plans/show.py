@@ -93,3 +93,56 @@ SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM e UNION ALL SELECT * FROM
 q AS (SELECT *, greatest(1e0, area) / 400000e0 AS ratio, length(coalesce(gt_text, pred_text)) AS n FROM b)
 SELECT page, CAST(gt_idx AS INT) AS gt_idx, pred_idx, round(coalesce(iou, 0e0) * 3 + CASE WHEN ratio BETWEEN 0.0015 AND 0.22 THEN 1.2e0 ELSE -1e0 END + CASE WHEN n BETWEEN 2 AND 140 THEN 1e0 ELSE 0e0 END + 0.5e0, 6) AS quality FROM q""",
 }
+
+_QUALITY = SQL["x4_quality"][: SQL["x4_quality"].rindex("SELECT page")]
+_E = "coalesce(cer, 0e0)"
+_BOTH = "gt_type = '{0}' AND pred_type = '{0}'"
+_WRONG = "gt_type = '{0}' AND scorable AND (NOT coalesce(pred_type = '{0}', false) OR cer > 0.35e0)"
+#: Conditions and preferences of the buckets, and of what fills up.
+_RULES = {
+    "handwritten success": (_BOTH.format("handwritten") + " AND cer <= 0.1e0", f"v - abs({_E} - 0.04e0)"),
+    "printed success": (_BOTH.format("printed") + " AND cer <= 0.1e0", "v"),
+    "formula near-correct": (_BOTH.format("formula") + " AND cer BETWEEN 0.02e0 AND 0.35e0", f"v - abs({_E} - 0.16e0)"),
+    "formula failure": (_WRONG.format("formula"), f"v + {_E}"),
+    "table example": (_BOTH.format("table") + " AND scored", f"v - least({_E}, 0.5e0)"),
+    "table formatting failure": ("gt_type = 'table' AND scorable AND (NOT coalesce(pred_type = 'table', false) OR cer >= 0.2e0 OR (pred_text IS NOT NULL AND NOT contains(pred_text, '|')))", f"v + least({_E}, 1e0)"),
+    "annotation near-correct": (_BOTH.format("annotation") + " AND cer > 0.1e0 AND cer <= 0.35e0", "v"),
+    "annotation failure": (_WRONG.format("annotation"), f"v + least({_E}, 1e0)"),
+    "formula-handwritten confusion": ("(gt_type = 'formula' AND pred_type = 'handwritten') OR (gt_type = 'handwritten' AND pred_type = 'formula')", "v + 2e0"),
+    "type confusion": ("gt_type <> pred_type", "v + 1.5e0"),
+    "empty-text route": ("gt_type IN ('image', 'graph') AND gt_type = pred_type", "v"),
+}
+
+
+def _choice(names, desired: int, extended: bool) -> str:
+    """One bucket after the other, each without what was taken before."""
+    outside = "status" if extended else "'failure'"
+    same = "'unscored'" if extended else "'correct'"
+    shown = f"""CASE WHEN status <> 'matched' THEN {outside} WHEN NOT scored THEN CASE WHEN gt_type = pred_type THEN {same} ELSE 'type confusion' END
+  WHEN gt_type <> pred_type THEN 'type confusion' WHEN cer <= 0.1e0 THEN 'correct' WHEN cer <= 0.35e0 THEN 'near-correct' ELSE 'failure' END"""
+    value = "coalesce(iou, 0e0) * 3e0 + CASE WHEN ratio BETWEEN 0.0015 AND 0.22 THEN 1.2e0 ELSE -1e0 END + CASE WHEN n BETWEEN 2 AND 140 THEN 1e0 ELSE 0e0 END + 0.5e0"
+    filling = "CASE WHEN shown = 'type confusion' THEN 2e6 WHEN shown = 'failure' THEN 1e6 ELSE 0e0 END + v"
+    rules = [*(_RULES[n] for n in names), ("gt_type IS NOT NULL AND pred_type IS NOT NULL AND scorable", filling)]
+    union = " UNION ALL ".join(f"SELECT {i} AS b, page, gt_idx, pred_idx, gt_type, shown, key, {p} AS p FROM w WHERE {c}" for i, (c, p) in enumerate(rules))
+    steps = []
+    for i in range(len(names)):
+        taken = " UNION ALL ".join(f"SELECT key FROM s{j}" for j in range(i)) or "SELECT '' AS key"
+        enough = f" AND (SELECT count(*) FROM ({taken}) WHERE key <> '') < {desired}"
+        steps.append(f"s{i} AS (SELECT * FROM cand WHERE b = {i} AND key NOT IN ({taken}){enough} ORDER BY k LIMIT 1)")
+    picked = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(names)))
+    labels = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return _QUALITY + f""", w AS (SELECT q.*, sc.cer, {shown} AS shown, {value} AS v, coalesce(q.gt_type NOT IN ('image', 'graph'), false) AS scorable,
+  q.page || ':' || coalesce(CAST(q.gt_idx AS VARCHAR), '-') || ':' || coalesce(CAST(q.pred_idx AS VARCHAR), '-') AS key
+  FROM (SELECT * FROM q) q JOIN (SELECT page, gt_idx, pred_idx, cer FROM scores) sc ON sc.page = q.page AND sc.gt_idx IS NOT DISTINCT FROM q.gt_idx AND sc.pred_idx IS NOT DISTINCT FROM q.pred_idx),
+cand AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC, page, gt_idx NULLS FIRST, pred_idx NULLS FIRST) AS k FROM ({union})),
+{", ".join(steps)},
+picked AS ({picked}), fill AS (SELECT * FROM cand WHERE b = {len(names)} AND key NOT IN (SELECT key FROM picked) ORDER BY k LIMIT (SELECT {desired} - count(*) FROM picked)),
+done AS (SELECT *, {labels}[b + 1] AS bucket FROM picked UNION ALL SELECT *, gt_type || ' ' || shown FROM fill)"""
+
+
+SQL["x7_crops"] = _choice(_RULES, 12, False) + " SELECT CAST(row_number() OVER (ORDER BY b, k) - 1 AS INT) AS place, bucket, page, CAST(gt_idx AS INT) AS gt_idx, pred_idx FROM done"
+SQL["x7_warnings"] = _choice(_RULES, 12, False) + ", n AS (SELECT unnest(range(11)) AS i, unnest([" + ", ".join(f"'{n}'" for n in _RULES) + (
+    "]) AS bucket) SELECT CAST(i AS INT) AS place, 'missing bucket: ' || bucket AS warning FROM n WHERE bucket NOT IN (SELECT bucket FROM done)"
+)
+#: Of the query in the other module: six buckets, four to show.
+FEW = _choice([n for n in _RULES if n in X.FEW_BUCKETS], 4, True) + " SELECT CAST(row_number() OVER (ORDER BY b, k) - 1 AS INT) AS place, bucket, page, CAST(gt_idx AS INT) AS gt_idx, pred_idx FROM done"
