@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import editdist, text
 from ..operators import frames
 from ..operators import quality as Q
@@ -171,7 +172,8 @@ def filter_limits(spark, d):
     """Pages whose answer has at most 60 regions and 9,000 characters of compact JSON."""
     p = table(spark, d, "page_metadata").select("record_id", frames.page_answer(F.col("regions"), F.col("image_width"), F.col("image_height")).alias("a"))
     p = p.select("record_id", F.json_array_length("a").alias("n"), F.char_length("a").alias("chars"))
-    return p.where("n BETWEEN 1 AND 60 AND chars <= 9000")
+    most = config.from_environment(config.Limits)  # 60 and 9,000 unless set otherwise
+    return p.where(F.col("n").between(1, most.regions) & (F.col("chars") <= most.page_chars))
 
 
 def a10_labels(spark, d):

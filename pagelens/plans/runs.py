@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import text
 from ..operators import frames
 from ..operators import quality as Q
@@ -20,7 +21,8 @@ ORDER = ["full", "routing", "ablation"]
 
 
 def _evaluated(spark, d):
-    return R.evaluate(R.solutions(table(spark, d, "page_metadata")), R.predictions(table(spark, d, "sample_submission")))
+    scoring = config.from_environment(config.Scoring)
+    return R.evaluate(R.solutions(table(spark, d, "page_metadata")), R.predictions(table(spark, d, "sample_submission")), scoring.dialect)
 
 
 def v1_runs(spark, d):

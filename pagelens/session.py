@@ -44,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple] = []  # file system and path of each table
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -56,20 +56,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not _WRITTEN:
         atexit.register(release)
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((at.getFileSystem(spark._jsc.hadoopConfiguration()), at))
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
     """Delete the tables written so far; frames that read them cannot be used afterwards."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+        files, at = _WRITTEN.pop()
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            files.delete(at, True)
         except Exception:  # the JVM is gone, and with it the access to the folder
             return
 

@@ -36,7 +36,8 @@ def submissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``image, regions, path`` of submission CSV files; a missing value of regions is ``[]``.
 
     Line breaks in quotations and byte order marks are read over.  The two columns are
-    found by the header; a file without them fails.
+    found by the header; a file without them fails.  A file is one task's work; very large
+    ones are read in splits by :func:`records_of_files` and ``operators.rejects.load``.
     """
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=False)
     named = {c.lstrip("\ufeff").strip('"'): c for c in rows.columns}
