@@ -496,6 +496,11 @@ def _normalized(steps) -> str:
     return f"regexp_replace({x}, '^{_C}+|{_C}+$', '', 'g')"
 
 
+def normalized_sql(column: str) -> str:
+    """The first dialect of a text that is neither formula nor table."""
+    return _normalized(_STEPS).replace("coalesce(text, '')", f"coalesce({column}, '')")
+
+
 SQL["t1_text"] = f"{_R} SELECT record_id, idx, {_normalized(_STEPS)} AS v1, " + _normalized([*_STEPS, (" +\\(", "("), (" +([_^])", "\\1")]) + f" AS v2 FROM r WHERE {_TYPE} NOT IN ('formula', 'table')"
 SQL["v1_errors"] = f"""WITH x AS ({SQL['s15_errors']}), s AS (SELECT run_id, row_id FROM sample_submission WHERE image IS NOT NULL),
 f AS (SELECT DISTINCT {_NAME} AS image FROM page_metadata WHERE regions IS NOT NULL), t AS (SELECT run_id, count(DISTINCT image) AS n FROM sample_submission WHERE image IN (SELECT image FROM f) GROUP BY 1)

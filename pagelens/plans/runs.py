@@ -14,7 +14,7 @@ from ..operators import runs as R
 from ..operators import tables as T
 from ..session import shared_folder, table
 from ..streaming import ingest
-from . import fixture
+from . import compare, fixture, reports
 from .evaluation import _rounded
 
 ORDER = ["full", "routing", "ablation"]
@@ -191,3 +191,18 @@ c AS (SELECT n.type, score, sum(tp) OVER w / CAST(truths AS DOUBLE) AS recall, s
 s AS (SELECT type, max(precision) OVER (PARTITION BY type ORDER BY score) * (recall - coalesce(lag(recall) OVER (PARTITION BY type ORDER BY score DESC), 0e0)) AS area FROM c)
 """
 SQL["a19_precision"] = _AT + "SELECT type, truths, round(coalesce((SELECT sum(area) FROM s WHERE s.type = t.type), 0e0), 6) AS ap FROM t"
+
+_SAID = _TYPES.replace("AS type FROM g0", "AS type, coalesce(r.text, '') AS text, coalesce(r.language, 'uk') AS language, coalesce(r.legibility, 'legible') AS legibility FROM g0").replace(
+    " AS type\n  FROM p0", " AS type, coalesce(json_extract_string(r, '$.text'), '') AS text\n  FROM p0"
+)
+_NORM = lambda c: reports.normalized_sql(c)
+SQL["v4_text"] = _SAID[: _SAID.index("h AS (SELECT m.run_id, g.type")] + f"""
+d0 AS (SELECT m.run_id, g.type, {_NORM('p.text')} AS a, {_NORM('g.text')} AS b FROM m JOIN g ON g.image = m.image AND g.idx = m.g JOIN p ON p.run_id = m.run_id AND p.image = m.image AND p.idx = m.p
+  WHERE g.type IN ('handwritten', 'printed', 'annotation') AND g.language <> 'other' AND g.legibility <> 'illegible'),
+d AS (SELECT *, ({compare.chars('a', 'b')}) / CAST(greatest(length(b), 1) AS DOUBLE) AS cer, {compare.wer('a', 'b')} AS wer FROM d0)
+SELECT coalesce(any_value(label), run_id) AS label, count(*) AS n, """ + ", ".join(
+    f"coalesce(printf('%.4f', {v}), '') AS {c}" for c, v in {
+        "overall_cer": "avg(cer)", "handwritten_cer": "avg(cer) FILTER (type = 'handwritten')", "printed_cer": "avg(cer) FILTER (type = 'printed')", "annotation_cer": "avg(cer) FILTER (type = 'annotation')",
+        "overall_wer": "avg(wer)", "exact_match": "avg(CASE WHEN a = b THEN 1e0 ELSE 0e0 END)",
+    }.items()
+) + " FROM d LEFT JOIN runs USING (run_id) GROUP BY run_id"
