@@ -7,7 +7,10 @@ that repeats count), bands of rows as buckets, candidates only between the two
 sides, exact verification on the numbered words, rows of confirmed classes last.
 
 A text is normalized once and a class hashed once; its buckets go through one
-shuffle, in which the two sides meet.  Keys that hold much (buckets, classes, names)
+shuffle, in which the two sides meet.  By chance two texts of one language share a
+bucket, the more often the more pages there are (as the square of their number): a
+bucket brings along how many words a text has and a sketch of them, by which such
+pairs are dropped where they meet, before anything is written.  Keys that hold much (buckets, classes, names)
 are cut into cells before their rows are shuffled, see :func:`spread`.
 """
 
@@ -21,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PIPELINES, bound
-from ..session import dealt, materialize
+from ..session import dealt, materialize, small
 
 TRAIN, EVAL = ("train", "silver"), ("val", "test", "private")
 BANDS, ROWS, SEED = 40, 5, 20_240_501
 SIDE = 1_500  # rows of either side of one key that meet in a cell
 HOT = 50_000  # a key is hot with at least this part of all rows: there are no more of them
 SAMPLE = 64  # one class in so many tells which buckets are hot
+BITS = 128  # of a sketch, one for each of the first so many minima
+SLACK = 4.5  # standard deviations: of 100,000 pairs at the limit, 1.5 are further off
 
 # What copying and augmentation append to a file's stem.
 _COPY = rf"\s*\(\d+\)|[\s_-]*(?:copy|копія|копия|kopie|copia)(?:[\s_-]*\d+|\s*\(\d+\))?|(?:_(?:aug|{PIPELINES}|medium|strong|soft|color|geo))*_aug_?\d+"
@@ -142,7 +147,10 @@ def _signatures(texts: list[str], known: dict[str, int], a: np.ndarray, b: np.nd
 
 
 def buckets(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(bucket, id)``: a row for each band of each class ``(id, words)``; narrow."""
+    """``(bucket, id, size, s0, s1)``: a row for each band of each class ``(id, words)``; narrow.
+
+    ``size`` is the number of words; ``s0`` and ``s1`` hold a bit of each of ``BITS`` minima.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.random.default_rng(SEED)
@@ -152,13 +160,30 @@ def buckets(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                low = _signatures(part.column(1).to_pylist(), known, a, b).reshape(part.num_rows, bands, rows)
-                keys = (low * mix).sum(2, dtype=np.uint64)
+                texts = part.column(1).to_pylist()
+                low = _signatures(texts, known, a, b)
+                bits = np.zeros((part.num_rows, BITS), bool)
+                bits[:, : bands * rows] = low[:, :BITS] * np.uint32(0x9E3779B1) >> np.uint32(31)
+                sketch = np.packbits(bits, axis=1).view(np.int64)
+                keys = (low.reshape(part.num_rows, bands, rows) * mix).sum(2, dtype=np.uint64)
                 keys = (keys ^ (keys >> np.uint64(31))) * mix[:, 0]
-                take = pa.array(np.repeat(np.arange(part.num_rows), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take)], names=["bucket", "id"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, np.int32)), pa.array(keys.ravel().view(np.int64)))
+                size = pa.array([t.count(" ") + 1 for t in texts], pa.int32())
+                columns = [lists, part.column(0), size, *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["buckets", "id", "size", "s0", "s1"])
 
-    return classes.select("id", "words").mapInArrow(run, "bucket bigint, id bigint")
+    hashed = classes.select("id", "words").mapInArrow(run, "buckets array<bigint>, id bigint, size int, s0 bigint, s1 bigint")
+    return hashed.select(F.explode("buckets").alias("bucket"), "id", "size", "s0", "s1")
+
+
+def apart(similarity: float, bits: int) -> int:
+    """So many bits of two sketches may differ, at a share of ``similarity`` in the longer of two texts.
+
+    Texts of one length are then similar by ``similarity / (2 - similarity)`` (Jaccard), others
+    by more.  Minima that differ have the same bit every other time.
+    """
+    p = (1 - similarity / (2 - similarity)) / 2
+    return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
 
 
 def spread(left: DataFrame, right: DataFrame, key: str, loads: DataFrame, rows: int, side: int = SIDE) -> DataFrame:
@@ -172,10 +197,10 @@ def spread(left: DataFrame, right: DataFrame, key: str, loads: DataFrame, rows:
     """
     parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / side)).cast("int")
     hot = loads.where(F.col("n") + F.col("m") >= max(side, rows / HOT)).select(key, parts("n").alias("_l"), parts("m").alias("_r"))
-    hot = hot.where("_l * _r > 1")
+    hot = materialize(hot.where("_l * _r > 1"))
     if hot.isEmpty():
         return left.join(right, key)
-    hot = F.broadcast(materialize(hot))
+    hot = F.broadcast(hot)
 
     def celled(df: DataFrame, own: str, other: str, at: str, over: str) -> DataFrame:
         part = F.coalesce(F.pmod(F.xxhash64(*(c for c in df.columns if c != key)), own), F.lit(0)).cast("int")
@@ -185,9 +210,12 @@ def spread(left: DataFrame, right: DataFrame, key: str, loads: DataFrame, rows:
     return celled(left, "_l", "_r", "_a", "_b").join(celled(right, "_r", "_l", "_b", "_a"), [key, "_a", "_b"]).drop("_a", "_b")
 
 
-def candidates(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, side: int = SIDE) -> DataFrame:
+def candidates(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, side: int = SIDE, similarity: float = 0.8) -> DataFrame:
     """Distinct ``(a, b)``: ids of a training and another class that share a bucket.
 
+    Left out are pairs whose numbers of words rule out ``similarity``, and those whose
+    sketches differ by more than chance allows at it.
+
     A class is hashed once for each side it has pages on; the two sides meet in one
     shuffle.  One class in 64 is hashed ahead to see which buckets are hot.
     """
@@ -196,9 +224,12 @@ def candidates(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, side: i
     sides = few.select("id", (F.col("n") > 0).cast("int").alias("n"), (F.col("m") > 0).cast("int").alias("m"))
     seen = buckets(few, bands, rows).join(sides, "id")
     loads = seen.groupBy("bucket").agg((F.sum("n") * SAMPLE).alias("n"), (F.sum("m") * SAMPLE).alias("m"))
-    left = buckets(ours, bands, rows).withColumnRenamed("id", "a")
-    right = buckets(theirs, bands, rows).withColumnRenamed("id", "b")
-    return spread(left, right, "bucket", loads, bands * classes.count(), side).where("a <> b").select("a", "b").distinct()
+    left = buckets(ours, bands, rows).toDF("bucket", "a", "a_size", "a0", "a1")
+    right = buckets(theirs, bands, rows).toDF("bucket", "b", "b_size", "b0", "b1")
+    met = spread(left, right, "bucket", loads, bands * classes.count(), side).where("a <> b")
+    met = met.where(F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-9)
+    met = met.where(F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= apart(similarity, min(BITS, bands * rows)))
+    return met.select("a", "b").distinct()
 
 
 def class_pairs(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -206,9 +237,13 @@ def class_pairs(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS,
 
     Kept if at least ``similarity`` of the words of the longer one are found in the other.
     """
-    pairs = materialize(candidates(classes, bands, rows))
-    of = lambda x, n: classes.where(f"{n} > 0").select(F.col("id").alias(x), F.col("class").alias(f"{x}_class"), F.split("words", " ").alias(f"{x}_words"))
+    pairs = materialize(candidates(classes, bands, rows, similarity=similarity))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if small(ends):  # no other texts are shuffled
+        classes = classes.join(F.broadcast(ends), "id", "left_semi")
+    of = lambda x, n: classes.where(f"{n} > 0").select(F.col("id").alias(x), F.col("class").alias(f"{x}_class"), F.col("words").alias(f"{x}_words"))
     both = pairs.join(of("b", "m"), "b").join(of("a", "n"), "a")
+    both = both.select("a_class", "b_class", *(F.split(x, " ").alias(x) for x in ("a_words", "b_words")))  # shuffled as texts, which are smaller
     n = F.size(F.array_intersect("a_words", "b_words"))
     longer = F.greatest(F.size("a_words"), F.size("b_words"))
     return both.select(

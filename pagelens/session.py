@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[tuple] = []  # file system and path of each table
+#: Delete what an execution shuffled as soon as it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The lineage is cut, so a lost executor costs no recomputation; the table is
     compressed, readers take the columns they need and the planner knows its true
-    size.  :func:`release` deletes such tables, the end of the process does so too.
+    size.  :func:`release` deletes such tables, the end of the process does so too.  The
+    files shuffled for it are deleted at once: the disk holds those of one table at a time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
@@ -60,7 +63,12 @@ def materialize(df: DataFrame) -> DataFrame:
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append((at.getFileSystem(spark._jsc.hadoopConfiguration()), at))
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

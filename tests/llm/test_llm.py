@@ -262,6 +262,33 @@ def test_recall_at_the_limit(spark):
     assert got <= {(2 * k, 2 * k + 1) for k in range(400)} and len(got) >= 0.985 * 400  # 0.9965 expected at a similarity of 2/3
 
 
+def test_pairs_by_chance_are_dropped_where_they_meet(spark):
+    """Texts of common words share buckets by chance, the more the more pages there are; only a few of them become candidates."""
+    r = random.Random(17)
+    vocabulary = [f"слово{i}" for i in range(150)]
+    pages = [(k, "train" if k % 2 else "val", None, None, [(" ".join(r.sample(vocabulary, 40)), "printed")], None, None) for k in range(800)]
+    for k in range(40):  # 36 of 40 words
+        words = pages[2 * k][4][0][0].split()[:36] + [f"інше{r.randrange(10**6)}" for _ in range(4)]
+        pages.append((1000 + k, "silver", None, None, [(" ".join(words), "printed")], None, None))
+    df = spark.createDataFrame(pages, REGIONS)
+    assert overlap.candidates(overlap.prepare(df)[1]).count() < 120
+    assert {tuple(x) for x in overlap.found(df).collect()} >= {(2 * k, 1000 + k) for k in range(40)}
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_sketches_of_pairs_at_the_limit(spark, similarity):
+    """Their sketches differ by less than is allowed, whatever bucket they meet in."""
+    r = random.Random(3)
+    rows, n = [], 50
+    for k in range(1000):
+        words = [f"слово{r.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: round(n * similarity)] + [f"інше{r.randrange(10**6)}" for _ in range(n - round(n * similarity))]))]
+    own = overlap.buckets(spark.createDataFrame(rows, "id bigint, words string"), 40, 5).dropDuplicates(["id"]).collect()
+    at = {x["id"]: x for x in own}
+    differ = [sum(((at[2 * k][s] ^ at[2 * k + 1][s]) & 2**64 - 1).bit_count() for s in ("s0", "s1")) for k in range(1000)]
+    assert max(differ) <= overlap.apart(similarity, overlap.BITS) and {x["size"] for x in own} == {n}
+
+
 def test_copies_and_links(spark):
     """Copies of one text on both sides: all pairs of rows, one class of them."""
     text = " ".join(f"слово{i}" for i in range(30))

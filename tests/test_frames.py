@@ -6,6 +6,7 @@ import pathlib
 import shutil
 import subprocess
 import sys
+import time
 
 from pyspark.sql import functions as F
 
@@ -133,3 +134,20 @@ def test_without_the_subpackage(tmp_path):
     assert run.returncode == 0, run.stderr
     run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_sources.py"], cwd=tmp_path, capture_output=True, text=True)
     assert run.returncode == 0, run.stdout[-2000:]
+
+
+def test_shuffled_files_end_with_the_table(spark):
+    """What was shuffled for a table is deleted once it is written; the setting stays as it was."""
+    from pagelens import session
+
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before = files()
+    tables = [session.materialize(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()) for _ in range(3)]
+    until = time.monotonic() + 10
+    while files() > before and time.monotonic() < until:  # deleted in the background
+        time.sleep(0.1)
+    assert files() <= before
+    assert [t.count() for t in tables] == [10] * 3
+    assert spark.conf.get(session._CLEANUP) == "false"
